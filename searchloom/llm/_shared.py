@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from searchloom.llm._text import mix
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one where that is unset in local mode."""
@@ -42,8 +44,9 @@ def spread(spark: SparkSession) -> int:
 
 
 def _forest(frames):
-    """Contracts the edges of a task to (node, smallest node that this task links it to)."""
+    """Contracts the edges of a task to (node, smallest node linked to it here, whether this edge is new)."""
     held: list[np.ndarray] = []
+    given: list[np.ndarray] = []
 
     def contract(pairs: np.ndarray) -> np.ndarray:
         nodes, index = np.unique(pairs, return_inverse=True)
@@ -66,38 +69,34 @@ def _forest(frames):
     for frame in frames:
         if len(frame):
             held.append(frame[["u", "v"]].to_numpy(np.int64))
+            given.append(mix(held[-1][:, 0].view(np.uint64) ^ mix(held[-1][:, 1].view(np.uint64))))
             size += len(frame)
         if size > 1_000_000:  # contract before more is read, so that memory stays within the nodes of this task
-            held = [contract(np.concatenate(held))]
+            held, given = [contract(np.concatenate(held))], [np.unique(np.concatenate(given))]
             size = 0
     if held:
         out = contract(np.concatenate(held))
+        new = ~np.isin(mix(np.ascontiguousarray(out[:, 0]).view(np.uint64) ^ mix(np.ascontiguousarray(out[:, 1]).view(np.uint64))), np.concatenate(given))
         for at in range(0, len(out), 100_000):
-            yield pd.DataFrame(out[at : at + 100_000], columns=["u", "v"])
+            yield pd.DataFrame({"u": out[at : at + 100_000, 0], "v": out[at : at + 100_000, 1], "new": new[at : at + 100_000]})
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(u long, v long): (node, root), root the smallest node; only nodes with an edge.
 
-    Each task first contracts its own edges; rounds of large-star and small-star on the rest follow, each written
-    to the shared folder, until nothing changes. Hubs cost one row per neighbour, minima are combined before the
-    shuffle, and nothing but two numbers a round comes to the driver.
+    A round deals the edges by their larger end, contracts those of each task to stars, and lets every node jump to
+    its parent's parent. Only leaves are dealt by key: a hub's edges lie in many tasks, and the jump is a join whose
+    large partitions Spark can split. Rounds are written to the shared folder; one number a round comes to the driver.
     """
-    links = edges.select("u", "v").where("u <> v")
-    links = stage(links.mapInPandas(_forest, "u long, v long").distinct(), "links")
-    before = None
+    ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
+    links = ends.mapInPandas(_forest, "u long, v long, new boolean")
     while True:
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        links = stage(small.select("e.*").where("u <> v").distinct(), "links")
-        now = links.agg(F.count("*"), F.expr("sum(cast(hash(u, v) as decimal(20,0)))")).first()
-        if tuple(now) == before:
+        local = links.select("u", "v").repartition(spread(edges.sparkSession), "u").mapInPandas(_forest, "u long, v long, new boolean")
+        local = stage(local, "links")
+        above = local.groupBy("u").agg(F.min("v").alias("__v")).withColumnRenamed("u", "__u")
+        jumped = local.join(above, F.col("v") == F.col("__u"), "left")
+        links = stage(jumped.select("u", F.coalesce("__v", "v").alias("v"), (F.col("new") | F.col("__v").isNotNull()).alias("new")), "links")
+        if not links.agg(F.max("new")).first()[0]:
             break
-        before = tuple(now)
     nodes = links.select("u", F.col("v").alias("root")).union(links.select(F.col("v").alias("u"), F.col("v").alias("root")))
     return nodes.groupBy(F.col("u").alias("node")).agg(F.min("root").alias("root"))

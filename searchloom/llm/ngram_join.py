@@ -117,7 +117,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 def _candidates(docs: DataFrame, text: str, k: int, num: int, den: int) -> DataFrame:
     """(u, v): each set that shares a key with others, and the smallest node that it shares one with."""
-    shards = 4 * spread(docs.sparkSession)
+    shards = spread(docs.sparkSession)
     names = ["shard", "nodes", "owners", "keys", "edges"]
 
     def block(shard, nodes=None, owners=None, keys=None, edges=None):
