@@ -79,6 +79,10 @@ def _ids(column: pa.Array) -> np.ndarray:
     return np.asarray(column.cast(pa.int64()).fill_null(LAST))
 
 
+def _with_id(docs: DataFrame, key: str) -> DataFrame:
+    return docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(LAST)))
+
+
 def recurring_anchors(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
     """(__id, anchor): the anchors of each row that occur at two or more places of the corpus."""
     shards = 4 * spread(docs.sparkSession)
@@ -155,16 +159,17 @@ def repeated_spans(docs: DataFrame, key: str, text: str, window: int) -> DataFra
     """(__id, first, end): spans of words, which may overlap, covered by windows that also start earlier."""
     shards = 4 * spread(docs.sparkSession)
     marks = recurring_anchors(docs, key, text, window).groupBy("__id").agg(F.collect_set("anchor").alias("__anchors"))
-    cased = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__id"), F.col(text).alias("__text"))
+    cased = _with_id(docs, key)  # with all columns, as drop_repeats() has it, so that Spark shuffles the texts once
+    text_at, id_at = cased.columns.index(text), cased.columns.index("__id")
     names = ["shard", "ids", "at", "passages", "end"]
     kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32())]
 
     def cut(batches):
         for batch in batches:
-            ids, lists = np.asarray(batch.column(0)), batch.column(2)
+            ids, lists = np.asarray(batch.column(id_at)), batch.column(batch.num_columns - 1)
             lens = np.asarray(lists.value_lengths().fill_null(0))
             owner, flat = np.repeat(np.arange(len(lens)), lens), np.asarray(lists.flatten()).view(np.uint64)
-            for lo, hi, data, offsets in slices(batch.column(1)):
+            for lo, hi, data, offsets in slices(batch.column(text_at)):
                 starts, ends, _, at, rows, hashes, anchors, _ = _windows(data, offsets, window)
                 mine = (owner >= lo) & (owner < hi)
                 salt = lambda r: r.astype(np.uint64) << np.uint64(48)
@@ -222,7 +227,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, window: int) -> DataFra
                     held.append((np.array(row["ids"], np.int64), np.array(row["at"], np.int64), row["passages"]))
         yield from settled()
 
-    cut_out = cased.join(marks, "__id").mapInArrow(cut, "shard int, ids array<long>, at array<int>, passages array<string>, end array<int>")
+    cut_out = cased.join(marks.withColumnRenamed("__id", "__row"), F.col("__id") == F.col("__row")).drop("__row").mapInArrow(cut, "shard int, ids array<long>, at array<int>, passages array<string>, end array<int>")
     return cut_out.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(locate, "__id long, first long, end long")
 
 
@@ -294,7 +299,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
     gone = repeated_spans(docs, key, text, window).groupBy("__id").agg(F.collect_list(F.struct("first", "end")).alias("__gone"))
-    joined = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(LAST))).join(gone, "__id", "left").drop("__id")
+    joined = _with_id(docs, key).join(gone.withColumnRenamed("__id", "__row"), F.col("__id") == F.col("__row"), "left").drop("__id", "__row")
     at, names = docs.columns.index(text), [*docs.columns, "n_words", "n_removed", "kept_text"]
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
