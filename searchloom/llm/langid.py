@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from searchloom.llm._shared import stage
 from searchloom.llm._text import inside, slices
 
 BUCKETS = 1 << 14
@@ -95,6 +96,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
 
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang)
     counts = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = stage(counts, "ngram-counts")
     names = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
