@@ -239,8 +239,8 @@ def grain_reconciliation(page_query) -> DataFrame:
     return page_query.groupingSets([[], ["page"], ["query"], ["page", "query"]], "page", "query").agg(F.grouping_id().alias("grain"), F.sum("impressions").alias("i")).groupBy("grain").agg(F.count("*").alias("rows"), F.sum("i").alias("impressions"))
 
 
-def daily(page_daily) -> DataFrame:
-    return totals(page_daily, "date").withColumn("position", F.bround("position", 2))
+def daily(page_daily, digits: int = 2) -> DataFrame:
+    return totals(page_daily, "date").withColumn("position", F.bround("position", digits))
 
 
 def head_positions(striking: DataFrame, page_query: DataFrame) -> DataFrame:

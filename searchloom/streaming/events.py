@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(rows: DataFrame) -> DataFrame:
+    """Watermarks need a timestamp with a time zone."""
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def daily_counts(events: DataFrame, late: str = "13 days") -> DataFrame:
     """Events and their values by day and type; late rows count until the watermark passes."""
-    days = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type")
+    days = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "event_type")
     return days.agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.to_date("w.start").alias("day"), "event_type", "n", "value")
 
 
 def rolling_rates(probes: DataFrame, late: str = "13 days") -> DataFrame:
     """Share of probes that name us, over seven days, every day."""
-    rows = probes.withWatermark("ts", late).groupBy(F.window("ts", "7 days", "1 day").alias("w"), "question_id")
+    rows = _timed(probes).withWatermark("ts", late).groupBy(F.window("ts", "7 days", "1 day").alias("w"), "question_id")
     return rows.agg(F.count("*").alias("probes"), (F.sum("mentioned") / F.count("*")).alias("rate")).select(F.to_date("w.start").alias("day"), "question_id", "probes", "rate")
 
 
 def deduplicated(rows: DataFrame, keys: list[str], late: str = "13 days") -> DataFrame:
-    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
+    return _timed(rows).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
