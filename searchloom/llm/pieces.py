@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from searchloom.llm._text import slices, spans
 
 BLANK = "▁"
-UNITS = 1_200_000
+UNITS = 700_000
 _models: dict[str, PieceModel] = {}
 
 
@@ -70,7 +70,19 @@ class PieceModel:
         self.clear()
 
     def clear(self):
-        self.units: dict[int, np.ndarray] = {}
+        self.units: dict[int, int] = {}
+        self.flat, self.used = np.zeros(1 << 20, np.uint16 if self.size <= 1 << 16 else np.uint32), 0
+        self.begin, self.count = np.zeros(UNITS + 1, np.int64), np.zeros(UNITS + 1, np.int32)
+
+    def _remember(self, key: int, ids: np.ndarray):
+        n = len(self.units)
+        if n == len(self.begin):
+            self.begin, self.count = np.concatenate([self.begin, np.zeros(n, np.int64)]), np.concatenate([self.count, np.zeros(n, np.int32)])
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), self.flat.dtype)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[n], self.count[n], self.units[key] = self.used, len(ids), n
+        self.used += len(ids)
 
     def _last_merge(self, name, merges):
         """The two parts that byte-pair merging joins last to make this piece, or None if it never makes it."""
@@ -171,16 +183,22 @@ class PieceModel:
             s, p, e, fresh = s[open_], p[open_], e[open_], fresh[open_]
             good = fresh | self.keeps(np.where(fresh, -1, last[s]), p)
             last[e[good]], came[e[good]] = p[good], s[good]
-        out = []
-        for b, n in zip(base.tolist(), sizes.tolist(), strict=True):
-            ids, at = [], b + n
-            while at > b:
-                if last[at] == -1:
-                    ids.extend(self.byte_ids[x] for x in reversed(chr(text[at - 1]).encode()))
-                else:
-                    ids.append(last[at])
-                at = came[at]
-            out.append(np.array(ids[::-1], np.uint32))
+        # Back from every unit's end at once: one column of ids a step.
+        at, steps, left = base + sizes, [], np.flatnonzero(sizes)
+        while len(left):
+            steps.append((left, last[at[left]], at[left]))
+            at[left] = came[at[left]]
+            left = left[at[left] > base[left]]
+        if not steps:
+            return [np.zeros(0, np.uint32)] * len(units)
+        owner, ids, stop = (np.concatenate([s[i] for s in reversed(steps)]) for i in range(3))
+        order = np.argsort(owner, kind="stable")
+        owner, ids, stop = owner[order], ids[order], stop[order]
+        cuts = np.searchsorted(owner, np.arange(len(units) + 1)).tolist()
+        out = [ids[a:b] for a, b in pairwise(cuts)]
+        for u in np.unique(owner[ids == -1]).tolist():  # unknown characters are spelled as bytes
+            a, b = cuts[u], cuts[u + 1]
+            out[u] = np.concatenate([self.byte_ids[list(chr(text[e - 1]).encode())] if i == -1 else np.array([i]) for i, e in zip(ids[a:b], stop[a:b], strict=True)])
         return out
 
     def _suffix_array(self, text):
@@ -210,8 +228,8 @@ class PieceModel:
             low[open_[go]], high[open_[~go]] = mid[go] + 1, mid[~go]
         return low
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """The ids of each row of UTF-8 bytes."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows of UTF-8 bytes and each row's bounds in them."""
         full = np.flatnonzero(np.diff(offsets))
         data = np.insert(data, offsets[full], 32)  # the blank that stands before every text
         extra = np.zeros(len(offsets), np.int64)
@@ -224,21 +242,26 @@ class PieceModel:
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(data))
         if not len(starts):
-            return [np.zeros(0, np.uint32)] * (len(offsets) - 1)
-        keys, first, back = np.unique(spans(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.units) + len(keys) > UNITS:
-            self.clear()
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        keys, back = np.unique(spans(data, starts, ends), return_inverse=True)
+        first = np.zeros(len(keys), np.int64)
+        first[back] = np.arange(len(back))
         known = keys.tolist()
         new = [i for i, k in enumerate(known) if k not in self.units]
+        if len(self.units) + len(new) > UNITS:
+            self.clear()
+            new = range(len(known))
         raw = data.tobytes()
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
+        for at in range(0, len(new), 30_000):
+            part = new[at : at + 30_000]
             found = self.encode_units([raw[starts[first[i]] : ends[first[i]]].decode().replace(" ", BLANK) for i in part])
-            self.units.update(zip((known[i] for i in part), found, strict=True))
-        each = [self.units[k] for k in known]
-        cuts = np.searchsorted(starts, offsets)
-        back = back.tolist()
-        return [np.concatenate([each[u] for u in back[a:b]]) if a < b else np.zeros(0, np.uint32) for a, b in pairwise(cuts)]
+            for i, ids in zip(part, found, strict=True):
+                self._remember(known[i], ids)
+        unit = np.fromiter((self.units[k] for k in known), np.int64, len(known))[back]
+        count = self.count[unit]
+        total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        ids = self.flat[np.arange(total[-1]) + np.repeat(self.begin[unit] - total[:-1], count)]
+        return ids.astype(np.int32), total[np.searchsorted(starts, offsets)]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The texts of rows of ids: what encode() was given, but that BLANK comes back as a blank.
@@ -275,11 +298,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches):
         pieces = model(path)
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(at), 4 << 20):
-                rows = pieces.encode(data, offsets)
-                flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
-                bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
+            for lo, hi, data, offsets in slices(batch.column(at)):
+                flat, bounds = pieces.encode(data, offsets)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
                 yield pa.record_batch([*(c.slice(lo, hi - lo) for c in batch.columns), lists], names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
