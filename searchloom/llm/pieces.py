@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from searchloom.llm._text import slices, spans
 
 BLANK = "▁"
-UNITS = 700_000
+UNITS = 200_000
 _models: dict[str, PieceModel] = {}
 
 
