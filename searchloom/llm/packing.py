@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from searchloom.llm._shared import stage
 from searchloom.llm._text import LOWER, slices, spans, words
 
-UNITS = 1_200_000
+UNITS = 800_000
 _encoders: dict[str, WordEncoder] = {}
 
 
