@@ -19,12 +19,15 @@ from pyspark.sql import types as T
 from searchloom.llm._text import slices, spans
 
 BLANK = "▁"
-UNITS = 200_000
-_models: dict[str, PieceModel] = {}
+UNITS = 200_000  # encoded units that a worker keeps
+PAIRS = 1 << 20  # pairs of pieces whose boundary it has judged
+BATCH = 20_000  # units matched at once
+OTHER = 0xFFFF  # the code of characters in no piece
+_models: dict[tuple[type, str], Spelling] = {}
 
 
-class PieceModel:
-    """The tables of a SentencePiece BPE model with byte fallback, and a bounded cache of encoded units."""
+class Spelling:
+    """The bytes that each id of a SentencePiece BPE model with byte fallback stands for."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -33,13 +36,38 @@ class PieceModel:
         self.size = sp.vocab_size()
         names = [sp.id_to_piece(i) for i in range(self.size)]
         plain = [i for i in range(self.size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.byte_ids = np.zeros(256, np.int64)
-        self.bytes_of = {}
+        self.byte_ids = np.zeros(256, np.int32)
+        spelled = [b""] * (self.size + 1)
+        for i in plain:
+            spelled[i] = names[i].replace(BLANK, " ").encode()
         for i in range(self.size):
             if sp.is_byte(i):
                 self.byte_ids[int(names[i][1:-1], 16)] = i
-                self.bytes_of[i] = bytes([int(names[i][1:-1], 16)])
-        self.text_of = {i: names[i].replace(BLANK, " ").encode() for i in plain}
+                spelled[i] = bytes([int(names[i][1:-1], 16)])
+        self.spelled_size = np.array([len(x) for x in spelled])
+        self.spelled_at, self.spelled = np.cumsum(self.spelled_size) - self.spelled_size, np.frombuffer(b"".join(spelled), np.uint8)
+        self._read(sp, names, plain)
+
+    def _read(self, sp, names: list[str], plain: list[int]):
+        """Other tables of a model, for those that need them."""
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of rows of ids: what encode() was given, but that BLANK comes back as a blank.
+
+        Unknown ids give nothing, and bytes that are no UTF-8 the replacement character.
+        """
+        ids = np.where((ids >= 0) & (ids < self.size), ids, self.size)
+        size = self.spelled_size[ids]
+        total = np.concatenate([[0], np.cumsum(size)])
+        raw = self.spelled[np.arange(total[-1]) + np.repeat(self.spelled_at[ids] - total[:-1], size)].tobytes()
+        ends = total[bounds].tolist()
+        return [raw[a + (raw[a : a + 1] == b" ") : b].decode("utf-8", "replace") if a < b else "" for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+class PieceModel(Spelling):
+    """The tables that encoding needs as well, and a bounded cache of encoded units."""
+
+    def _read(self, sp, names: list[str], plain: list[int]):
         self.ids = {names[i]: i for i in plain}
         self.pieces = sorted((names[i] for i in plain), key=len)
         self.longest = max(map(len, self.pieces))
@@ -62,11 +90,15 @@ class PieceModel:
         keys = np.array([a * self.size + b for a, b in merges], np.int64)
         by = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[by], np.array(list(merges.values()), np.int64)[by]
-        width = np.zeros((len(self.pieces), self.longest), np.uint32)
+        letters = sorted(set("".join(self.pieces)))
+        self.code_of = np.full(0x110000, OTHER, np.uint16)
+        self.code_of[[0, *map(ord, letters)]] = np.arange(len(letters) + 1)
+        self.codes = np.zeros((len(self.pieces), max(16, 1 << (self.longest - 1).bit_length())), np.uint16)
         for n, name in enumerate(self.pieces):
-            width[n, : len(name)] = [ord(c) for c in name]
-        self.codes, self.lengths = width, np.array([len(p) for p in self.pieces])
-        self.piece_ids = np.array([self.ids[p] for p in self.pieces], np.int64)
+            self.codes[n, : len(name)] = self.code_of[[ord(c) for c in name]]
+        self.lengths = np.array([len(p) for p in self.pieces], np.int32)
+        self.piece_ids = np.array([self.ids[p] for p in self.pieces], np.int32)
+        self.seen, self.kept = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         self.clear()
 
     def clear(self):
@@ -74,14 +106,15 @@ class PieceModel:
         self.flat, self.used = np.zeros(1 << 20, np.uint16 if self.size <= 1 << 16 else np.uint32), 0
         self.begin, self.count = np.zeros(UNITS + 1, np.int64), np.zeros(UNITS + 1, np.int32)
 
-    def _remember(self, key: int, ids: np.ndarray):
-        n = len(self.units)
-        if n == len(self.begin):
-            self.begin, self.count = np.concatenate([self.begin, np.zeros(n, np.int64)]), np.concatenate([self.count, np.zeros(n, np.int32)])
+    def _remember(self, keys: list[int], ids: np.ndarray, bounds: np.ndarray):
+        n, m = len(self.units), len(self.units) + len(keys)
+        if m > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.zeros(m, x.dtype)]) for x in (self.begin, self.count))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), self.flat.dtype)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[n], self.count[n], self.units[key] = self.used, len(ids), n
+        self.begin[n:m], self.count[n:m] = self.used + bounds[:-1], np.diff(bounds)
+        self.units.update(zip(keys, range(n, m), strict=True))
         self.used += len(ids)
 
     def _last_merge(self, name, merges):
@@ -116,7 +149,7 @@ class PieceModel:
                 until = part
             rows[i] = row
         depth = max(map(len, rows.values()))
-        part, until = np.full((self.size, depth), -1, np.int64), np.zeros((self.size, depth), np.int64)
+        part, until = np.full((self.size, depth), -1, np.int32), np.zeros((self.size, depth), np.int32)
         for i, row in rows.items():
             for d, (p, u) in enumerate(row):
                 part[i, d], until[i, d] = p, u
@@ -130,50 +163,54 @@ class PieceModel:
         """Whether merging keeps the boundary between pieces a and b; always so next to an unknown character (-1)."""
         out = np.ones(len(a), bool)
         todo = np.flatnonzero((a >= 0) & (b >= 0))
-        key = a[todo] * self.size + b[todo]
-        unique, back = np.unique(key, return_inverse=True)
-        x, y = unique // self.size, unique % self.size
-        ok = np.ones(len(unique), bool)
+        key = a[todo].astype(np.int64) * self.size + b[todo]
+        slot = ((key * 0x9E3779B1) >> 12) & (PAIRS - 1)  # answers are kept in a table of fixed size; a later pair takes the place of an earlier one
+        found, new = self.kept[slot], np.flatnonzero(self.seen[slot] != key)
+        if len(new):
+            pairs, back = np.unique(key[new], return_inverse=True)
+            found[new] = self._keeps(pairs // self.size, pairs % self.size)[back]
+            self.seen[slot[new]], self.kept[slot[new]] = key[new], found[new]
+        out[todo] = found
+        return out
+
+    def _keeps(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(x), bool)
         for d in range(self.right.shape[1]):
             for e in range(self.left.shape[1]):
                 p, q = self.right[x, d], self.left[y, e]
                 some = np.flatnonzero((p >= 0) & (q >= 0) & ok)
                 if not len(some):
                     continue
-                pair = p[some] * self.size + q[some]
+                pair = p[some].astype(np.int64) * self.size + q[some]
                 at = np.minimum(np.searchsorted(self.pair_keys, pair), len(self.pair_keys) - 1)
                 hit = self.pair_keys[at] == pair
                 some, at = some[hit], at[hit]
                 when = np.maximum(np.maximum(self.pair_ranks[at], self.rank[p[some]]), self.rank[q[some]])
                 ok[some[(when < self.right_until[x[some], d]) & (when <= self.left_until[y[some], e])]] = False
-        out[todo] = ok[back]
-        return out
+        return ok
 
-    def encode_units(self, units: list[str]) -> list[np.ndarray]:
-        """The ids of each unit, in which blanks are BLANK."""
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units, in which blanks are BLANK, and each unit's bounds in them."""
         sizes = np.array([len(u) for u in units])
         base = np.cumsum(sizes + 1) - (sizes + 1)
         text = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le"), np.uint32)
-        suffixes = self._suffix_array(text)
-        low, high = self._search(text, suffixes, False), self._search(text, suffixes, True)
-        count = high - low
-        which = np.repeat(np.arange(len(count)), count)
-        start = suffixes[np.arange(len(which)) + np.repeat(low - (np.cumsum(count) - count), count)]
+        start, which = self._occurrences(text)
         piece, size = self.piece_ids[which], self.lengths[which]
         fine = ~self.unmade[piece]
         start, piece, size = start[fine], piece[fine], size[fine]
         known = np.zeros(len(text) + 1, bool)
         known[start[size == 1]] = True
-        strange = np.flatnonzero(~known[: len(text)] & (text != 0))  # no piece of their own: spelled as bytes
-        start, piece, size = np.concatenate([start, strange]), np.concatenate([piece, np.full(len(strange), -1)]), np.concatenate([size, np.ones(len(strange), np.int64)])
+        strange = np.flatnonzero(~known[: len(text)] & (text != 0)).astype(np.int32)  # no piece of their own: spelled as bytes
+        start, piece, size = np.concatenate([start, strange]), np.concatenate([piece, np.full(len(strange), -1, np.int32)]), np.concatenate([size, np.ones(len(strange), np.int32)])
         end = start + size
-        unit = np.searchsorted(base, start, "right") - 1
-        place = end - base[unit]
+        longest = int(sizes.max(initial=0)) + 1
+        place = end - np.repeat(base, sizes + 1)[start]
+        place = place.astype(np.uint16 if longest < 1 << 16 else np.int32)  # numpy sorts short integers by radix
         order = np.argsort(place, kind="stable")
         start, piece, end = start[order], piece[order], end[order]
-        cuts = np.searchsorted(place[order], np.arange(1, int(sizes.max(initial=0)) + 2))
-        last = np.full(len(text) + 1, -2, np.int64)  # the piece that ends a path here; -2 none yet
-        came = np.zeros(len(text) + 1, np.int64)
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=longest))])[1 : longest + 1]
+        last = np.full(len(text) + 1, -2, np.int32)  # the piece that ends a path here; -2 none yet
+        came = np.zeros(len(text) + 1, np.int32)
         is_base = np.zeros(len(text) + 1, bool)
         is_base[base] = True
         for a, b in pairwise(cuts):
@@ -190,43 +227,67 @@ class PieceModel:
             at[left] = came[at[left]]
             left = left[at[left] > base[left]]
         if not steps:
-            return [np.zeros(0, np.uint32)] * len(units)
+            return np.zeros(0, np.int32), np.zeros(len(units) + 1, np.int64)
         owner, ids, stop = (np.concatenate([s[i] for s in reversed(steps)]) for i in range(3))
-        order = np.argsort(owner, kind="stable")
+        order = np.argsort(owner.astype(np.uint16 if len(units) < 1 << 16 else np.int64), kind="stable")
         owner, ids, stop = owner[order], ids[order], stop[order]
-        cuts = np.searchsorted(owner, np.arange(len(units) + 1)).tolist()
-        out = [ids[a:b] for a, b in pairwise(cuts)]
-        for u in np.unique(owner[ids == -1]).tolist():  # unknown characters are spelled as bytes
-            a, b = cuts[u], cuts[u + 1]
-            out[u] = np.concatenate([self.byte_ids[list(chr(text[e - 1]).encode())] if i == -1 else np.array([i]) for i, e in zip(ids[a:b], stop[a:b], strict=True)])
-        return out
-
-    def _suffix_array(self, text):
-        """Suffixes of the text sorted by as many characters as the longest piece has."""
-        rank, width = text.astype(np.int64), 1
-        while width < self.longest:
-            nxt = np.zeros(len(rank), np.int64)
-            nxt[:-width] = rank[width:] + 1
-            rank = np.unique(rank * (int(rank.max()) + 2) + nxt, return_inverse=True)[1]
-            width *= 2
-        return np.argsort(rank, kind="stable")
-
-    def _search(self, text, suffixes, after):
-        """For each piece, the first suffix that isn't below it, or (after) the first beyond those that begin with it."""
-        padded = np.concatenate([text, np.zeros(self.longest, np.uint32)])
-        low, high = np.zeros(len(self.pieces), np.int64), np.full(len(self.pieces), len(suffixes), np.int64)
-        inside = np.arange(self.longest)[None, :] < self.lengths[:, None]
-        while (open_ := np.flatnonzero(low < high)).size:
-            mid = (low[open_] + high[open_]) // 2
-            chars = padded[suffixes[mid][:, None] + np.arange(self.longest)]
-            unlike = (chars != self.codes[open_]) & inside[open_]
-            where = unlike.argmax(1)
-            each = np.arange(len(open_))
-            differ = unlike[each, where]
-            below = differ & (chars[each, where] < self.codes[open_][each, where])
-            go = below | (~differ if after else False)
-            low[open_[go]], high[open_[~go]] = mid[go] + 1, mid[~go]
-        return low
+        times = np.ones(len(ids), np.int64)
+        unknown = np.flatnonzero(ids == -1)
+        if len(unknown):  # unknown characters are spelled as bytes
+            spelled = [chr(c).encode() for c in text[stop[unknown] - 1].tolist()]
+            times[unknown] = [len(b) for b in spelled]
+            ids = np.repeat(ids, times)
+            ids[ids == -1] = self.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=times, minlength=len(units)).astype(np.int64))])
+        return ids, bounds
+
+    def _occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces occur in the text, and which: the range of each in the suffix array, found by binary search.
+
+        Suffixes are ranked by a word of their first characters, then by pairs of ranks until a piece's length is
+        covered; a piece's range of ranks follows from those of its parts at every step.
+        """
+        codes, n = self.code_of[text], len(text)
+        present = np.zeros(OTHER + 1, bool)
+        present[codes] = True
+        some = np.flatnonzero(present[self.codes].all(1))  # pieces of characters that occur; 0 pads pieces and ends units
+        used = np.flatnonzero(present[:OTHER])
+        bits, top = (8, 0xFF) if len(used) < 0xFF else (16, OTHER)
+        short = np.full(OTHER + 1, top, np.uint64)
+        short[used] = np.arange(len(used))
+        width = 64 // bits
+
+        def word(columns):
+            out = np.zeros(columns[0].shape, np.uint64)
+            for c in columns:
+                out = out << np.uint64(bits) | c
+            return out
+
+        padded = np.concatenate([short[codes], np.zeros(width, np.uint64)])
+        keys, rank = np.unique(word([padded[i : i + n] for i in range(width)]), return_inverse=True)
+        chars, inside = short[self.codes[some]], np.arange(self.codes.shape[1]) < self.lengths[some, None]
+        ends = np.where(inside, chars, np.uint64(top))
+        low = np.searchsorted(keys, word([chars[:, i::width] for i in range(width)]))
+        high = np.searchsorted(keys, word([ends[:, i::width] for i in range(width)]), "right")
+        filled, reach = inside[:, ::width], width
+        while True:
+            following = np.zeros(n, np.int64)
+            following[:-reach] = rank[reach:] + 1
+            step = len(keys) + 1
+            pairs = rank * step + following
+            first, more = low[:, ::2] * step, filled[:, 1::2]
+            from_ = np.where(more, first + low[:, 1::2] + 1, first)
+            to = np.where(more, np.where(high[:, ::2] > low[:, ::2], first + high[:, 1::2] + 1, from_), high[:, ::2] * step)
+            if low.shape[1] == 2:
+                break
+            keys, rank = np.unique(pairs, return_inverse=True)
+            low, high, filled, reach = np.searchsorted(keys, from_), np.searchsorted(keys, to), filled[:, ::2], reach * 2
+        suffixes = np.argsort(pairs)
+        pairs = pairs[suffixes]
+        low, high = np.searchsorted(pairs, from_[:, 0]), np.searchsorted(pairs, to[:, 0])
+        count = high - low
+        at = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
+        return suffixes[at].astype(np.int32), np.repeat(some, count)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows of UTF-8 bytes and each row's bounds in them."""
@@ -252,39 +313,21 @@ class PieceModel:
             self.clear()
             new = range(len(known))
         raw = data.tobytes()
-        for at in range(0, len(new), 30_000):
-            part = new[at : at + 30_000]
-            found = self.encode_units([raw[starts[first[i]] : ends[first[i]]].decode().replace(" ", BLANK) for i in part])
-            for i, ids in zip(part, found, strict=True):
-                self._remember(known[i], ids)
+        for at in range(0, len(new), BATCH):
+            part = new[at : at + BATCH]
+            self._remember([known[i] for i in part], *self.encode_units([raw[a:b].decode().replace(" ", BLANK) for a, b in zip(starts[first[part]].tolist(), ends[first[part]].tolist(), strict=True)]))
         unit = np.fromiter((self.units[k] for k in known), np.int64, len(known))[back]
         count = self.count[unit]
         total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         ids = self.flat[np.arange(total[-1]) + np.repeat(self.begin[unit] - total[:-1], count)]
         return ids.astype(np.int32), total[np.searchsorted(starts, offsets)]
 
-    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
-        """The texts of rows of ids: what encode() was given, but that BLANK comes back as a blank.
-
-        Unknown ids give nothing, and bytes that are no UTF-8 the replacement character.
-        """
-        if not hasattr(self, "spelled"):
-            spelled = [self.text_of.get(i) or self.bytes_of.get(i, b"") for i in range(self.size + 1)]
-            self.spelled_size = np.array([len(x) for x in spelled])
-            self.spelled_at, self.spelled = np.cumsum(self.spelled_size) - self.spelled_size, np.frombuffer(b"".join(spelled), np.uint8)
-        ids = np.where((ids >= 0) & (ids < self.size), ids, self.size)
-        size = self.spelled_size[ids]
-        total = np.concatenate([[0], np.cumsum(size)])
-        raw = self.spelled[np.arange(total[-1]) + np.repeat(self.spelled_at[ids] - total[:-1], size)].tobytes()
-        ends = total[bounds].tolist()
-        return [raw[a + (raw[a : a + 1] == b" ") : b].decode("utf-8", "replace") if a < b else "" for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-
-def model(path: str) -> PieceModel:
-    """The worker's model for this file; workers serve many tasks."""
-    if path not in _models:
-        _models[path] = PieceModel(path)
-    return _models[path]
+def model(path: str, kind: type = PieceModel):
+    """The worker's model of this kind for this file; workers serve many tasks."""
+    if (kind, path) not in _models:
+        _models[kind, path] = kind(path)
+    return _models[kind, path]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -298,7 +341,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches):
         pieces = model(path)
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(at)):
+            for lo, hi, data, offsets in slices(batch.column(at), 1 << 20):
                 flat, bounds = pieces.encode(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
                 yield pa.record_batch([*(c.slice(lo, hi - lo) for c in batch.columns), lists], names)
@@ -312,14 +355,13 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     at, names = rows.columns.index(ids), [*rows.columns, text]
 
     def run(batches):
-        pieces = model(path)
+        spelling = model(path, Spelling)
         for batch in batches:
-            lists = batch.column(at)
-            bounds = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))])
-            flat, out = np.asarray(lists.flatten()), []
-            for lo in range(0, batch.num_rows, 500):
-                some = bounds[lo : lo + 501]
-                out.extend(pieces.decode(flat[some[0] : some[-1]], some - some[0]))
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], names)
+            for lo in range(0, max(batch.num_rows, 1), 500):
+                part = batch.slice(lo, 500)
+                lists = part.column(at)
+                bounds = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))])
+                texts = spelling.decode(np.asarray(lists.flatten()), bounds)
+                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names)
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))

@@ -241,6 +241,19 @@ def test_language_model_counts(spark):
         assert want.sum() - langid.BUCKETS == n
 
 
+def test_pieces_of_wide_alphabets_match_the_library():
+    import random
+
+    import sentencepiece
+
+    path, some = public_tokenizers.path("piece_bpe_32k.model"), random.Random(1)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["".join(chr(some.choice([32, 32, 97, 98, 101, some.randrange(33, 0x500), some.randrange(0x4E00, 0x6000), 0x1F600 + some.randrange(50)])) for _ in range(2000)), "a" * 3000, " " * 40 + "x", "", "internationalization \n\n é"]
+    raw = [t.encode() for t in texts]
+    ids, bounds = pieces.PieceModel(path).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [library.encode(t) for t in texts]
+
+
 def test_pieces_match_the_library(spark, both, empty):
     import sentencepiece
 
