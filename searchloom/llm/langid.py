@@ -20,6 +20,7 @@ from searchloom.llm._shared import stage
 from searchloom.llm._text import inside, slices
 
 BUCKETS = 1 << 14
+SLICE = 1 << 19  # bytes of text at once: an order of n-grams takes some forty times that
 ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
@@ -81,7 +82,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
 
         for batch in batches:
             names = np.array(batch.column(1).to_pylist(), object)
-            for lo, hi, data, offsets in slices(batch.column(0)):
+            for lo, hi, data, offsets in slices(batch.column(0), SLICE):
                 mine, code = np.unique(names[lo:hi].astype(str), return_inverse=True)
                 for i, name in enumerate(mine):
                     held.setdefault(name, np.zeros(buckets, np.int64))
@@ -128,7 +129,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             best, sure = np.full(batch.num_rows, len(model.languages)), np.zeros(batch.num_rows)
             column = batch.column(at)
-            for lo, hi, data, offsets in slices(column) if model.languages else ():
+            for lo, hi, data, offsets in slices(column, SLICE) if model.languages else ():
                 total = np.tile(model.prior, (hi - lo, 1))
                 for bucket, rows in ngram_buckets(data, offsets, buckets=model.weights.shape[1]):
                     for i, row in enumerate(model.weights):

@@ -169,16 +169,17 @@ def _candidates(docs: DataFrame, text: str, k: int, num: int, den: int) -> DataF
             yield pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["shard"] != now:
+            shard_of, *blobs = (batch.column(i) for i in range(len(names)))
+            for i, shard in enumerate(shard_of.to_pylist()):
+                if shard != now:
                     yield from pairs()
-                    now = row["shard"]
-                if row["edges"] is not None:
-                    edges = np.frombuffer(row["edges"], np.int64).reshape(-1, 2)
+                    now = shard
+                nodes, owners, keys, edges = (b[i].as_buffer() for b in blobs)  # views of the batch, not copies
+                if edges is not None:
+                    edges = np.frombuffer(edges, np.int64).reshape(-1, 2)
                     yield from out(edges) if len(edges) else ()
                 else:
-                    nodes = np.frombuffer(row["nodes"], np.int64)[np.frombuffer(row["owners"], np.uint16)]
-                    held.append((nodes, np.frombuffer(row["keys"], np.uint64)))
+                    held.append((np.frombuffer(nodes, np.int64)[np.frombuffer(owners, np.uint16)], np.frombuffer(keys, np.uint64)))
         yield from pairs()
 
     blocks = docs.select(text).mapInArrow(post, "shard int, nodes binary, owners binary, keys binary, edges binary")
