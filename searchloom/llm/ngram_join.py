@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import pairwise
 
 import numpy as np
@@ -26,6 +27,7 @@ from searchloom.llm._text import mix, shingles, slices
 
 FAMILIES = 6
 CHUNK_SETS, CHUNK_TOKENS = 2048, 4_000_000
+ASKED = ("node", "block", "class", "chunks", "above", "below", "chunk")
 
 
 def size_classes(num: int, den: int, most: int) -> np.ndarray:
@@ -299,10 +301,19 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     edges = stage(_candidates(docs, text, k, num, den), "candidates")
     blocks = stage(components(edges).withColumnRenamed("root", "block"), "blocks")
     owners = sets.join(blocks, "node").groupBy("node", "block").agg(F.min(key).alias(key), F.first("n_shingles").alias("n"))
-    tokens = owners.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    tokens = tokens.select("block", F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("tokens") / CHUNK_TOKENS)).cast("int").alias("chunks"))
-    wanted = owners.join(tokens, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).drop("n")
-    asked = docs.join(wanted.withColumnRenamed(key, "__key"), docs[key] == F.col("__key")).select(text, "node", "block", "chunks", "chunk")
+    # A block of several chunks is dealt by size first: linked sets lie in the same class of sizes or in adjacent ones.
+    width = max(math.log(den / num), 0.01) * 1.000001
+    size_class = F.floor(F.log(F.col("n")) / width).cast("int")
+    need = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("tokens") / CHUNK_TOKENS)).cast("int")
+    classes = owners.groupBy("block", size_class.alias("class")).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    whole = classes.groupBy("block").agg(F.sum("sets").alias("sets"), F.sum("tokens").alias("tokens")).select("block", (need > 1).alias("split"))
+    counts = classes.select("block", "class", need.alias("chunks"))
+    beside = lambda step, name: counts.select("block", (F.col("class") + step).alias("class"), F.col("chunks").alias(name))
+    places = counts.join(beside(-1, "above"), ["block", "class"], "left").join(beside(1, "below"), ["block", "class"], "left").join(whole, "block")
+    places = places.select("block", "class", *(F.when(F.col("split"), F.coalesce(F.col(c), F.lit(0))).otherwise(int(c == "chunks")).alias(c) for c in ("chunks", "above", "below")), "split")
+    wanted = owners.withColumn("class", size_class).join(places, ["block", "class"])
+    wanted = wanted.select("node", key, "block", F.when(F.col("split"), F.col("class")).otherwise(0).alias("class"), "chunks", "above", "below", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+    asked = docs.join(wanted.withColumnRenamed(key, "__key"), docs[key] == F.col("__key")).select(text, *ASKED)
 
     def fetch(batches):
         for batch in batches:
@@ -312,11 +323,18 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
                 right = _digests(values, bounds).view(np.int64) == nodes[lo:hi]  # a repeated key may bring other texts
                 sets = [values[bounds[i] : bounds[i + 1]].tobytes() for i in np.flatnonzero(right)]
                 at = pa.array(np.flatnonzero(right) + lo)
-                yield pa.record_batch([*(batch.column(i).take(at) for i in range(1, 5)), pa.array(sets, pa.binary())], ["node", "block", "chunks", "chunk", "set"])
-
-    full = asked.mapInArrow(fetch, "node long, block long, chunks int, chunk int, set binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    tasks = full.select("*", other).withColumn("a", F.least("chunk", "other")).withColumn("b", F.greatest("chunk", "other"))
+                yield pa.record_batch([*(batch.column(i).take(at) for i in range(1, len(ASKED) + 1)), pa.array(sets, pa.binary())], [*ASKED, "set"])
+
+    full = asked.mapInArrow(fetch, "node long, block long, class int, chunks int, above int, below int, chunk int, set binary")
+    # A task joins two chunks of a class, or one with one of the next class; (class, a) is the first of the two, (next, b) the second.
+    up_to = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    task = lambda c, step, a, b: F.struct(c.alias("class"), F.lit(step).alias("step"), a.alias("a"), b.alias("b"))
+    own = F.transform(up_to("chunks"), lambda i: task(F.col("class"), 0, F.least(F.col("chunk"), i), F.greatest(F.col("chunk"), i)))
+    higher = F.transform(up_to("above"), lambda i: task(F.col("class"), 1, F.col("chunk"), i))
+    lower = F.transform(up_to("below"), lambda i: task(F.col("class") - 1, 1, i, F.col("chunk")))
+    # Chunks that meet others need no task of their own.
+    alone = F.filter(own, lambda x: (x["a"] != x["b"]) | (F.col("chunks") + F.col("above") + F.col("below") == 1))
+    tasks = full.select("block", "node", "set", F.explode(F.concat(alone, higher, lower)).alias("task"))
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("node")
@@ -324,7 +342,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         forest = link_sets([np.frombuffer(s, np.uint64) for s in frame["set"]], num, den) if len(frame) > 1 else []
         return pd.DataFrame({"u": [nodes[i] for i, _ in forest], "v": [nodes[j] for _, j in forest]}, dtype="int64")
 
-    links = tasks.select("block", "a", "b", "node", "set").groupBy("block", "a", "b").applyInPandas(join, "u long, v long")
+    links = tasks.groupBy("block", "task").applyInPandas(join, "u long, v long")
     groups = components(stage(links, "set-links"))
     rows = sets.join(groups, "node", "left").withColumn("__root", F.coalesce("root", "node"))
     least = rows.where(F.col("__root").isNotNull()).groupBy("__root").agg(F.min(key).alias("__least"))
