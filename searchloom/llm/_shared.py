@@ -38,6 +38,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to `most`, so that rows with whole texts or blocks
+    of hashes pass between the JVM and Python a few megabytes at a time. A lower bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if not (now and now.isdigit() and 0 < int(now) <= most):
+        spark.conf.set(name, most)
+
+
 def spread(spark: SparkSession) -> int:
     """How many shards blocks of hashes are dealt to: as many as the session's shuffle has partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

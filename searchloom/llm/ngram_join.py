@@ -17,12 +17,11 @@ import math
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from searchloom.llm._shared import components, spread, stage
+from searchloom.llm._shared import components, small_batches, spread, stage
 from searchloom.llm._text import mix, shingles, slices
 
 FAMILIES = 6
@@ -260,11 +259,19 @@ class PrefixTree:
 
 def link_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """A forest of pairs (i, j) that connects sets of hashes exactly as all links between them would."""
-    sizes = np.array([len(s) for s in sets])
-    _, index, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(often), np.int64)
-    rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
-    ranked = [np.sort(x) for x in np.split(rank[index.reshape(-1)], np.cumsum(sizes)[:-1])]
+    # Few copies of the elements at a time: they are sorted in place, and ranks are 32 bits wide.
+    held = np.concatenate(sets)
+    held.sort()
+    start = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
+    known, often = held[start], np.diff(np.append(start, len(held))).astype(np.int32)
+    del held, start
+    rank = np.empty(len(often), np.uint32)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(often), dtype=np.uint32)
+    ranked = []
+    for own in sets:
+        ranked.append(rank[np.searchsorted(known, own)])
+        ranked[-1].sort()
+    del known, rank
     tree, member, root = PrefixTree(ranked), np.zeros(len(often), bool), list(range(len(sets)))
 
     def find(i):
@@ -295,7 +302,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     but such rows around it, has a null component. Keys are whole numbers. Other columns are ignored; empty input
     gives an empty result.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     docs = docs.select(key, text)
     sets = stage(shingle_sets(docs, key, text, k), "sets")
     edges = stage(_candidates(docs, text, k, num, den), "candidates")
@@ -336,13 +343,14 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     alone = F.filter(own, lambda x: (x["a"] != x["b"]) | (F.col("chunks") + F.col("above") + F.col("below") == 1))
     tasks = full.select("block", "node", "set", F.explode(F.concat(alone, higher, lower)).alias("task"))
 
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("node")
-        nodes = frame["node"].to_numpy()
-        forest = link_sets([np.frombuffer(s, np.uint64) for s in frame["set"]], num, den) if len(frame) > 1 else []
-        return pd.DataFrame({"u": [nodes[i] for i, _ in forest], "v": [nodes[j] for _, j in forest]}, dtype="int64")
+    def join(table: pa.Table) -> pa.Table:
+        nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        column = table.column("set")
+        forest = link_sets([np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in first], num, den) if len(first) > 1 else []
+        pairs = nodes[np.array(forest, np.int64).reshape(-1, 2)]
+        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    links = tasks.groupBy("block", "task").applyInPandas(join, "u long, v long")
+    links = tasks.groupBy("block", "task").applyInArrow(join, "u long, v long")
     groups = components(stage(links, "set-links"))
     rows = sets.join(groups, "node", "left").withColumn("__root", F.coalesce("root", "node"))
     least = rows.where(F.col("__root").isNotNull()).groupBy("__root").agg(F.min(key).alias("__least"))
