@@ -188,12 +188,16 @@ def _candidates(docs: DataFrame, text: str, k: int, num: int, den: int) -> DataF
 
 
 class PrefixTree:
-    """Sets of ascending ranks, stored by their common beginnings; a node holds the ranks up to its next fork."""
+    """Sets of ascending ranks, stored by their common beginnings; a node holds the ranks up to its next fork.
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
+    A set may be given without elements that no other set has; `full` then has its whole size.
+    """
+
+    def __init__(self, sets: list[np.ndarray], full: list[int]):
+        self.sets, self.full = sets, full
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
-        # Parallel lists by node: ranks on it, depth at its end, children, sets that end there, sizes below it.
+        # Parallel lists by node: ranks on it, depth at its end, children, sets that end there; below it, the smallest
+        # and largest size and the most ranks of a set.
         self.ranks, self.depth, self.children, self.ends, self.sizes = [], [], [], [], []
         root = self._node(np.zeros(0, np.int64), 0)
         path, before = [root], None
@@ -225,34 +229,36 @@ class PrefixTree:
         for node in walk:
             walk.extend(self.children[node])
         for node in reversed(walk):
-            below = [len(sets[i]) for i in self.ends[node]] + [s for c in self.children[node] for s in self.sizes[c]]
-            self.sizes[node] = (min(below), max(below)) if below else (0, 0)
+            below = [(full[i], full[i], len(sets[i])) for i in self.ends[node]] + [self.sizes[c] for c in self.children[node]]
+            if below:
+                low, high, most = zip(*below, strict=True)
+                self.sizes[node] = (min(low), max(high), max(most))
 
     def _node(self, ranks, depth):
-        for column, value in zip((self.ranks, self.depth, self.children, self.ends, self.sizes), (ranks, depth, [], [], (0, 0)), strict=True):
+        for column, value in zip((self.ranks, self.depth, self.children, self.ends, self.sizes), (ranks, depth, [], [], (0, 0, 0)), strict=True):
             column.append(value)
         return len(self.ranks) - 1
 
-    def similar(self, own: np.ndarray, member: np.ndarray, num: int, den: int, skip):
-        """Sets i with den * overlap >= num * union. member: whether a rank is in own. skip(i): need not be tested."""
-        n = len(own)
+    def similar(self, own: np.ndarray, n: int, member: np.ndarray, num: int, den: int, skip):
+        """Sets i with den * overlap >= num * union. n: whole size of own; member: whether a rank is in own; skip(i):
+        need not be tested."""
         stack = [(0, 0)]
         while stack:
             node, overlap = stack.pop()
-            low, high = self.sizes[node]
+            low, high, most = self.sizes[node]
             if high * den < num * n or low * num > den * n:
                 continue
             ranks = self.ranks[node]
             if len(ranks):
                 overlap += int(np.count_nonzero(member[ranks]))
-                left = n - int(np.searchsorted(own, ranks[-1], "right"))
+                left = len(own) - int(np.searchsorted(own, ranks[-1], "right"))
             else:
-                left = n
+                left = len(own)
             # The overlap needed with the smallest set below, against the most that can still be reached.
-            if (overlap + min(left, high - self.depth[node])) * (den + num) < num * (n + max(low, -(-num * n // den))):
+            if (overlap + min(left, most - self.depth[node])) * (den + num) < num * (n + max(low, -(-num * n // den))):
                 continue
             for i in self.ends[node]:
-                if overlap * (den + num) >= num * (n + len(self.sets[i])) and not skip(i):
+                if overlap * (den + num) >= num * (n + self.full[i]) and not skip(i):
                     yield i
             stack.extend((c, overlap) for c in self.children[node])
 
@@ -267,12 +273,17 @@ def link_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int
     del held, start
     rank = np.empty(len(often), np.uint32)
     rank[np.argsort(-often, kind="stable")] = np.arange(len(often), dtype=np.uint32)
-    ranked = []
-    for own in sets:
-        ranked.append(rank[np.searchsorted(known, own)])
-        ranked[-1].sort()
+    # An element of one set alone is in no overlap: a set with too few others has no links and stays out of the tree.
+    ranked, full, place = [], [], []
+    for i, own in enumerate(sets):
+        at = np.searchsorted(known, own)
+        at = at[often[at] > 1]
+        if len(at) * den >= num * len(own):
+            ranked.append(np.sort(rank[at]))
+            full.append(len(own))
+            place.append(i)
     del known, rank
-    tree, member, root = PrefixTree(ranked), np.zeros(len(often), bool), list(range(len(sets)))
+    tree, member, root = PrefixTree(ranked, full), np.zeros(len(often), bool), list(range(len(ranked)))
 
     def find(i):
         while root[i] != i:
@@ -280,14 +291,14 @@ def link_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int
             i = root[i]
         return i
 
-    forest, groups = [], len(sets)
+    forest, groups = [], len(ranked)
     for i, own in enumerate(ranked):
-        if groups == 1:
+        if groups <= 1:
             break
         member[own] = True
-        for j in tree.similar(own, member, num, den, lambda j, i=i: find(i) == find(j)):
+        for j in tree.similar(own, full[i], member, num, den, lambda j, i=i: find(i) == find(j)):
             root[find(j)] = find(i)
-            forest.append((i, j))
+            forest.append((place[i], place[j]))
             groups -= 1
         member[own] = False
     return forest
