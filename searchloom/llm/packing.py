@@ -110,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, key:
     def cut(batches):
         model = encoder(tokenizer)
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(1), 1 << 20):
+            for lo, hi, data, offsets in slices(batch.column(1), 1 << 19):
                 ids, bounds = model.encode(data, offsets)
                 owners, start, size, crc, tokens, own = [], [], [], [], [], []
                 for r in range(hi - lo):
