@@ -79,6 +79,33 @@ def style_flags(docs):
     return style.flags(docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), ending).alias("text")))
 
 
+# The verdict's drafts: documents with their endings, some with marks of the further rules, and every fifth page anew.
+MARKS = ("---\nkind: blog\n---\n", "See https://a.example/?utm_source=chatgpt.com now--then and here--there. ", "", "")
+_MARK = "CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MARKS)) + " END"
+_WHOLE_DRAFTS = f"""SELECT doc_id, {_MARK} || coalesce(text, '') || {_ENDING} || CASE WHEN doc_id % 4 = 2 THEN chr(10) || '# More' ELSE '' END AS raw FROM documents UNION ALL SELECT -1 - page_id, html FROM pages WHERE page_id % 5 = 0"""
+_LEXICAL = SQL["text_gate"].split("FROM documents), ", 1)[1]
+_SHINGLES = """w AS (SELECT doc_id AS k, true AS draft, raw AS text FROM r UNION ALL SELECT page_id, false, html FROM pages),
+v AS (SELECT k, draft, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')), ' +'), lambda x: x <> '') AS w FROM w),
+s AS (SELECT DISTINCT k, draft, array_to_string(w[i:i + 4], ' ') AS h FROM (SELECT k, draft, w, unnest(range(1, len(w) - 3)) AS i FROM v WHERE len(w) >= 5)),
+n AS (SELECT k, draft, count(*) AS n FROM s GROUP BY ALL),
+m AS (SELECT a.k AS doc_id, b.k AS page, count(*) AS m FROM s a JOIN s b ON a.h = b.h AND a.draft AND NOT b.draft GROUP BY ALL),
+f AS (SELECT doc_id, page, m / (a.n + b.n - m) AS similarity FROM m JOIN n a ON a.k = doc_id AND a.draft JOIN n b ON b.k = page AND NOT b.draft WHERE b.n >= 50)
+SELECT doc_id, page::VARCHAR AS copied_from, similarity FROM f WHERE similarity >= 0.18 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, page::VARCHAR) = 1"""
+_DASHES = f"len(regexp_extract_all(t, '—')) + len(regexp_extract_all(regexp_replace(t, '({quality.LETTER})', '\\1\\1', 'g'), '{quality.LETTER}--{quality.LETTER}'))"
+
+
+@query("gate_verdict", "documents pages", f"""WITH r AS ({_WHOLE_DRAFTS}), d AS (SELECT doc_id, regexp_replace(raw, {_re(quality.FRONTMATTER)}, '') AS t FROM r),
+style AS (WITH {_FLAGS.split("FROM documents)," + chr(10), 1)[1]}), lexical AS (WITH {_LEXICAL}), copies AS (WITH {_SHINGLES}),
+more AS (SELECT doc_id, {_n("t", quality.UTM)} + {_has("t", quality.HEADING_LAST)} AS fatal, (words > 0 AND {_DASHES} > greatest(1, words // 1000))::INT - (words > 0 AND len(regexp_extract_all(t, '—')) > greatest(1, words // 1000))::INT AS dashed FROM d JOIN (SELECT doc_id, words FROM lexical) USING (doc_id)),
+k AS (SELECT doc_id, l.words, (l.p0 + s.p0 + fatal)::BIGINT AS p0, (l.p1 + s.p1 + dashed)::BIGINT AS p1, (l.p2 + s.p2)::BIGINT AS p2, coalesce(similarity, 0) AS duplication, copied_from FROM lexical l JOIN style s USING (doc_id) JOIN more USING (doc_id) LEFT JOIN copies USING (doc_id))
+SELECT *, 100 * p0 + 5 * p1 + p2 AS score, p0 = 0 AND p1 < 6 AND duplication < 0.28 AS passed FROM k""", "duplication")
+def gate_verdict(docs, pages):
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (F.col("doc_id") % n).cast("int"))
+    text = F.concat(pick(MARKS, 4), F.coalesce("text", F.lit("")), pick(ENDINGS, 6), F.when(F.col("doc_id") % 4 == 2, "\n# More").otherwise(""))
+    again = pages.where("page_id % 5 = 0").select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").alias("text"))
+    return quality.verdict(docs.select("doc_id", text.alias("text")).union(again), pages.select(F.col("page_id").cast("string").alias("url"), F.col("html").alias("text")))
+
+
 @query("corpus_index", "documents", """WITH v AS (SELECT doc_id, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')), ' +'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM v WHERE len(w) >= 5))
 SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id HAVING count(*) >= 50""")
