@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from searchloom.functions import text as X
 from searchloom.operators import search as S
 from searchloom.params import CTR_CURVE, DEFAULT
-from searchloom.plans.views import table, with_views
+from searchloom.plans.views import FACTS, table, widened, with_views
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -20,19 +20,26 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def query(name: str, tables: str, sql: str = "", doubles: str = "", dated: str = ""):
-    """Registers make(*tables[, as_of]) as a query; doubles are rounded on both sides."""
+    """Registers make(*tables[, as_of]) as a query; doubles are rounded on both sides.
+
+    Queries over search facts are registered a second time, with _all behind the name, over the facts of all parts.
+    """
 
     def register(make):
-        def run(spark, sf_dir):
-            frames = [table(spark, sf_dir, t) for t in tables.split()]
+        def run(spark, sf_dir, wide=False):
+            frames = [table(spark, sf_dir, t, wide) for t in tables.split()]
             if dated:  # the last date of the facts is what "today" is
-                frames.append(table(spark, sf_dir, dated.split(".")[0]).agg(F.max(dated.split(".")[1])).first()[0])
+                frames.append(table(spark, sf_dir, dated.split(".")[0], wide).agg(F.max(dated.split(".")[1])).first()[0])
             return rounded(make(*frames))
 
         QUERIES[name] = run
         if sql:
             body = with_views(sql)
             SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({d}, 6) AS {d}' for d in doubles.split())}) FROM ({body})" if doubles else body
+        if any(t in FACTS for t in tables.split()):
+            QUERIES[f"{name}_all"] = lambda spark, sf_dir: run(spark, sf_dir, wide=True)
+            if sql:
+                SQL[f"{name}_all"] = widened(SQL[name])
         return make
 
     return register

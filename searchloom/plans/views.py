@@ -26,15 +26,29 @@ FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey % 60""",
     "action_ledger": """SELECT o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS created, CASE o_orderkey % 5 WHEN 0 THEN 'post' WHEN 1 THEN 'meta' WHEN 2 THEN 'faq' WHEN 3 THEN 'prune' ELSE 'merge' END AS kind, CASE o_orderstatus WHEN 'F' THEN 'shipped' WHEN 'O' THEN 'planned' ELSE 'failed' END AS status,
   CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' DAY * (o_orderkey % 10) AS decided_at, '{"slug":"s' || CAST(o_custkey AS VARCHAR) || '","source":"' || (CASE WHEN o_orderkey % 3 = 0 THEN 'aeo' ELSE 'gsc' END) || '"}' AS meta FROM orders""",
 }
+# What the views that end in _all change in the facts: every part is a page with its own rows, dates lie within 180 days, and queries belong to blocks of 20 parts.
+_WIDE = (
+    ("p.p_partkey = l.l_partkey % 60", "p.p_partkey = l.l_partkey"),
+    ("END END AS query", "END END || ' ' || CAST(p.p_partkey - p.p_partkey % 20 AS VARCHAR) AS query"),
+    ("CAST(l.l_shipdate AS DATE) AS date", "CAST(TIMESTAMP '2001-11-04 00:00:00' - INTERVAL '1' DAY * (l.l_orderkey % 180) AS DATE) AS date"),
+)
+FACTS = ("page_daily", "query_daily", "page_query")
 _NEEDS = {"page_daily": ("search_fact",), "query_daily": ("search_fact",), "page_query": ("search_fact",)}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, or one derived from them."""
+def widened(sql: str) -> str:
+    """SQL over search facts of all parts instead of the first 60."""
+    for old, new in _WIDE:
+        sql = sql.replace(old, new)
+    return sql
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """A given table, or one derived from them; `wide`: from the facts of all parts."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = VIEWS[name]
-    frames = {n: table(spark, sf_dir, n) for n in (*_NEEDS.get(name, ()), *(t for t in TABLES if f" {t}" in f"{text} ".replace("FROM ", "FROM  ").replace("\n", " ") and (f"FROM {t}" in text or f"JOIN {t}" in text)))}
+    text = widened(VIEWS[name]) if wide else VIEWS[name]
+    frames = {n: table(spark, sf_dir, n, wide) for n in (*_NEEDS.get(name, ()), *(t for t in TABLES if f" {t}" in f"{text} ".replace("FROM ", "FROM  ").replace("\n", " ") and (f"FROM {t}" in text or f"JOIN {t}" in text)))}
     sql = text.replace("VARCHAR", "STRING")
     sql = sql.replace("{", "{{").replace("}", "}}")
     for n in frames:
