@@ -30,11 +30,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of texts linked at 0.8 of their five-word shingles, the one of the smallest doc_id."""
+    """Keeps, of each group of texts linked at 0.8 of their five-word shingles, the row of the smallest doc_id.
+
+    A missing id comes last, rows that share an id are told apart by what they hold, and of equal rows with words one stays.
+    """
     docs = docs.select(*COLUMNS)
-    groups = ngram_join.jaccard_groups(docs, k=5, num=80, den=100)
-    dropped = groups.where(F.col("doc_id") != F.col("component")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    rank = F.struct(F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(*COLUMNS).alias("row"))
+    ranked = docs.withColumn("rank", rank)
+    groups = stage(ngram_join.jaccard_groups(ranked, "rank", k=5, num=80, den=100), "near-groups")
+    dropped = groups.where(F.col("rank") != F.col("component")).select("rank")
+    twice = groups.where((F.col("rank") == F.col("component")) & (F.col("n_shingles") > 0)).groupBy("rank").count().where("count > 1").select("rank")
+    if twice.isEmpty():
+        return ranked.join(dropped, "rank", "left_anti").select(*COLUMNS)
+    once = ranked.join(twice, "rank", "left_semi").dropDuplicates(["rank"])
+    return ranked.join(dropped.union(twice), "rank", "left_anti").union(once).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -309,9 +309,9 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     Rows are linked when den * |intersection| >= num * |union| of their sets of distinct k-word shingles (A-Z lowered;
     a text of fewer words is one shingle). Texts without words have no links. Equal sets are linked whatever their
-    number. Rows that repeat a key stay rows and share its smallest component; a row with a null key, and nothing
-    but such rows around it, has a null component. Keys are whole numbers. Other columns are ignored; empty input
-    gives an empty result.
+    number. Rows that repeat a key stay rows, and each has the component of its own text; a row with a null key, and
+    nothing but such rows around it, has a null component. Keys are of a type that has an order. Other columns are
+    ignored; empty input gives an empty result.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(key, text)
@@ -332,6 +332,10 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     wanted = owners.withColumn("class", size_class).join(places, ["block", "class"])
     wanted = wanted.select("node", key, "block", F.when(F.col("split"), F.col("class")).otherwise(0).alias("class"), "chunks", "above", "below", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
     asked = docs.join(wanted.withColumnRenamed(key, "__key"), docs[key] == F.col("__key")).select(text, *ASKED)
+    # Sets that rows without a key alone hold are fetched by node, one text of each.
+    keyless = shingle_sets(docs.where(F.col(key).isNull()).select(F.col(text).alias("__text"), text), "__text", text, k)
+    keyless = keyless.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("__text").alias(text))
+    asked = asked.union(keyless.join(wanted.where(F.col(key).isNull()), "node").select(text, *ASKED))
 
     def fetch(batches):
         for batch in batches:
