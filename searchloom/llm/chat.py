@@ -48,13 +48,15 @@ class Template:
             return self.marks[role]
         return self.other[0].replace("{role}", self.escaped(role).replace("]", self.escape + "]")), self.other[1]
 
-    def role_of(self, mark: str) -> str | None:
-        """The role that an opening mark stands for; None if the text opens no turn."""
+    def opening(self, text: str) -> tuple[str, int] | None:
+        """The role that the mark at the start of formatted text opens, and the mark's length; None if none stands there."""
         for role, (before, _) in self.marks.items():
-            if mark == before:
-                return role
+            if text.startswith(before):
+                return role, len(before)
         head, tail = self.other[0].split("{role}")
-        return self.unescaped(mark[len(head) : len(mark) - len(tail)]) if mark.startswith(head) and mark.endswith(tail) else None
+        e, end = re.escape(self.escape), re.escape(tail[0])
+        found = re.match(f"{re.escape(head)}((?:[^{e}{end}]|{e}.)*){re.escape(tail)}", text, re.S)
+        return (self.unescaped(found[1]), found.end()) if found else None
 
 
 def format_chats(turns: DataFrame, template: Template | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -95,8 +97,9 @@ def format_chats(turns: DataFrame, template: Template | None = None, conv: str =
 def read_back(segments: DataFrame, template: Template | None = None, conv: str = "conv_id") -> DataFrame:
     """Per conversation, what its segments say: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid.
 
-    segments: as format_chats() gives them, in its order. Roles and texts are read from the formatted text alone:
-    marks are told from texts by their control strings, and texts are unescaped.
+    segments: as format_chats() gives them, in its order, or the same text cut elsewhere. Their joined text is scanned
+    for marks, and roles, texts and what the loss covers come from that alone; texts are unescaped. Text in which no
+    turn opens or closes counts as one more turn of no role. `valid` is the segments' own.
     """
     template = template or Template()
     names = [conv, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
@@ -109,35 +112,45 @@ def read_back(segments: DataFrame, template: Template | None = None, conv: str =
             kinds = segments_kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()
             return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
+        def turn(h, role, said):
+            h["turns"].update(f"{role}\n{said}\n".encode())
+            h["n"] += 1
+            if role in template.loss:
+                h["loss"].update(said.encode())
+                h["loss_chars"] += len(said)
+
+        def scan(h, segment):
+            """Takes the turns that end in what is held and the segment, and holds the rest."""
+            seen, h["text"] = len(h["text"]), h["text"] + segment
+            while True:
+                if h["role"] is None:
+                    if not (mark := template.opening(h["text"])):
+                        return
+                    h["role"], seen, h["text"] = mark[0], 0, h["text"][mark[1] :]
+                after = template.around(h["role"])[1]
+                if (at := h["text"].find(after, max(0, seen - len(after)))) < 0:
+                    return
+                turn(h, h["role"], template.unescaped(h["text"][:at]))
+                h["role"], seen, h["text"] = None, 0, h["text"][at + len(after) :]
+
         def closed(h):
+            if h["text"] or h["role"] is not None:
+                turn(h, None, h["text"])
             return now, h["n"], h["turns"].hexdigest(), h["loss_chars"], h["loss"].hexdigest(), h["chars"], h["valid"] and h["end"]
 
         for batch in batches:
             segments_kind, rows = batch.schema.field(0).type, []
-            for c, segment, loss, valid, end in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for c, segment, valid, end in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if held is None or c != now:
                     if held:
                         rows.append(closed(held))
-                    now, held = c, {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "open": False, "valid": True}
+                    now, held = c, {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "role": None, "text": "", "valid": True}
                 held["chars"] += len(segment)
                 held["valid"], held["end"] = valid, end
-                said = template.unescaped(segment)
-                if loss:
-                    held["loss"].update(said.encode())
-                    held["loss_chars"] += len(said)
-                if held["open"] is False:  # an opening mark must stand here
-                    role = template.role_of(segment)
-                    held["turns"].update(f"{role}\n".encode())
-                    held["n"] += 1
-                    held["open"] = True
-                elif held["open"] is True:
-                    held["turns"].update(f"{said}\n".encode())
-                    held["open"] = None
-                else:  # the closing mark
-                    held["open"] = False
+                scan(held, segment)
             if rows:
                 yield out(rows)
         if held:
             yield out([closed(held)])
 
-    return segments.select(conv, "segment", "loss", "valid", "may_end").mapInArrow(parse, schema)
+    return segments.select(conv, "segment", "valid", "may_end").mapInArrow(parse, schema)
