@@ -5,14 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchloom.llm._text import mix
 
+SHARD_BYTES = 32 << 20  # what a task that holds a shard in memory is dealt, on average
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one where that is unset in local mode."""
@@ -21,35 +26,100 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = os.path.join(tempfile.gettempdir(), "searchloom-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return os.path.join(tempfile.gettempdir(), "searchloom-checkpoints")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables that a job stages in the shared folder; those that nothing reads any more can be dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, survives lost executors."""
+        self.paths[name] = path = new_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            discard(self.spark, self.paths.pop(name))
+
+    def close(self, *kept: str) -> None:
+        """Drops all tables but those kept."""
+        self.drop(*(n for n in list(self.paths) if n not in kept))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """One table in the shared folder, for a result that is read lazily: it stays until the folder is cleared."""
+    return Scratch(df.sparkSession).stage(df, name)
 
 
-def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """Lowers the session's bound on the bytes of an Arrow batch to `most`, so that rows with whole texts or blocks
-    of hashes pass between the JVM and Python a few megabytes at a time. A lower bound of the session stays."""
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Bounds Arrow batches to `most` bytes for the jobs run inside, so that rows with whole texts or sets pass between
+    the JVM and Python a few megabytes at a time. The session's setting is restored; a lower one stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, None)
-    if not (now and now.isdigit() and 0 < int(now) <= most):
+    before = spark.conf.get(name, None)
+    lower = bool(before and before.isdigit() and 0 < int(before) <= most)
+    if not lower:
         spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        if not lower:
+            spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def spread(spark: SparkSession, size: float = 0) -> int:
+    """How many shards `size` bytes are dealt to: SHARD_BYTES in each, and at least the session's shuffle partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // SHARD_BYTES))
+
 
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Table | None], schema: str, parts: int | None = None) -> DataFrame:
+    """work() on the rows of each combination of keys, as one table: groups are dealt by key, sorted and streamed.
+
+    Groups must be of a size that a task can hold; a small one costs no more than the slicing of its rows.
+    """
 
-def spread(spark: SparkSession) -> int:
-    """How many shards blocks of hashes are dealt to: as many as the session's shuffle has partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([np.asarray(batch.column(batch.schema.get_field_index(k))) for k in keys], 1)
+            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                first = tuple(marks[a].tolist())
+                if held and first != now:
+                    yield from out(held)
+                    held = []
+                now = first
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from out(held)
+
+    def out(held):
+        found = work(pa.Table.from_batches(held))
+        if found is not None and found.num_rows:
+            yield from found.to_batches()
+
+    dealt = df.repartition(parts, *keys) if parts else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def _forest(frames):
@@ -95,17 +165,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round deals the edges by their larger end, contracts those of each task to stars, and lets every node jump to
     its parent's parent. Only leaves are dealt by key: a hub's edges lie in many tasks, and the jump is a join whose
-    large partitions Spark can split. Rounds are written to the shared folder; one number a round comes to the driver.
+    large partitions Spark can split. Rounds are written to the shared folder, and dropped when the next one is there;
+    one number a round comes to the driver. The result is a staged table.
     """
+    scratch = Scratch(edges.sparkSession)
     ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     links = ends.mapInPandas(_forest, "u long, v long, new boolean")
+    turn = 0
     while True:
         local = links.select("u", "v").repartition(spread(edges.sparkSession), "u").mapInPandas(_forest, "u long, v long, new boolean")
-        local = stage(local, "links")
+        local = scratch.stage(local, f"local-{turn}")
         above = local.groupBy("u").agg(F.min("v").alias("__v")).withColumnRenamed("u", "__u")
         jumped = local.join(above, F.col("v") == F.col("__u"), "left")
-        links = stage(jumped.select("u", F.coalesce("__v", "v").alias("v"), (F.col("new") | F.col("__v").isNotNull()).alias("new")), "links")
+        links = scratch.stage(jumped.select("u", F.coalesce("__v", "v").alias("v"), (F.col("new") | F.col("__v").isNotNull()).alias("new")), f"links-{turn}")
+        scratch.close(f"links-{turn}")
+        turn += 1
         if not links.agg(F.max("new")).first()[0]:
             break
     nodes = links.select("u", F.col("v").alias("root")).union(links.select(F.col("v").alias("u"), F.col("v").alias("root")))
-    return nodes.groupBy(F.col("u").alias("node")).agg(F.min("root").alias("root"))
+    roots = scratch.stage(nodes.groupBy(F.col("u").alias("node")).agg(F.min("root").alias("root")), "roots")
+    scratch.close("roots")
+    return roots

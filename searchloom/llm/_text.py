@@ -11,8 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
+LONG = 256  # bytes beyond which a span is hashed by itself
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -21,7 +23,7 @@ LOWER[65:91] += 32
 
 _STEP = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_STEP, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # keeps the first n bytes of a lane
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -73,13 +75,24 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 
 def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal for equal bytes."""
-    powers, inverses = _grown(len(data) + 1)
+    """A 64-bit hash of each span of bytes; equal for equal bytes.
+
+    Lanes of eight bytes are chained through mix(), which is no sum of bytes by place: spans of one lane and one length
+    never collide, others do by chance alone. A span beyond LONG bytes has its XXH3. Two seeds give 128 bits.
+    """
+    size = ends - starts
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * powers[: len(data)], out=total[1:])
-        h = (total[ends] - total[starts]) * inverses[starts]
-        return mix(h + np.uint64(seed) * np.uint64(_STEP) + (ends - starts).astype(np.uint64))
+        h = mix((size.astype(np.uint64) + np.uint64(seed * 0x51ED270B + 1)) * np.uint64(_STEP))
+        live = np.flatnonzero((size > 0) & (size <= LONG))
+        done = 0
+        while len(live):
+            left = size[live] - done
+            h[live] = mix((h[live] ^ (lanes[starts[live] + done] & _FIRST[np.minimum(left, 8)])) * np.uint64(0xD6E8FEB86659FD93))
+            live, done = live[left > 8], done + 8
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -314,10 +314,12 @@ def test_line_dedup(spark, both, empty, limit):
 
 
 def test_line_index_finds_its_keys_and_no_others():
-    keys = np.unique(np.random.default_rng(1).integers(1, 1 << 63, 50_000, dtype=np.uint64))
-    index = lines.LineIndex(keys, np.arange(len(keys)) + 1)
-    assert (index.count(keys) == np.arange(len(keys)) + 1).all() and len(index.prints) == len(keys)
-    assert not index.count(keys + np.uint64(1 << 63)).any()
+    keys = np.random.default_rng(1).integers(1, 1 << 63, (50_000, 2), dtype=np.uint64)
+    keys[1, 0] = keys[0, 0]  # half of the hash in common
+    for most, limit, whole in ((10, 65_535, False), (1 << 20, (1 << 32) - 1, True)):
+        index = lines.LineIndex(keys, 2 * np.arange(len(keys)) + 1, most, whole)
+        assert (index.count(keys) == np.minimum(2 * np.arange(len(keys)) + 1, limit)).all() and len(index.prints) == len(keys)
+        assert not index.count(keys + np.uint64(1 << 63)).any()
 
 
 def test_packing(spark, both, empty):
