@@ -160,13 +160,13 @@ def _forest(frames):
             yield pd.DataFrame({"u": out[at : at + 100_000, 0], "v": out[at : at + 100_000, 1], "new": new[at : at + 100_000]})
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, kept: Scratch | None = None, name: str = "roots") -> DataFrame:
     """Connected components of edges(u long, v long): (node, root), root the smallest node; only nodes with an edge.
 
     A round deals the edges by their larger end, contracts those of each task to stars, and lets every node jump to
     its parent's parent. Only leaves are dealt by key: a hub's edges lie in many tasks, and the jump is a join whose
     large partitions Spark can split. Rounds are written to the shared folder, and dropped when the next one is there;
-    one number a round comes to the driver. The result is a staged table.
+    one number a round comes to the driver. The result is a table staged in `kept`.
     """
     scratch = Scratch(edges.sparkSession)
     ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
@@ -183,6 +183,6 @@ def components(edges: DataFrame) -> DataFrame:
         if not links.agg(F.max("new")).first()[0]:
             break
     nodes = links.select("u", F.col("v").alias("root")).union(links.select(F.col("v").alias("u"), F.col("v").alias("root")))
-    roots = scratch.stage(nodes.groupBy(F.col("u").alias("node")).agg(F.min("root").alias("root")), "roots")
-    scratch.close("roots")
+    roots = (kept or Scratch(edges.sparkSession)).stage(nodes.groupBy(F.col("u").alias("node")).agg(F.min("root").alias("root")), name)
+    scratch.close()
     return roots

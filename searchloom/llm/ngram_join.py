@@ -3,12 +3,16 @@
 1. Each text's set of hashed shingles is cut into segments by hash. Two sets of similarity t differ in so few elements
    that, with one segment more than that, some segment is equal in both (pigeonhole), so sets that share no segment
    key need no comparison. Segment keys hold several shingles each: unrelated texts that share a passage or common
-   words do not meet. Keys go to shards in blocks; keys that repeat inside a slice are combined before the shuffle.
-2. Sets connected by keys make a block. Only blocks of two or more different sets go on, each set once.
+   words seldom meet. Keys go to shards in blocks; keys that repeat inside a slice are combined before the shuffle.
+2. A set carries a bitmap of the parities of its elements by hash. Two bitmaps differ in no more bits than the sets in
+   elements, so a pair whose bitmaps differ too much is no link. First every set of a key is held against one other;
+   then the keys that still hold several groups are looked at pair by pair. What is left are pairs that are nearly all
+   links, so that the sets which they connect, a block, are about the sets that links will connect.
 3. In a block the shingles are ordered globally, most common first, the sets are stored in a prefix tree, and each set
    walks the tree, sharing the overlap of common paths and leaving a subtree when what remains of the set or of the
-   subtree cannot reach the required overlap. Large blocks are cut into chunks that meet pairwise in tasks of bounded
-   size. A task gives a forest of its links, so a group of copies never becomes all of its pairs.
+   subtree cannot reach the required overlap. A task gives a forest of its links, so a group of copies never becomes
+   all of its pairs. A block beyond the size of a task is first joined around the partners found in step 2, which
+   connects a group of copies in tasks of bounded size; only if that leaves it in parts, its chunks meet pairwise.
 """
 
 from __future__ import annotations
@@ -20,13 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from searchloom.llm._shared import components, small_batches, spread, stage
+from searchloom.llm._shared import Scratch, by_group, components, small_batches, spread
 from searchloom.llm._text import mix, shingles, slices
 
 FAMILIES = 6
 CHUNK_SETS, CHUNK_TOKENS = 2048, 4_000_000
-ASKED = ("node", "block", "class", "chunks", "above", "below", "chunk")
+KEY_SETS = 4096  # sets of one key whose bitmaps meet in a task
+PARTNERS = 4  # partners of a set around which a large block is joined first
+HELD_BYTES = 64 << 20  # keys that a task holds before it combines them
 
 
 def size_classes(num: int, den: int, most: int) -> np.ndarray:
@@ -37,17 +44,34 @@ def size_classes(num: int, den: int, most: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _digests(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _digests(values: np.ndarray, bounds: np.ndarray, seed: int = 0) -> np.ndarray:
     """One 64-bit value per set; equal for equal sets. An empty set has 0."""
     sizes = np.diff(bounds)
     out = np.zeros(len(sizes), np.uint64)
     some = np.flatnonzero(sizes)
     if len(some):
         with np.errstate(over="ignore"):
-            out[some] = mix(np.add.reduceat(mix(values ^ np.uint64(0xA5A5A5A55A5A5A5A)), bounds[some]) + sizes[some].astype(np.uint64))
+            out[some] = mix(np.add.reduceat(mix(values ^ np.uint64(0xA5A5A5A55A5A5A5A + seed * 0x1234567)), bounds[some]) + sizes[some].astype(np.uint64))
     return out
 
 
+def bitmaps(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Per set, the parity of its elements at each of 2^m places, at least two places an element and 64 in all."""
+    sizes = np.diff(bounds)
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    base = np.cumsum(width) - width
+    at = (values & (np.repeat(width, sizes) - 1).astype(np.uint64)).astype(np.int64) + np.repeat(base, sizes)
+    raw = np.packbits((np.bincount(at, minlength=int(width.sum())) & 1).astype(np.uint8)).tobytes()
+    return [raw[a // 8 : (a + w) // 8] for a, w in zip(base.tolist(), width.tolist(), strict=True)]
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap of 64-bit words, as it would be with fewer places."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def segment_keys(values: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, set) such that any two different sets with den * intersection >= num * union share a key.
 
@@ -99,37 +123,40 @@ def segment_keys(values: np.ndarray, bounds: np.ndarray, num: int, den: int) ->
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(key, n_shingles, node) of each row; node stands for the set and is null for an empty one."""
+def shingle_sets(docs: DataFrame, key: str, text: str, k: int, seed: int = 0) -> DataFrame:
+    """(key, n_shingles, node, proof, bits) of each row; node stands for the set and is null for an empty one, proof is a
+    second hash of the set, bits its bitmap."""
 
     def run(batches):
         for batch in batches:
-            sizes, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for _, _, data, offsets in slices(batch.column(1)):
+            for lo, hi, data, offsets in slices(batch.column(1)):
                 values, bounds, _ = shingles(data, offsets, k)
-                sizes.append(np.diff(bounds))
-                nodes.append(_digests(values, bounds))
-            sizes, nodes = np.concatenate(sizes), np.concatenate(nodes).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(sizes), pa.array(nodes, mask=sizes == 0)], [key, "n_shingles", "node"])
+                none = np.diff(bounds) == 0
+                node, proof = (pa.array(_digests(values, bounds, x).view(np.int64), mask=none) for x in (seed, seed + 99))
+                bits = [None if n else b for n, b in zip(none.tolist(), bitmaps(values, bounds), strict=True)]
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), node, proof, pa.array(bits, pa.binary())], [key, "n_shingles", "node", "proof", "bits"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, node long")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, node long, proof long, bits binary")
 
 
-def _candidates(docs: DataFrame, text: str, k: int, num: int, den: int) -> DataFrame:
-    """(u, v): each set that shares a key with others, and the smallest node that it shares one with."""
-    shards = spread(docs.sparkSession)
-    names = ["shard", "nodes", "owners", "keys", "edges"]
+def shared_keys(docs: DataFrame, text: str, k: int, num: int, den: int, seed: int, shards: int) -> DataFrame:
+    """(u, v, key): sets u and v share a segment key (key is null), or set u has a key that several sets share (v is null).
 
-    def block(shard, nodes=None, owners=None, keys=None, edges=None):
+    Every set of a shared key is in a pair of it, and the pairs of a key connect its sets.
+    """
+    names = ["shard", "nodes", "owners", "keys", "many", "edges"]
+    out_names = ["u", "v", "key"]
+
+    def block(shard, nodes=None, owners=None, keys=None, many=None, edges=None):
         blob = lambda x: pa.array([None if x is None else x.tobytes()], pa.binary())
-        return pa.record_batch([pa.array([shard], pa.int32()), blob(nodes), blob(owners), blob(keys), blob(edges)], names)
+        return pa.record_batch([pa.array([shard], pa.int32()), blob(nodes), blob(owners), blob(keys), blob(many), blob(edges)], names)
 
     def post(batches):
         for batch in batches:
             for lo, _, data, offsets in slices(batch.column(0)):
                 values, bounds, _ = shingles(data, offsets, k)
-                nodes = _digests(values, bounds).view(np.int64)
+                nodes = _digests(values, bounds, seed).view(np.int64)
                 fresh = np.zeros(len(nodes), bool)
                 fresh[np.unique(nodes, return_index=True)[1]] = True
                 keys, owners = segment_keys(values, bounds, num, den)
@@ -138,53 +165,142 @@ def _candidates(docs: DataFrame, text: str, k: int, num: int, den: int) -> DataF
                 order = np.lexsort((nodes[owners], keys))
                 keys, owners = keys[order], owners[order]
                 head = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-                if not head.all():  # what meets inside this slice is linked here; one posting goes on
-                    lead = owners[head][np.cumsum(head) - 1]
+                many = np.zeros(len(keys), bool)
+                if not head.all():  # what meets inside this slice is told here; one posting goes on
+                    group = np.cumsum(head) - 1
+                    lead = owners[head][group]
                     pairs = np.stack([nodes[owners[~head]], nodes[lead[~head]]], 1)
+                    many = (np.bincount(group) > 1)[group]
                     yield block(lo % shards, edges=np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
-                    keys, owners = keys[head], owners[head]
+                    yield block(lo % shards, nodes[owners[many]], None, keys[many])
+                    keys, owners, many = keys[head], owners[head], many[head]
                 shard = ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
                 cuts = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]])) if len(keys) else []
                 for a, b in pairwise([*cuts, len(keys)]):
                     part = order[a:b]
                     rows, local = np.unique(owners[part], return_inverse=True)
-                    yield block(int(shard[part[0]]), nodes[rows], local.astype(np.uint16), keys[part])
+                    yield block(int(shard[part[0]]), nodes[rows], local.astype(np.uint16), keys[part], many[part])
 
     def meet(batches):
-        held, now = [], None
-
-        def pairs():
-            if held:
-                nodes, keys = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                held.clear()
-                order = np.argsort(keys)
-                keys, nodes = keys[order], nodes[order]
-                start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                low = np.repeat(np.minimum.reduceat(nodes, start), np.diff(np.append(start, len(keys))))
-                some = nodes != low
-                if some.any():
-                    yield from out(np.unique(np.stack([nodes[some], low[some]], 1), axis=0))
-
-        def out(edges):
-            yield pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
+        held, now, size = [], None, 0
+
+        def told(u, v, key):
+            column = lambda x: pa.nulls(len(u), pa.int64()) if x is None else pa.array(x.view(np.int64))
+            for at in range(0, len(u), 50_000):
+                yield pa.record_batch([column(x).slice(at, 50_000) for x in (u, v, key)], out_names)
+
+        def combined(last):
+            """Tells what is held; one posting a key stays. Two sets that are all of a key are one pair, and told as such."""
+            nodes, keys, many = (np.concatenate([h[i] for h in held]) for i in range(3))
+            held.clear()
+            order = np.lexsort((nodes, keys))
+            keys, nodes, many = keys[order], nodes[order], many[order]
+            fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])]) if len(keys) else np.zeros(0, bool)
+            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            size = np.diff(np.append(start, len(keys)))
+            low = np.repeat(nodes[start], size)
+            some = fresh & (nodes != low)
+            if some.any():
+                pairs = np.unique(np.stack([nodes[some], low[some]], 1), axis=0)
+                yield from told(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), None)
+            known = np.maximum.reduceat(many, start) if len(start) else many[:0]
+            several = (size > 2) | ((size > 1) & (known > 0)) if last else size > 1
+            again = np.repeat(several, size) & fresh
+            yield from told(nodes[again], None, keys[again])
+            if not last:
+                held.append((nodes[start], keys[start], (known | several).astype(np.uint8)))
 
         for batch in batches:
             shard_of, *blobs = (batch.column(i) for i in range(len(names)))
             for i, shard in enumerate(shard_of.to_pylist()):
                 if shard != now:
-                    yield from pairs()
-                    now = shard
-                nodes, owners, keys, edges = (b[i].as_buffer() for b in blobs)  # views of the batch, not copies
+                    if held:
+                        yield from combined(True)
+                    now, size = shard, 0
+                nodes, owners, keys, many, edges = (b[i].as_buffer() for b in blobs)  # views of the batch, not copies
                 if edges is not None:
                     edges = np.frombuffer(edges, np.int64).reshape(-1, 2)
-                    yield from out(edges) if len(edges) else ()
+                    yield from told(edges[:, 0].copy(), edges[:, 1].copy(), None)
+                elif owners is None:
+                    yield from told(np.frombuffer(nodes, np.int64), None, np.frombuffer(keys, np.uint64))
                 else:
-                    held.append((np.frombuffer(nodes, np.int64)[np.frombuffer(owners, np.uint16)], np.frombuffer(keys, np.uint64)))
-        yield from pairs()
+                    held.append((np.frombuffer(nodes, np.int64)[np.frombuffer(owners, np.uint16)], np.frombuffer(keys, np.uint64), np.frombuffer(many, np.uint8)))
+                    size += 17 * len(held[-1][1])
+                    if size > HELD_BYTES:  # a key of many sets is told as it comes
+                        yield from combined(False)
+                        size = 17 * len(held[0][1]) // 2
+        if held:
+            yield from combined(True)
+
+    blocks = docs.select(text).mapInArrow(post, "shard int, nodes binary, owners binary, keys binary, many binary, edges binary")
+    return blocks.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(meet, "u long, v long, key long")
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, m: int, n: int, num: int, den: int) -> bool:
+    """Whether sets of m and n elements with bitmaps a and b can have den * intersection >= num * union."""
+    if min(m, n) * den < num * max(m, n):
+        return False
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum()) * (den + num) <= (m + n) * (den - num)
+
+
+def possible_pairs(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs(u, v) whose sizes and bitmaps allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            m, a, n, b = (batch.column(i) for i in range(2, 6))
+            sizes = zip(m.to_pylist(), n.to_pylist(), strict=True)
+            keep = [_may_link(np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64), x, y, num, den) for i, (x, y) in enumerate(sizes)]
+            at = pa.array(np.flatnonzero(np.array(keep, bool)))
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at)], ["u", "v"])
+
+    of = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("bits").alias(f"bits{name}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "nu", "bitsu", "nv", "bitsv")
+    return both.mapInArrow(run, "u long, v long")
+
 
-    blocks = docs.select(text).mapInArrow(post, "shard int, nodes binary, owners binary, keys binary, edges binary")
-    return blocks.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(meet, "u long, v long").distinct()
+def grid(of: str, chunk: str):
+    """The tasks (a, b), a <= b, in which one of `of` chunks meets each, itself included."""
+    step = lambda i: F.struct(F.least(F.col(chunk), i).alias("a"), F.greatest(F.col(chunk), i).alias("b"))
+    return F.explode(F.transform(F.sequence(F.lit(0), F.col(of) - 1), step)).alias("task")
+
+
+def open_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): a forest of the possible pairs of each key between sets that have different roots so far.
+
+    Keys of sets of one root have nothing to add. More than KEY_SETS sets of a key are cut into chunks that meet.
+    """
+    placed = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets")).where("low <> high and sets > 2")
+    several = several.select("key", F.ceil(F.col("sets") / KEY_SETS).cast("int").alias("chunks"))
+    asked = placed.join(several, "key").distinct().withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    asked = asked.join(nodes.select("node", "n", "bits"), "node")
+    tasks = asked.select("key", grid("chunks", "chunk"), "node", "root", "n", "bits").select("key", "task.a", "task.b", "node", "root", "n", "bits")
+
+    def work(table: pa.Table):
+        node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
+        bits = table.column("bits").to_pylist()
+        order = np.argsort(n, kind="stable")
+        node, n = node[order], n[order]
+        _, root = np.unique(root[order], return_inverse=True)
+        words = min(map(len, bits)) // 8
+        whole = np.stack([folded(np.frombuffer(bits[i], np.uint64), words) for i in order.tolist()])
+        found = []
+        for i in range(len(n) - 1):
+            end = int(np.searchsorted(n, n[i] * den // num, "right"))
+            other = np.flatnonzero(root[i + 1 : end] != root[i]) + i + 1
+            if len(other):
+                unlike = np.bitwise_count(whole[other] ^ whole[i]).sum(1).astype(np.int64)
+                for j in other[unlike * (den + num) <= (n[other] + n[i]) * (den - num)].tolist():
+                    if root[j] != root[i]:
+                        root[root == root[j]] = root[i]
+                        found.append((node[j], node[i]))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    return by_group(tasks, ["key", "a", "b"], work, "u long, v long").distinct()
 
 
 class PrefixTree:
@@ -304,51 +420,62 @@ def link_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int
     return forest
 
 
-def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(key, n_shingles, component): component is the smallest key that links lead to, the row's own included.
-
-    Rows are linked when den * |intersection| >= num * |union| of their sets of distinct k-word shingles (A-Z lowered;
-    a text of fewer words is one shingle). Texts without words have no links. Equal sets are linked whatever their
-    number. Rows that repeat a key stay rows, and each has the component of its own text; a row with a null key, and
-    nothing but such rows around it, has a null component. Keys are of a type that has an order. Other columns are
-    ignored; empty input gives an empty result.
-    """
-    small_batches(docs.sparkSession)
-    docs = docs.select(key, text)
-    sets = stage(shingle_sets(docs, key, text, k), "sets")
-    edges = stage(_candidates(docs, text, k, num, den), "candidates")
-    blocks = stage(components(edges).withColumnRenamed("root", "block"), "blocks")
-    owners = sets.join(blocks, "node").groupBy("node", "block").agg(F.min(key).alias(key), F.first("n_shingles").alias("n"))
-    # A block of several chunks is dealt by size first: linked sets lie in the same class of sizes or in adjacent ones.
-    width = max(math.log(den / num), 0.01) * 1.000001
-    size_class = F.floor(F.log(F.col("n")) / width).cast("int")
-    need = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("tokens") / CHUNK_TOKENS)).cast("int")
-    classes = owners.groupBy("block", size_class.alias("class")).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    whole = classes.groupBy("block").agg(F.sum("sets").alias("sets"), F.sum("tokens").alias("tokens")).select("block", (need > 1).alias("split"))
-    counts = classes.select("block", "class", need.alias("chunks"))
-    beside = lambda step, name: counts.select("block", (F.col("class") + step).alias("class"), F.col("chunks").alias(name))
-    places = counts.join(beside(-1, "above"), ["block", "class"], "left").join(beside(1, "below"), ["block", "class"], "left").join(whole, "block")
-    places = places.select("block", "class", *(F.when(F.col("split"), F.coalesce(F.col(c), F.lit(0))).otherwise(int(c == "chunks")).alias(c) for c in ("chunks", "above", "below")), "split")
-    wanted = owners.withColumn("class", size_class).join(places, ["block", "class"])
-    wanted = wanted.select("node", key, "block", F.when(F.col("split"), F.col("class")).otherwise(0).alias("class"), "chunks", "above", "below", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    asked = docs.join(wanted.withColumnRenamed(key, "__key"), docs[key] == F.col("__key")).select(text, *ASKED)
-    # Sets that rows without a key alone hold are fetched by node, one text of each.
-    keyless = shingle_sets(docs.where(F.col(key).isNull()).select(F.col(text).alias("__text"), text), "__text", text, k)
-    keyless = keyless.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("__text").alias(text))
-    asked = asked.union(keyless.join(wanted.where(F.col(key).isNull()), "node").select(text, *ASKED))
+def _sets_of(asked: DataFrame, k: int, seed: int, names: tuple[str, ...]) -> DataFrame:
+    """(*names, set) of asked(text, node, ...): the set of each row whose text has it; a repeated key may bring others."""
 
     def fetch(batches):
         for batch in batches:
             nodes = np.asarray(batch.column(1))
             for lo, hi, data, offsets in slices(batch.column(0)):
                 values, bounds, _ = shingles(data, offsets, k)
-                right = _digests(values, bounds).view(np.int64) == nodes[lo:hi]  # a repeated key may bring other texts
+                right = _digests(values, bounds, seed).view(np.int64) == nodes[lo:hi]
                 sets = [values[bounds[i] : bounds[i + 1]].tobytes() for i in np.flatnonzero(right)]
                 at = pa.array(np.flatnonzero(right) + lo)
-                yield pa.record_batch([*(batch.column(i).take(at) for i in range(1, len(ASKED) + 1)), pa.array(sets, pa.binary())], [*ASKED, "set"])
+                yield pa.record_batch([*(batch.column(i).take(at) for i in range(1, len(names) + 1)), pa.array(sets, pa.binary())], [*names, "set"])
+
+    kinds = ", ".join(f"{n} {asked.schema[n].dataType.simpleString()}" for n in names)
+    return asked.select(asked.columns[0], *names).mapInArrow(fetch, f"{kinds}, set binary")
 
-    full = asked.mapInArrow(fetch, "node long, block long, class int, chunks int, above int, below int, chunk int, set binary")
-    # A task joins two chunks of a class, or one with one of the next class; (class, a) is the first of the two, (next, b) the second.
+
+def _tree_join(num: int, den: int):
+    def join(table: pa.Table):
+        nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        column = table.column("set")
+        forest = link_sets([np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in first], num, den) if len(first) > 1 else []
+        pairs = nodes[np.array(forest, np.int64).reshape(-1, 2)]
+        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    return join
+
+
+def _large_blocks(large: DataFrame, pairs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """The links of blocks that no task can hold, from large(node, block, n, set).
+
+    Each set first meets its PARTNERS smallest partners: sets with the same partner are joined in tasks of bounded size
+    that all hold the partner. Blocks that this leaves in parts are dealt by class of size and chunk: linked sets lie in
+    the same class or in adjacent ones, and a task joins two chunks of a class, or one with one of the next class.
+    """
+    join = _tree_join(num, den)
+    inside = pairs.join(large.select(F.col("node").alias("u")), "u")
+    near = inside.withColumn("__n", F.row_number().over(W.partitionBy("u").orderBy("v"))).where(F.col("__n") <= PARTNERS).drop("__n")
+    tokens = large.agg(F.max("n")).first()[0]
+    most = max(2, min(CHUNK_SETS, CHUNK_TOKENS // tokens))
+    hubs = near.groupBy("v").agg(F.ceil(F.count("*") / most).cast("int").alias("chunks"))
+    dealt = near.join(hubs, "v").select("v", F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int").alias("chunk"), F.col("u").alias("node"))
+    around = dealt.union(dealt.select("v", "chunk", F.col("v").alias("node")).distinct()).join(large.select("node", "set"), "node")
+    links = scratch.stage(by_group(around, ["v", "chunk"], join, "u long, v long"), "links-around")
+    groups = components(links, scratch, "groups-around")
+    parts = large.select("node", "block").join(groups, "node", "left").groupBy("block").agg(F.count_distinct(F.coalesce("root", "node")).alias("parts"))
+    rest = large.join(parts.where("parts > 1").select("block"), "block", "left_semi")
+    # A class's sizes reach up to the least size that a set linked to its smallest may have.
+    width = max(math.log(den / num), 0.01) * 1.000001
+    rest = rest.withColumn("class", F.floor(F.log(F.col("n")) / width).cast("int"))
+    need = F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int")
+    counts = scratch.stage(rest.groupBy("block", "class").agg(need.alias("chunks")), "chunks")
+    beside = lambda step, name: counts.select("block", (F.col("class") + step).alias("class"), F.col("chunks").alias(name))
+    places = counts.join(beside(-1, "above"), ["block", "class"], "left").join(beside(1, "below"), ["block", "class"], "left").fillna(0, ["above", "below"])
+    wanted = rest.join(places, ["block", "class"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    # (class, a) is the first of a task's two chunks, (class + step, b) the second.
     up_to = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     task = lambda c, step, a, b: F.struct(c.alias("class"), F.lit(step).alias("step"), a.alias("a"), b.alias("b"))
     own = F.transform(up_to("chunks"), lambda i: task(F.col("class"), 0, F.least(F.col("chunk"), i), F.greatest(F.col("chunk"), i)))
@@ -356,18 +483,55 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     lower = F.transform(up_to("below"), lambda i: task(F.col("class") - 1, 1, i, F.col("chunk")))
     # Chunks that meet others need no task of their own.
     alone = F.filter(own, lambda x: (x["a"] != x["b"]) | (F.col("chunks") + F.col("above") + F.col("below") == 1))
-    tasks = full.select("block", "node", "set", F.explode(F.concat(alone, higher, lower)).alias("task"))
+    tasks = wanted.select("block", "node", "set", F.explode(F.concat(alone, higher, lower)).alias("task")).select("block", "task.*", "node", "set")
+    return links.union(by_group(tasks, ["block", "class", "step", "a", "b"], join, "u long, v long"))
 
-    def join(table: pa.Table) -> pa.Table:
-        nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
-        column = table.column("set")
-        forest = link_sets([np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in first], num, den) if len(first) > 1 else []
-        pairs = nodes[np.array(forest, np.int64).reshape(-1, 2)]
-        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    links = tasks.groupBy("block", "task").applyInArrow(join, "u long, v long")
-    groups = components(stage(links, "set-links"))
-    rows = sets.join(groups, "node", "left").withColumn("__root", F.coalesce("root", "node"))
+def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(key, n_shingles, component): component is the smallest key that links lead to, the row's own included.
+
+    Rows are linked when den * |intersection| >= num * |union| of their sets of distinct k-word shingles (A-Z lowered;
+    a text of fewer words is one shingle). Texts without words have no links. Equal sets are linked whatever their
+    number. Rows that repeat a key stay rows, and each has the component of its own text; a row with a null key, and
+    nothing but such rows around it, has a null component. Keys are of a type that has an order. Other columns are
+    ignored; empty input gives an empty result. Sets are told apart by 128 bits of hash, their elements by 64.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    docs = docs.select(key, text)
+    for seed in range(100):  # another seed in the unlikely case that two sets have the same node
+        sets = scratch.stage(shingle_sets(docs, key, text, k, seed), "sets")
+        nodes = sets.where("node is not null").groupBy("node").agg(F.min(key).alias(key), F.max("n_shingles").alias("n"), F.min("proof").alias("low"), F.max("proof").alias("high"), F.first("bits").alias("bits"))
+        nodes = scratch.stage(nodes, "nodes")
+        if nodes.where("low <> high").isEmpty():
+            break
+        scratch.close()
+    tokens = nodes.agg(F.sum("n")).first()[0] or 0
+    found = scratch.stage(shared_keys(docs, text, k, num, den, seed, spread(spark, 4 * tokens)), "keys")
+    pairs = scratch.stage(possible_pairs(found.where("key is null").select("u", "v").distinct(), nodes, num, den), "pairs")
+    blocks = components(pairs, scratch, "blocks")
+    shared = found.where("key is not null").select("key", F.col("u").alias("node"))
+    more = scratch.stage(open_pairs(shared, blocks, nodes, num, den), "open-pairs")
+    scratch.drop("keys")
+    if not more.isEmpty():
+        pairs = pairs.union(more)
+        blocks = components(pairs, scratch, "more-blocks")
+    owners = nodes.select("node", key, "n").join(blocks.withColumnRenamed("root", "block"), "node")
+    sizes = owners.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    wanted = scratch.stage(owners.join(sizes.select("block", ((F.col("sets") > CHUNK_SETS) | (F.col("tokens") > CHUNK_TOKENS)).alias("large")), "block"), "owners")
+    asked = docs.join(wanted.withColumnRenamed(key, "__key"), docs[key] == F.col("__key")).select(text, "node", "block", "n", "large")
+    # Sets that rows without a key alone hold are fetched by node, one text of each.
+    keyless = shingle_sets(docs.where(F.col(key).isNull()).select(F.col(text).alias("__text"), text), "__text", text, k, seed)
+    keyless = keyless.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("__text").alias(text))
+    asked = asked.union(keyless.join(wanted.where(F.col(key).isNull()), "node").select(text, "node", "block", "n", "large"))
+    full = lambda large: _sets_of(asked.where("large" if large else "not large"), k, seed, ("node", "block", "n"))
+    with small_batches(spark):
+        links = scratch.stage(by_group(full(False), ["block"], _tree_join(num, den), "u long, v long"), "links")
+        if not wanted.where("large").isEmpty():
+            large = scratch.stage(full(True).dropDuplicates(["node"]), "large")
+            links = scratch.stage(links.union(_large_blocks(large, pairs, scratch, num, den)), "all-links")
+    groups = components(links)
+    scratch.close("sets")
+    rows = sets.select(key, "n_shingles", "node").join(groups, "node", "left").withColumn("__root", F.coalesce("root", "node"))
     least = rows.where(F.col("__root").isNotNull()).groupBy("__root").agg(F.min(key).alias("__least"))
     rows = rows.join(least, "__root", "left")
     return rows.select(F.col(key), "n_shingles", F.coalesce(F.col("__least"), F.col(key)).alias("component"))

@@ -144,17 +144,39 @@ def test_ngram_join(spark, both, empty, k, num, den):
     assert ngram_join.jaccard_groups(empty, k=k, num=num, den=den).count() == 0
 
 
-def test_ngram_join_in_chunks_and_with_repeated_keys(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 7)
+@pytest.mark.parametrize("partners", [0, 4])
+def test_ngram_join_in_chunks_and_with_repeated_keys(spark, monkeypatch, partners):
+    for name, value in (("CHUNK_SETS", 7), ("KEY_SETS", 5), ("HELD_BYTES", 200), ("PARTNERS", partners)):
+        monkeypatch.setattr(ngram_join, name, value)
     own, rows = base_text(100, 9, 5000).split(), []
     for i in range(40):
         own[(i * 7) % 100] = f"z{i}"
         rows.append((i, " ".join(own), None, None, None))
+    star = base_text(150, 10, 5000).split()  # copies of one text that are no copies of each other
+    rows += [(100 + i, " ".join(f"s{i}" if i and j in (i * 3, i * 3 + 50) else w for j, w in enumerate(star)), None, None, None) for i in range(25)]
     docs = spark.createDataFrame(rows, DOCS)
     found = {r.doc_id: (r.n_shingles, r.component) for r in ngram_join.jaccard_groups(docs, k=3, num=90, den=100).collect()}
     assert found == brute_groups([(r[0], r[1]) for r in rows], 3, 90, 100)
     again = docs.union(docs).union(spark.createDataFrame([(None, rows[0][1], None, None, None), (3, "other text altogether", None, None, None)], DOCS))
-    assert ngram_join.jaccard_groups(again, k=3, num=90, den=100).count() == 82
+    found = ngram_join.jaccard_groups(again.withColumn("node", F.lit("x")).withColumn("component", F.lit("x")), k=3, num=90, den=100).collect()
+    want = {i: c for i, (_, c) in brute_groups([(r[0], r[1]) for r in rows], 3, 90, 100).items()}
+    assert sorted((r.doc_id, r.component) for r in found if r.doc_id is not None) == sorted([*want.items(), *want.items(), (3, 3)])
+    assert [r.component for r in found if r.doc_id is None] == [0]
+
+
+def test_bitmaps_allow_every_link():
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 20, 33, 150, 900):
+        for lost in (0, 1, n // 20, n // 9):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[lost:], rng.integers(0, 1 << 63, lost, dtype=np.uint64)]))
+            x, y = (np.frombuffer(m, np.uint64) for m in ngram_join.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])))
+            m = len(np.intersect1d(a, b))
+            linked = 100 * m >= 80 * (len(a) + len(b) - m)
+            assert ngram_join._may_link(x, y, len(a), len(b), 80, 100) or not linked
+    other = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64))
+    x, y = (np.frombuffer(m, np.uint64) for m in ngram_join.bitmaps(np.concatenate([a, other]), np.array([0, len(a), len(a) + len(other)])))
+    assert not ngram_join._may_link(x, y, len(a), len(other), 80, 100)
 
 
 def test_segment_keys_meet_for_all_similar_sets():
