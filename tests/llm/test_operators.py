@@ -318,6 +318,30 @@ def test_substring_dedup(spark, both, empty, window):
     assert sorted(r.n_removed for r in substrings.drop_repeats(twice, window=window).collect()) == [0, 0, 60]
 
 
+def test_occurrences_come_from_the_automata(monkeypatch):
+    passage = base_text(45, 5, 10**6)
+    ids, places = np.array([4, 2, 9]), np.array([0, 3, 0])
+    texts = pa.array([f"a b {passage} c", passage, base_text(50, 6, 10**6)])
+    found = [x.tolist() for x in substrings.match_passages(ids, places, texts, 20)]
+    assert found == [[4], [2], [47]]
+    unlike = substrings.Passages(*substrings.utf8(texts), ids, places, 20)
+    unlike.hashes[:] = 7  # all windows of one hash: words decide
+    first, count = unlike.settle(np.arange(len(unlike.at)))
+    assert (first != np.arange(len(first))).sum() == 26 and count.max() == 2
+    monkeypatch.setattr(substrings.Passages, "occurrences", lambda self, patterns: np.zeros(0, np.int64))
+    assert not len(substrings.match_passages(ids, places, texts, 20)[0])
+
+
+def test_common_windows_are_sent_once_a_task():
+    passage, sent = base_text(30, 7, 10**6), substrings.Sent()
+    slice_of = lambda *ids: substrings.Passages(*substrings.utf8(pa.array([passage] * len(ids))), np.array(ids), np.zeros(len(ids), np.int64), 20)
+    one = slice_of(5, 6)
+    lead = np.arange(11)
+    assert not len(sent.sift(one, lead, lead))
+    assert sent.sift(slice_of(7), lead[:0], lead).tolist() == lead.tolist()
+    assert not len(sent.sift(slice_of(3), lead[:0], lead)) and not len(sent.sift(slice_of(5), lead[:0], lead))
+
+
 def brute_lines(rows, min_docs):
     key = lambda x: lowered(x.strip(" \t\n\x0b\x0c\r"))
     n = Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")} if k)
