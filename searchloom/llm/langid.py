@@ -7,7 +7,6 @@ of a text's n-grams and adds them up by row, in numpy, a slice of a batch at a t
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +23,6 @@ SLICE = 1 << 19  # bytes of text at once: an order of n-grams takes some forty t
 ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _fold: list[np.ndarray] = []
 
 
@@ -40,6 +38,10 @@ def _lower() -> np.ndarray:
     return _fold[0]
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def ngram_buckets(data: np.ndarray, offsets: np.ndarray, orders=ORDERS, buckets: int = BUCKETS):
     """(bucket, row) arrays of the n-grams of all rows, one pair of arrays per order."""
     points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
@@ -65,6 +67,10 @@ class Model:
     weights: np.ndarray  # languages x buckets, log probabilities
     prior: np.ndarray
 
+    def usual(self) -> np.ndarray:
+        """Each language's mean log probability of its own n-grams."""
+        return (np.exp(self.weights.astype(np.float64)) * self.weights).sum(1) if self.languages else np.zeros(0)
+
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> Model:
     """Fits on all rows of docs with a language and a text. MAX_LANGUAGES bounds the matrix; more are an error."""
@@ -113,32 +119,38 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score: the likeliest language and its posterior probability, from the text alone.
+    """docs with lang_pred, score and fit: the likeliest language, its posterior probability, and how likely the text's
+    n-grams are in it: their mean log probability, less the mean of that language itself.
 
-    A null text, or one without a letter, is `und` with score 0, and so is every text where the model knows no
-    language. Ties go to the first language by name. Columns of these names are replaced; empty input stays empty.
+    score nears 1 for some language on any text of more than a few words; fit is about 0 on texts in that language and
+    well below on others. A null text, or one without a letter, is `und` with score and fit 0, and so is every text
+    where the model knows no language. Ties go to the first language by name. Columns of these names are replaced;
+    empty input stays empty.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "fit")
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at, names = docs.columns.index(text), [*docs.columns, "lang_pred", "score"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    at, names = docs.columns.index(text), [*docs.columns, "lang_pred", "score", "fit"]
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())])
 
     def score(batches):
         model = held.value
-        known = np.array([*model.languages, UNKNOWN], object)
+        known, usual = np.array([*model.languages, UNKNOWN], object), model.usual()
         for batch in batches:
-            best, sure = np.full(batch.num_rows, len(model.languages)), np.zeros(batch.num_rows)
+            best, sure, fit = np.full(batch.num_rows, len(model.languages)), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             column = batch.column(at)
             for lo, hi, data, offsets in slices(column, SLICE) if model.languages else ():
-                total = np.tile(model.prior, (hi - lo, 1))
+                total, grams = np.tile(model.prior, (hi - lo, 1)), np.zeros(hi - lo, np.int64)
                 for bucket, rows in ngram_buckets(data, offsets, buckets=model.weights.shape[1]):
+                    grams += np.bincount(rows, minlength=hi - lo)
                     for i, row in enumerate(model.weights):
                         total[:, i] += np.bincount(rows, row[bucket], hi - lo)
                 top = total.max(1, keepdims=True)
-                lettered = np.array([bool(t and _LETTER.search(t)) for t in column.slice(lo, hi - lo).to_pylist()])
-                best[lo:hi] = np.where(lettered, total.argmax(1), len(model.languages))
+                lettered = np.array([has_letter(t) for t in column.slice(lo, hi - lo).to_pylist()], bool)
+                first = total.argmax(1)
+                best[lo:hi] = np.where(lettered, first, len(model.languages))
                 sure[lo:hi] = np.where(lettered, 1 / np.exp(total - top).sum(1), 0)
-            yield pa.record_batch([*batch.columns, pa.array(known[best].tolist(), pa.string()), pa.array(sure)], names)
+                fit[lo:hi] = np.where(lettered, (top[:, 0] - model.prior[first]) / np.maximum(grams, 1) - usual[first], 0)
+            yield pa.record_batch([*batch.columns, pa.array(known[best].tolist(), pa.string()), pa.array(sure), pa.array(fit)], names)
 
     return docs.mapInArrow(score, schema)
 

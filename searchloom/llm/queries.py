@@ -39,7 +39,7 @@ def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.train(docs.where(~F.col("held_out")))
-    return langid.predict(docs.drop("lang"), model).drop("text")
+    return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "fit")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
