@@ -50,16 +50,15 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GRO
 
 
 def _op4() -> str:
-    listed = list(dict.fromkeys(w for ws in quality.COMMON.values() for w in ws))
     number = lambda chars: f"length(solid) - length(translate(solid, '{chars.replace(chr(39), chr(39) * 2)}', ''))"
     groups = [quality.LOWER, quality.UPPER, quality.DIGITS, quality.PROSE, quality.SYMBOLS, quality.OTHER_ASCII]
     classes = [number(g) for g in groups] + ["length(solid) - (" + " + ".join(f"({number(g)})" for g in groups) + ")"]
-    common = [f"len(list_filter(w, lambda x: x IN ('{w}', '{w[0].upper() + w[1:]}')))" for w in listed]
-    common.append("len(w) - (" + " + ".join(common) + ")")
-    long = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, unnest(range({len(parts)})) AS i, unnest([{', '.join(parts)}])::DOUBLE AS x, {total}::DOUBLE AS total FROM base" for kind, parts, total in (("classes", classes, "word_chars"), ("common", common, "n_words")))
     symbols = quality.SYMBOLS
     return f"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents),
+low AS (SELECT doc_id, lang, unnest(list_transform(w, lambda x: translate(x, '{_UPPER}', '{_LOWER}'))) AS word FROM t),
+listed AS (SELECT DISTINCT word FROM (SELECT lang, word, count(DISTINCT doc_id) AS n FROM low WHERE lang IS NOT NULL GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(DISTINCT doc_id) DESC, word) <= {quality.TOP_WORDS})),
+said AS (SELECT doc_id, word, count(*) AS x FROM low JOIN listed USING (word) GROUP BY ALL),
 rep AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (
     SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (
@@ -67,19 +66,21 @@ rep AS (
         SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)))
     WHERE m > 1) GROUP BY doc_id),
 base AS (
-  SELECT t.doc_id, lang, w, array_to_string(w, '') AS solid, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  SELECT t.doc_id, lang, array_to_string(w, '') AS solid, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(text) - length(translate(text, '{symbols}', '')) AS n_symbols,
     len(list_filter(string_split(text, chr(10)), lambda x: trim(x, {_BLANKS}) <> '')) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: trim(x, {_BLANKS}) <> ''))) AS n_dup_lines,
     coalesce(rep.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(w) AS base_failed
   FROM t LEFT JOIN rep USING (doc_id)),
-long AS ({long}),
+long AS (SELECT doc_id, 'classes' AS kind, unnest(range({len(classes)}))::VARCHAR AS i, unnest([{', '.join(classes)}])::DOUBLE AS x, word_chars::DOUBLE AS total FROM base
+  UNION ALL SELECT base.doc_id, 'common', word, coalesce(x, 0)::DOUBLE, n_words::DOUBLE FROM base JOIN listed ON true LEFT JOIN said USING (doc_id, word)
+  UNION ALL SELECT doc_id, 'common', '', (n_words - coalesce(n, 0))::DOUBLE, n_words::DOUBLE FROM base LEFT JOIN (SELECT doc_id, sum(x) AS n FROM said GROUP BY doc_id) USING (doc_id)),
 refs AS (SELECT lang, kind, i, sum(x) / sum(sum(x)) OVER (PARTITION BY lang, kind) AS q FROM long JOIN base USING (doc_id)
-  WHERE NOT base_failed AND lang IN ({', '.join(f"'{x}'" for x in quality.COMMON)}) GROUP BY lang, kind, i),
+  WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang, kind, i),
 bits AS (SELECT doc_id, lang, kind, sum(CASE WHEN x > 0 THEN x / total * log2(x / total / ((x / total + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((x / total + q) / 2)) ELSE 0 END) / 2 AS js
   FROM long JOIN refs USING (kind, i) WHERE total > 0 GROUP BY doc_id, lang, kind),
 near AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, lang, avg(sqrt(greatest(js, 0))) AS d FROM bits GROUP BY doc_id, lang) GROUP BY doc_id)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(d <= {quality.MAX_DISTANCE}, true) AS kept
+  NOT base_failed AND (n_words < {quality.MIN_WORDS} OR coalesce(d <= {quality.MAX_DISTANCE}, true)) AS kept
 FROM base LEFT JOIN near USING (doc_id)"""
 
 

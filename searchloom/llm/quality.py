@@ -1,8 +1,9 @@
 """Quality rules by distribution divergence, in DataFrame functions alone.
 
-A text's histograms of character classes and of common words are compared, by Jensen-Shannon distance, to those of
-each language over the whole corpus. A text stays if its mean distance to the nearest language is small enough, or
-if it is too short for its histograms to tell. Features are computed once, in one pass without a shuffle of texts.
+Each language's common words are those that most of its texts hold, counted over the whole corpus. A text's histograms
+of character classes and of common words are compared, by Jensen-Shannon distance, to those of each language over the
+whole corpus. A text stays if its mean distance to the nearest language is small enough, or if it is too short for its
+histograms to tell. Features are computed once, in one pass without a shuffle of texts.
 """
 
 from __future__ import annotations
@@ -11,50 +12,70 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from searchloom.llm._shared import stage
 
-#: Frequent function words by language.
-COMMON = {
-    "en": ("the", "of", "and", "to", "in", "is", "that", "for", "with", "it"),
-    "fr": ("de", "la", "le", "et", "les", "des", "un", "que", "qui", "pour"),
-    "de": ("die", "der", "und", "das", "von", "zu", "mit", "den", "nicht", "ist"),
-    "es": ("el", "que", "y", "los", "del", "se", "las", "por", "con", "una"),
-}
 BLANKS = " \t\n\x0b\x0c\r"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 PROSE, SYMBOLS = ".,;:!?'\"()-", "#*$%&|<>"
 OTHER_ASCII = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in PROSE + SYMBOLS)
-MAX_DISTANCE, MIN_WORDS = 0.28, 50
+MAX_DISTANCE, MIN_WORDS = 0.28, 75
+TOP_WORDS, MAX_LANGUAGES = 25, 20
 LONG = 200
 
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), common: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.translate(text, BLANKS[1:], " " * 5), " "), "")
+
+
+def common_words(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP_WORDS, most: int = MAX_LANGUAGES) -> dict[str, tuple[str, ...]]:
+    """The words, lowered in A-Z, that most rows of each language hold; ties by word.
+
+    All rows with a language count. The languages are the `most` largest by rows, so that at most `most` x `top` words
+    come to the driver. Words are counted in every task before they are dealt.
+    """
+    sizes = docs.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most)
+    languages = sorted(r[0] for r in sizes.collect())
+    if not languages:
+        return {}
+    low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
+    held = docs.where(F.col(lang).isin(languages)).select(F.col(lang).alias("lang"), F.explode(F.array_distinct(_words(low))).alias("word"))
+    counts = held.groupBy("lang", "word").count()
+    first = counts.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("n") <= top)
+    found: dict[str, list[str]] = {name: [] for name in languages}
+    for r in first.orderBy("lang", "n").collect():
+        found[r["lang"]].append(r["word"])
+    return {name: tuple(words) for name, words in found.items()}
+
+
+def features(docs: DataFrame, common: dict[str, tuple[str, ...]], key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, *keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common) of each row.
 
     Words are runs of characters other than ASCII white space. classes counts the characters of words by class:
     lower and upper case A-Z, digits, prose marks, symbols, other ASCII, all else. common counts each of the common
-    words, in lower case or capitalised, and last the words that are none. A null text has no words.
+    words, A-Z lowered, and last the words that are none. A null text has no words.
     """
-    listed = list(dict.fromkeys(w for ws in (common or COMMON).values() for w in ws))
+    listed = list(dict.fromkeys(w for ws in common.values() for w in ws))
     whole = F.coalesce(F.col(text), F.lit(""))
     first = docs.select(key, *keep, whole.alias("__text"), F.translate(whole, BLANKS[1:], " " * 5).alias("__flat"))
     first = first.withColumn("__words", F.array_remove(F.split("__flat", " "), "")).withColumn("__solid", F.translate("__flat", " ", ""))
     lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    hashed = F.transform("__words", lambda w: F.xxhash64(w))
-    windows = F.slice(F.transform("__hashes", lambda h, i: F.xxhash64(h, F.get("__hashes", i + 1), F.get("__hashes", i + 2))), F.lit(1), F.size("__words") - 2)
     step = first.withColumn("__lines", lines)
-    step = step.withColumn("__hashes", F.when(F.size("__words") >= 3, hashed)).withColumn("__windows", windows).withColumn("__sorted", F.sort_array("__windows"))
-    step = step.withColumn("__again", F.array_distinct(F.filter("__sorted", lambda h, i: (i > 0) & (h == F.get("__sorted", i - 1)))))
-    capital = [w[0].upper() + w[1:] for w in listed]
-    step = step.withColumn("__common", F.filter("__words", lambda w: w.isin(*listed, *capital)))
+    hashed = F.transform("__words", lambda w, i: F.xxhash64(w, F.get("__words", i + 1), F.get("__words", i + 2)))
+    step = step.withColumn("__windows", F.when(F.size("__words") >= 3, F.slice(hashed, F.lit(1), F.size("__words") - 2)))
+    # Most texts repeat no window, which a set of hashes tells; the others' windows are sorted.
+    some = F.size(F.array_distinct("__windows")) < F.size("__windows")
+    step = step.withColumn("__sorted", F.when(some, F.sort_array("__windows")))
+    step = step.withColumn("__again", F.array_distinct(F.filter("__sorted", lambda h, i: (i > 0) & (h == F.get("__sorted", F.greatest(i - 1, F.lit(0)))))))
+    step = step.withColumn("__common", F.filter(F.split(F.translate("__flat", UPPER, LOWER), " "), lambda w: w.isin(*listed) if listed else F.lit(False)))
     # Positions of repeated windows: looked up in a short list of their hashes, or by sorting all where that is long.
     spots = F.transform("__windows", lambda h, i: F.when(F.array_contains("__again", h), i))
     ranked = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     step = step.withColumn("__ranked", F.when(F.size("__again") > LONG, ranked))
     near = F.filter("__ranked", lambda x, i: (x["h"] == F.when(i > 0, F.get("__ranked", i - 1))["h"]) | (x["h"] == F.get("__ranked", i + 1)["h"]))
     step = step.withColumn("__twice", F.when(F.size("__again") > LONG, F.sort_array(F.transform(near, lambda x: x["p"]))).when(F.size("__again") > 0, F.filter(spots, lambda p: p.isNotNull())))
-    step = step.withColumn("__said", F.concat(F.lit(" "), F.lower(F.array_join("__common", "  ")), F.lit(" ")))
+    step = step.withColumn("__said", F.concat(F.lit(" "), F.array_join("__common", "  "), F.lit(" ")))
     covered = F.aggregate(F.transform("__twice", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("__twice", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     counts, rest = [], F.col("__solid")
     for group in (LOWER, UPPER, DIGITS, PROSE, SYMBOLS, OTHER_ASCII):
@@ -81,14 +102,14 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
-def references(found: DataFrame, lang: str = "lang", languages: tuple[str, ...] = tuple(COMMON)) -> dict[str, tuple[list[float], list[float]]]:
-    """Each listed language's shares of character classes and common words over all its rows that pass the base rules.
+def references(found: DataFrame, lang: str = "lang", languages: tuple[str, ...] = ()) -> dict[str, tuple[list[float], list[float]]]:
+    """Each of the languages' shares of character classes and common words over all its rows that pass the base rules.
 
-    The languages are a parameter, so what comes to the driver is one row for each of them.
+    What comes to the driver is one row for each of them.
     """
     shares = {}
     n = {c: found.select(F.size(c)).head() for c in ("classes", "common")}
-    if any(v is None for v in n.values()):
+    if not languages or any(v is None for v in n.values()):
         return shares
     sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, (size,) in n.items() for i in range(size)]
     for row in found.where(F.col(lang).isin(*languages) & ~base_failed()).groupBy(lang).agg(*sums).collect():
@@ -117,10 +138,12 @@ def judge(found: DataFrame, shares: dict[str, tuple[list[float], list[float]]],
 
 
 def rate(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_distance: float = MAX_DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
-    """Features and verdict of every row of docs; references come from all of its rows with a listed language.
+    """Features and verdict of every row of docs; common words and references come from all of its rows with a language.
 
     Nulls: no text is no words and fails the base rules; no language only keeps a row out of the references. Repeated
     rows are judged alike. Empty input gives an empty result. Columns other than key are not carried.
     """
-    found = stage(features(docs.select(key, text, F.col(lang).alias("__lang")), key, text, ("__lang",)), "quality")
-    return judge(found, references(found, "__lang")).drop("__lang")
+    docs = docs.select(key, text, F.col(lang).alias("__lang"))
+    common = common_words(docs, text, "__lang")
+    found = stage(features(docs, common, key, text, ("__lang",)), "quality")
+    return judge(found, references(found, "__lang", tuple(common)), max_distance, min_words).drop("__lang")
