@@ -3,7 +3,8 @@
 Documents are tokenized in parallel, cut at multiples of the sequence length, and only (id, start, length) rows go on.
 The histogram of piece lengths has at most `length` rows whatever the corpus size; it alone comes to the driver, where
 packing patterns (how many pieces of which lengths share a sequence, and how often) are counted. Pieces then join the
-patterns by their length and rank. Ranks come from windows over (length, one of 64 buckets), so no length is one group.
+patterns by their length and rank. Ranks come from windows over (length, one of BUCKETS), so no length is one group;
+pieces that fill a sequence, most of those of long texts, need none and are numbered where they are read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from searchloom.llm._shared import stage
 from searchloom.llm._text import LOWER, slices, spans, words
 
 UNITS = 800_000
+BUCKETS = 16
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -158,16 +160,30 @@ def pack_histogram(counts: dict[int, int], length: int) -> list[tuple[int, list[
     return [p for r in sorted(room) for p in room[r]]
 
 
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows of staged files, numbered from 0 in the order in which they are read, without a shuffle.
+
+    Both reads of the files are cut into the same partitions. What is broadcast has one row for each of them.
+    """
+    placed = rows.withColumn("__m", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__m", 33))
+    sizes = placed.groupBy("__part").count()
+    before = sizes.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
+    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.expr("__m & 8589934591")).drop("__m", "__part", "__before")
+
+
 def pack(pieces: DataFrame, length: int, key: str = "doc_id") -> DataFrame:
     """pieces(key, start, length, ...) with sequence_id and offset (long): pieces of a sequence follow without gaps.
 
-    pieces must be a table that gives the same rows each time it is read. Rows may repeat; each is placed once.
-    Empty input gives an empty result. A piece longer than `length` is an error.
+    pieces must be a staged table, which gives the same rows each time it is read. Rows may repeat; each is placed
+    once. Ties of length go by bucket, key, start and ids_crc32. Empty input gives an empty result. A piece longer than
+    `length` is an error.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `length` rows
     if counts and max(counts) > length:
         raise ValueError("a piece is longer than a sequence")
+    full = counts.pop(length, 0)
     slots, base, placed = [], 0, dict.fromkeys(counts, 0)
     for times, pattern in pack_histogram(counts, length):
         offset = 0
@@ -176,17 +192,22 @@ def pack(pieces: DataFrame, length: int, key: str = "doc_id") -> DataFrame:
             placed[size] += times * each
             offset += size * each
         base += times
+    # A row for each length of each pattern: some thousands, as each length opens few patterns, however many pieces.
     table = spark.createDataFrame(slots, "length long, lo long, hi long, each long, base long, first long")
     others = [c for c in ("ids_crc32",) if c in pieces.columns]
-    bucketed = pieces.drop("sequence_id", "offset").withColumn("__bucket", F.pmod(F.xxhash64(F.col(key), F.col("start")), F.lit(64)).cast("int"))
-    before = bucketed.groupBy("length", "__bucket").count()  # at most 64 * length rows
+    bucketed = pieces.where(F.col("length") < length).withColumn("__bucket", F.pmod(F.xxhash64(F.col(key), F.col("start")), F.lit(BUCKETS)).cast("int"))
+    before = bucketed.groupBy("length", "__bucket").count()  # at most BUCKETS * length rows, as broadcast below
     before = before.select("length", "__bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("__bucket")) - F.col("count")).alias("__before"))
     own = Window.partitionBy("length", "__bucket").orderBy(key, "start", *others)
     ranked = bucketed.withColumn("__own", F.row_number().over(own) - 1).join(F.broadcast(before), ["length", "__bucket"])
     ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__own"))
     placed_at = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (ranked["__rank"] >= table["lo"]) & (ranked["__rank"] < table["hi"]))
     rank = F.col("__rank") - F.col("lo")
-    return placed_at.select(*(ranked[c] for c in pieces.columns if c not in ("sequence_id", "offset")), (F.col("base") + F.floor(rank / F.col("each"))).cast("long").alias("sequence_id"), (F.col("first") + F.pmod(rank, F.col("each")) * ranked["length"]).alias("offset"))
+    mixed = placed_at.select(*(ranked[c] for c in pieces.columns), (F.col("base") + F.floor(rank / F.col("each"))).cast("long").alias("sequence_id"), (F.col("first") + F.pmod(rank, F.col("each")) * ranked["length"]).alias("offset"))
+    if not full:
+        return mixed
+    whole = _numbered(pieces.where(F.col("length") == length), "__n")
+    return mixed.unionByName(whole.select(*pieces.columns, (F.lit(base) + F.col("__n")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
