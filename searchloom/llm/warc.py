@@ -1,19 +1,31 @@
 """WARC: deduplicated archives. Records with equal payloads become one response and revisits that refer to it.
 
-Headers meet by payload digest, revisits join their original response, and Spark's own text writer puts the
-records, with fresh headers, into gzip files (task commits, retries and any file system Spark knows come with it).
-Archives are read back as whole files of a bounded number of records and parsed by Content-Length.
+Headers (key, digest, size) meet by payload digest and revisits join their original response; payloads stay out of that
+shuffle. Decisions come back to the pages by broadcast while they are few, by their key beyond. A sink writes the
+records, with fresh headers, to files bounded by bytes, each record a gzip member of its own as WARC readers expect;
+files become visible when the job commits, and a task that is run again leaves no double. Archives are read back as
+whole files and parsed record by record, members being inflated as they come, and digests are computed anew.
 """
 
 from __future__ import annotations
 
-import io
-import zlib
+import gzip
+import hashlib
+import uuid
+from base64 import b32encode
+from collections.abc import Iterator
+from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from searchloom.llm._shared import Scratch, stage
+
+FILE_BYTES = 32 << 20  # of a file, as written; a larger record has a file of its own
+FEW_BYTES = 32 << 20  # of revisits that are broadcast to the pages
 RECORD_END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "page_id string, record_type string, url string, payload_digest string, refers_to string, payload binary"
@@ -32,23 +44,26 @@ def resolve_revisits(pages: DataFrame, key: str = "page_id", payload: str = "htm
     the response and the others revisit it. Smaller ones are all responses. Rows that repeat a key and its payload
     are the same capture, so all of them are responses; a row with a null key is a response too.
     """
+    spark, scratch = pages.sparkSession, Scratch(pages.sparkSession)
     full = F.coalesce(F.col(payload), F.lit(""))
     pages = pages.drop("payload_bytes", "payload_digest", "record_type", "refers_to")
     pages = pages.withColumn("payload_bytes", F.octet_length(full).cast("long")).withColumn("payload_digest", base32(F.sha1(full.cast("binary"))))
-    first = pages.select(key, "payload_bytes", "payload_digest").where(F.col("payload_bytes") >= least_bytes)
-    first = first.groupBy(F.col("payload_digest").alias("__digest")).agg(F.max(key).alias("__first"))
-    pages = pages.join(first, pages["payload_digest"] == first["__digest"], "left")
-    revisit = (F.col("payload_bytes") >= least_bytes) & (F.col(key) < F.col("__first"))
-    pages = pages.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-    return pages.withColumn("refers_to", F.when(revisit, F.col("__first"))).drop("__digest", "__first")
+    heads = pages.select(F.col(key).alias("__key"), F.col("payload_digest").alias("__digest"), "payload_bytes").where((F.col("payload_bytes") >= least_bytes) & F.col(key).isNotNull())
+    first = heads.groupBy("__digest").agg(F.max("__key").alias("__first"))
+    revisits = scratch.stage(heads.join(first, "__digest").where("__key < __first").select("__key", "__digest", "__first").distinct(), "revisits")
+    size = revisits.agg(F.sum(F.octet_length(F.col("__key").cast("string")) + F.octet_length(F.col("__first").cast("string")) + 64)).first()[0] or 0
+    joined = pages.join(F.broadcast(revisits) if size <= FEW_BYTES else revisits, (pages[key] == revisits["__key"]) & (pages["payload_digest"] == revisits["__digest"]), "left")
+    kind = F.when(F.col("__first").isNotNull(), "revisit").otherwise("response")
+    return joined.withColumn("record_type", kind).withColumn("refers_to", F.col("__first")).drop("__key", "__digest", "__first")
 
 
 def _lines(*lines: Column | str) -> Column:
     return F.concat(*(x for line in lines for x in ((F.lit(line) if isinstance(line, str) else line), F.lit("\r\n"))))
 
 
-def record(key: str = "page_id", payload: str = "html", url: str = "url", date: str = "2024-01-01T00:00:00Z") -> Column:
-    """The WARC record, without its end mark, of a row of resolve_revisits()."""
+def record(key: str = "page_id", payload: str = "html", url: str = "url", date: str = "") -> Column:
+    """The WARC record, without its end mark, of a row of resolve_revisits(); its date is that of the call, if none is given."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     # A line break or control character in a URL would break the header; it is percent-encoded as in a URI.
     clean = F.coalesce(F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A"), F.lit(""))
@@ -68,17 +83,81 @@ def record(key: str = "page_id", payload: str = "html", url: str = "url", date:
     return F.concat(head, F.when(is_revisit, again).otherwise(""), F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
 
 
-def write_archives(resolved: DataFrame, path: str, per_file: int = 1000, **names) -> None:
-    """Writes the records of resolve_revisits() rows to gzip files under path, at most per_file records in each."""
-    rows = resolved.select(record(**names).alias("value"))
-    rows.write.option("compression", "gzip").option("lineSep", RECORD_END).option("maxRecordsPerFile", per_file).text(path)
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[str]
+
+
+class ArchiveSink(DataSource):
+    """Writes the strings of a one-column frame as gzip members. Options: path, file_bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "searchloom_warc"
+
+    def writer(self, schema, overwrite):
+        return ArchiveWriter(self.options["path"], int(self.options["file_bytes"]))
+
+
+class ArchiveWriter(DataSourceArrowWriter):
+    def __init__(self, path: str, file_bytes: int):
+        self.path, self.file_bytes = path, file_bytes
+
+    def _folder(self):
+        """The file system of the path, as pyarrow knows it, and the folder there."""
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, folder = self._folder()
+        system.create_dir(f"{folder}/_temporary", recursive=True)
+        files, out, size = [], None, 0
+        for batch in iterator:
+            for value in batch.column(0):
+                if out is None or size >= self.file_bytes:
+                    if out:
+                        out.close()
+                    files.append(f"{uuid.uuid4().hex}.warc.gz")
+                    out, size = system.open_output_stream(f"{folder}/_temporary/{files[-1]}", compression=None), 0
+                member = gzip.compress(value.as_buffer(), 6, mtime=0)
+                out.write(member)
+                size += len(member)
+        if out:
+            out.close()
+        return Written(files)
+
+    def commit(self, messages):
+        system, folder = self._folder()
+        system.create_dir(folder, recursive=True)
+        for name in (f for m in messages if m for f in m.files):
+            system.move(f"{folder}/_temporary/{name}", f"{folder}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages):
+        """Removes what tasks have left, those that were run twice too."""
+        from pyarrow import fs
+
+        system, folder = self._folder()
+        if system.get_file_info(f"{folder}/_temporary").type != fs.FileType.NotFound:
+            system.delete_dir(f"{folder}/_temporary")
+
+
+def write_archives(resolved: DataFrame, path: str, file_bytes: int = FILE_BYTES, **names) -> None:
+    """Writes the records of resolve_revisits() rows to gzip files of about file_bytes under path.
+
+    path is on a file system that pyarrow.fs knows by its URI (shared folders, HDFS, S3, GCS).
+    """
+    resolved.sparkSession.dataSource.register(ArchiveSink)
+    rows = resolved.select(F.concat(record(**names), F.lit(RECORD_END)).cast("binary").alias("value"))
+    rows.write.format("searchloom_warc").mode("append").option("path", path).option("file_bytes", file_bytes).save()
 
 
 def _parse(batches):
     for batch in batches:
         for content in batch.column(0):
-            data = io.BytesIO(zlib.decompress(content.as_buffer(), wbits=31))
-            out = []
+            data = gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer()))  # one member or many
+            out, size = [], 0
             while line := data.readline():
                 if not line.startswith(b"WARC/"):
                     raise ValueError(f"not a WARC record: {line[:40]!r}")
@@ -89,11 +168,15 @@ def _parse(batches):
                 block = data.read(int(head["content-length"]))
                 data.read(len(RECORD_END))
                 page = lambda s: s.removeprefix("<urn:x-page:").removesuffix(">") or None if s else None
-                kind = head["warc-type"]
-                out.append({"page_id": page(head["warc-record-id"]), "record_type": kind, "url": head["warc-target-uri"], "payload_digest": head["warc-payload-digest"].removeprefix("sha1:"), "refers_to": page(head.get("warc-refers-to")), "payload": block.partition(b"\r\n\r\n")[2] if kind == "response" else None})
-                if len(out) >= 200:
+                kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
+                payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
+                if payload is not None and b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                    raise ValueError(f"the payload of {head['warc-record-id']} is not what its digest says")
+                out.append({"page_id": page(head["warc-record-id"]), "record_type": kind, "url": head["warc-target-uri"], "payload_digest": digest, "refers_to": page(head.get("warc-refers-to")), "payload": payload})
+                size += len(block)
+                if size >= 1 << 20 or len(out) >= 1000:
                     yield pa.RecordBatch.from_pylist(out, _SCHEMA)
-                    out = []
+                    out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
@@ -102,15 +185,17 @@ _SCHEMA = pa.schema([("page_id", pa.string()), ("record_type", pa.string()), ("u
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the archives under path; a revisit's payload is null. Empty archives give an empty table."""
+    """The records of the archives under path; a revisit's payload is null. Empty archives give an empty table.
+
+    A payload that does not have the digest of its header is an error.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     return files.select("content").mapInArrow(_parse, RECORDS)
 
 
 def with_payload_size(records: DataFrame) -> DataFrame:
-    """records with payload_bytes: of a revisit, those of the response that it refers to."""
-    own = F.octet_length("payload").cast("long")
-    sizes = records.where("record_type = 'response'").select(F.col("page_id").alias("__id"), own.alias("__bytes")).dropDuplicates(["__id"])
-    light = records.withColumn("payload_bytes", own).drop("payload")
+    """records without payloads, with payload_bytes: of a revisit, those of the response that it refers to."""
+    light = stage(records.withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload"), "records")
+    sizes = light.where("record_type = 'response'").select(F.col("page_id").alias("__id"), F.col("payload_bytes").alias("__bytes")).dropDuplicates(["__id"])
     joined = light.join(sizes, light["refers_to"] == sizes["__id"], "left")
     return joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "__bytes")).drop("__id", "__bytes")
