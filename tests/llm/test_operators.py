@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on small documents and on awkward rows."""
 
 import base64
+import gzip
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -83,10 +84,22 @@ def test_fingerprints(both, empty):
             a, b = weights(t), weights(e)
             true = sum((a & b).values()) / max(1, sum((a | b).values())) if a or b else 1.0
             errors.append(found[i].near_edited - true)
+        for (i, t), (j, n) in zip(rows, rows[1:] + rows[:1], strict=True):
+            a, b = weights(t), weights(n)
+            true = sum((a & b).values()) / max(1, sum((a | b).values())) if a or b else 1.0
+            assert found[i].near_next == fingerprints._like(found[i].fingerprint, found[j].fingerprint)
+            errors.append(found[i].near_next - true)
         assert abs(np.mean(errors)) < 0.03 and np.abs(errors).max() < 0.3
     assert fingerprints.compare_with_edits(empty).count() == 0
 
 
+def test_fingerprints_of_repeated_and_missing_keys(spark):
+    docs = spark.createDataFrame([(2, "b b"), (1, "z"), (2, "a"), (2, "a"), (None, None)], "doc_id long, text string").withColumn("near_next", F.lit("old"))
+    found = sorted((r.doc_id or 0, r.n_chars, r.edited_sha256) for r in fingerprints.compare_with_edits(docs).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert found == [(0, 0, sha("")), (1, 1, sha("z")), (2, 1, sha("a")), (2, 1, sha("a")), (2, 3, sha("b "))]
+
+
 def test_fingerprint_column_and_likeness(awkward):
     found = fingerprints.fingerprint(awkward.withColumn("fingerprint", F.lit("old")))
     joined = found.alias("a").join(found.alias("b"), F.expr("a.doc_id <= b.doc_id")).select("a.doc_id", F.col("b.doc_id").alias("other"), fingerprints.likeness(F.col("a.fingerprint"), F.col("b.fingerprint")).alias("like"))
@@ -229,6 +242,17 @@ def test_quality_tells_prose_from_junk(spark):
     found = {r.doc_id: r for r in quality.rate(plus).collect()}
     assert not found[10**6].kept and found[10**6].divergence > quality.MAX_DISTANCE
     assert all(found[i].kept or found[i].base_failed for i, q in labels.items() if q == 1)
+    short = [(10**6 + i, " ".join(f"{w}{i}{j}&&&%%%" for j, w in enumerate(base_text(n, i).split())), "en", "s", 1) for i, n in enumerate((60, 74, 75))]
+    found = quality.rate(docs.union(spark.createDataFrame(short, docs.schema))).where("doc_id >= 1000000").orderBy("doc_id").collect()
+    assert [(r.n_words, r.base_failed, r.kept) for r in found] == [(60, False, True), (74, False, True), (75, False, False)]
+
+
+def test_common_words_by_hand(spark):
+    rows = [(1, "The cat the", "en"), (2, "the Dog", "en"), (3, "a the", "en"), (4, "dog a", "en"), (5, "le chat", "fr"), (6, None, "fr"), (7, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert quality.common_words(docs, top=3) == {"en": ("the", "a", "dog"), "fr": ("chat", "le")}
+    assert quality.common_words(docs, top=1, most=1) == {"en": ("the",)}
+    assert quality.common_words(docs.limit(0)) == {}
 
 
 def test_language_id(spark, both, empty):
@@ -248,6 +272,41 @@ def test_language_id(spark, both, empty):
     assert {r.lang_pred for r in langid.predict(both[0], nothing).collect()} == {"und"}
 
 
+def test_language_scores_by_hand(spark):
+    """Counts, log probabilities, the posterior and the fit, worked out with plain integers and dictionaries."""
+
+    def grams(text):
+        folded = [c.lower() if c.isalpha() else " " for c in text]
+        for k in langid.ORDERS:
+            for j in range(len(folded) - k + 1):
+                part = folded[j : j + k]
+                if any(c != " " for c in part):
+                    h = k * 0x9E3779B1 % (1 << 32)
+                    for c in part:
+                        h = (h ^ ord(c)) * 0x85EBCA6B % (1 << 32)
+                        h ^= h >> 13
+                    yield h % langid.BUCKETS
+
+    seen = [("the cat and the dog", "en"), ("the end of a day", "en"), ("der Hund und die Katze", "de"), ("le chat, la fête", "fr")]
+    model = langid.train(spark.createDataFrame([(i, t, g, None, None) for i, (t, g) in enumerate(seen)], DOCS))
+    asked = ["the hound", "die Katze sah 3 Hunde", "la fête et le chat noir", "Ø", "und the", "½ ² Ⅷ", "٣ 12", ""]
+    found = {r.text: r for r in langid.predict(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(asked)], DOCS), model).collect()}
+    counts = {g: Counter(b for t, h in seen if h == g for b in grams(t)) for g in ("de", "en", "fr")}
+    logs = {g: {b: np.log((c[b] + 1) / (sum(c.values()) + langid.BUCKETS)) for b in range(langid.BUCKETS)} for g, c in counts.items()}
+    rows = Counter(g for _, g in seen)
+    for text in asked:
+        own = list(grams(text))
+        if not own:
+            assert (found[text].lang_pred, found[text].score, found[text].fit) == ("und", 0, 0)
+            continue
+        total = {g: np.log((rows[g] + 1) / (len(seen) + 3)) + sum(logs[g][b] for b in own) for g in counts}
+        best = max(sorted(total), key=total.get)
+        assert found[text].lang_pred == best
+        assert found[text].score == pytest.approx(1 / sum(np.exp(x - total[best]) for x in total.values()), abs=1e-4)
+        usual = sum(np.exp(x) * x for x in logs[best].values())
+        assert found[text].fit == pytest.approx(sum(logs[best][b] for b in own) / len(own) - usual, abs=1e-3)
+
+
 def test_language_model_counts(spark):
     """The counts behind the model against counting by hand."""
     docs = spark.createDataFrame([(1, "Ab ab", "x", None, None), (2, "é1é", "y", None, None)], DOCS)
@@ -399,6 +458,17 @@ def test_packing(spark, both, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_of_repeated_keys_and_ties(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["one two three " * 400, "a b", "a b", None, "", "x"]
+    docs = spark.createDataFrame([(i % 2 if i < 4 else None, t) for i, t in enumerate(texts * 5)], "doc_id long, text string").withColumn("length", F.lit("old"))
+    rows = packing.pack_documents(docs, path, length=64).collect()
+    spans = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert len(rows) == packing.token_pieces(docs, path, 64, 1).count() and sum(r.length == 64 for r in rows) > 50
+    for (s, at, n), (t, then, _) in zip(spans, spans[1:], strict=False):
+        assert (t, then) in ((s, at + n), (s + 1, 0)) and at + n <= 64
+
+
 def test_pattern_counts_hold_every_piece():
     rng = np.random.default_rng(2)
     for _ in range(30):
@@ -412,11 +482,14 @@ def test_pattern_counts_hold_every_piece():
         assert held == Counter(counts)
 
 
-def test_warc(spark, tmp_path):
+def test_warc(spark, tmp_path, monkeypatch):
     rows = [(1, "http://a/\r\nX: y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c", None), (4, "http://d", ""), (7, "u", "own\r\n\r\nWARC/1.1\r\n"), (9, "u", "<p>é</p>"), (9, "u", "<p>é</p>"), (None, "u", "null id")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit("old"))
     path = str(tmp_path / "warc")
-    warc.write_archives(warc.resolve_revisits(pages), path, per_file=3)
+    warc.write_archives(warc.resolve_revisits(pages), path, file_bytes=900)
+    files = sorted((tmp_path / "warc").iterdir())
+    assert len(files) > 1 and sum(len(gzip.decompress(f.read_bytes()).split(b"WARC-Record-ID:")) - 1 for f in files) == len(rows)
+    assert sum(f.read_bytes().count(b"\x1f\x8b\x08") for f in files) == len(rows)  # a member for each record
     records = warc.read_archives(spark, path)
     found = sorted((r.page_id or "", r.record_type, r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.with_payload_size(records).collect())
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
@@ -424,6 +497,16 @@ def test_warc(spark, tmp_path):
     want = sorted((str(i) if i else "", "revisit" if i and i < best[t or ""] else "response", len((t or "").encode()), digest(t), str(best[t or ""]) if i and i < best[t or ""] else None) for i, _, t in rows)
     assert found == want
     assert {r.payload.decode() for r in records.where("record_type = 'response'").collect()} == {t or "" for _, _, t in rows}
+    for f in files:  # the same archives in one member each
+        f.write_bytes(gzip.compress(gzip.decompress(f.read_bytes())))
+    assert warc.read_archives(spark, path).count() == len(rows)
+    with gzip.open(files[0].parent / "bad.warc.gz", "wb") as f:
+        f.write(gzip.decompress(files[0].read_bytes()).replace(b"<p>", b"<q>", 1).replace(b"own", b"owl", 1).replace(b"null id", b"null di"))
+    with pytest.raises(Exception, match="is not what its digest says"):
+        warc.read_archives(spark, path).collect()
+    monkeypatch.setattr(warc, "FEW_BYTES", 0)
+    again = sorted((str(r.page_id or ""), r.record_type) for r in warc.resolve_revisits(pages).collect())
+    assert again == sorted((i, kind) for i, kind, *_ in want)
     large = {r.page_id: r.record_type for r in warc.resolve_revisits(pages, least_bytes=9).collect() if r.page_id}
     assert large[3] == large[4] == "response" and large[1] == "revisit"
     warc.write_archives(warc.resolve_revisits(pages.limit(0)), str(tmp_path / "none"))
