@@ -11,16 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchloom.llm import langid, lines, ngram_join, packing, substrings
-from searchloom.llm._shared import stage
+from searchloom.llm._shared import Scratch, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: How much less likely than usual n-grams may be (mean log probability) in a text of FIT_CHARS code points or more.
+LEAST_FIT, FIT_CHARS = -2.6, 100
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts whose language is found with a posterior of 0.5 or more; a text without letters is rejected."""
+    """Keeps texts in a language that the labels teach. A text without letters, with a posterior under 0.5, or whose
+    n-grams are unlike that language's own is rejected: texts in other languages, and junk."""
     docs = docs.select(*COLUMNS)
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(*COLUMNS)
+    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)
+    alike = (F.length("text") < FIT_CHARS) | (F.col("fit") >= LEAST_FIT)
+    return langid.predict(docs, model).where(known & alike).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written to the shared folder and read again; what no later stage reads is dropped."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = scratch.stage(step(spark, docs, sf_dir), name)
+        scratch.close(name)
+    docs = STAGES[-1][1](spark, docs, sf_dir)  # reads tables of its own
+    scratch.close()
+    return docs
