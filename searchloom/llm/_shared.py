@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from searchloom.llm._text import mix
 
-SHARD_BYTES = 32 << 20  # what a task that holds a shard in memory is dealt, on average
+SHARD_BYTES = 8 << 20  # what a task that holds a shard in memory is dealt, on average
 
 
 def shared_dir(spark: SparkSession) -> str:

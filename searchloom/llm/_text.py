@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 LONG = 256  # bytes beyond which a span is hashed by itself
 
 SPACE = np.zeros(256, bool)
@@ -143,17 +143,30 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool = True):
     data = LOWER[data] if lower else data
     starts, ends, bounds = words(data, offsets)
     h = spans(data, starts, ends)
-    at, rows = inside(bounds, k)
-    values = grams(h, k)[at] if len(at) else np.zeros(0, np.uint64)
     counts = np.diff(bounds)
+    sizes = np.where(counts >= k, counts - (k - 1), counts > 0)
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    values, rows = np.zeros(cuts[-1], np.uint64), np.repeat(np.arange(len(counts)), sizes)
     short = np.flatnonzero((counts > 0) & (counts < k))
-    if len(short):
-        with np.errstate(over="ignore"):
-            extra = np.array([mix(sum((int(x) * pow(_STEP, i, 1 << 64) for i, x in enumerate(h[bounds[r] : bounds[r + 1]])), int(counts[r]) * 977) % (1 << 64) + np.zeros(1, np.uint64))[0] for r in short], np.uint64)
-        values, rows = np.concatenate([values, extra]), np.concatenate([rows, short])
-    order = np.argsort(values)
-    order = order[np.argsort(rows[order].astype(np.uint16), kind="stable")]
-    values, rows = values[order], rows[order]
+    long = np.ones(len(values), bool)
+    long[cuts[short]] = False
+    at = inside(bounds, k)[0]
+    if len(at):
+        values[long] = grams(h, k)[at]
+    with np.errstate(over="ignore"):
+        for n in range(1, k):  # rows of n words
+            mine = short[counts[short] == n]
+            total = np.full(len(mine), n * 977, np.uint64)
+            for j in range(n):
+                total += h[bounds[mine] + j] * np.uint64(pow(_STEP, j, 1 << 64))
+            values[cuts[mine]] = mix(total)
+    if len(values) < 64 * len(counts):
+        order = np.argsort(values)
+        order = order[np.argsort(rows[order].astype(np.uint16), kind="stable")]
+        values = values[order]
+    else:  # rows are sorted one by one where they are long
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            values[a:b].sort()
     fresh = np.ones(len(values), bool)
     fresh[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
     values, rows = values[fresh], rows[fresh]

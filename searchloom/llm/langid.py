@@ -19,7 +19,7 @@ from searchloom.llm._shared import stage
 from searchloom.llm._text import inside, slices
 
 BUCKETS = 1 << 14
-SLICE = 1 << 19  # bytes of text at once: an order of n-grams takes some forty times that
+SLICE = 1 << 18  # bytes of text at once: an order of n-grams takes some forty times that
 ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 500
 UNKNOWN = "und"

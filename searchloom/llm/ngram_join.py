@@ -33,7 +33,8 @@ FAMILIES = 6
 CHUNK_SETS, CHUNK_TOKENS = 2048, 4_000_000
 KEY_SETS = 4096  # sets of one key whose bitmaps meet in a task
 PARTNERS = 4  # partners of a set around which a large block is joined first
-HELD_BYTES = 64 << 20  # keys that a task holds before it combines them
+HELD_BYTES = 24 << 20  # keys that a task holds before it combines them
+POSTED_KEYS, POSTED_SETS = 500_000, 60_000  # keys and sets that a task gathers before it deals them to shards
 
 
 def size_classes(num: int, den: int, most: int) -> np.ndarray:
@@ -56,9 +57,9 @@ def _digests(values: np.ndarray, bounds: np.ndarray, seed: int = 0) -> np.ndarra
 
 
 def bitmaps(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Per set, the parity of its elements at each of 2^m places, at least two places an element and 64 in all."""
+    """Per set, the parity of its elements at each of 2^m places, at least one place an element and 64 in all."""
     sizes = np.diff(bounds)
-    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
     base = np.cumsum(width) - width
     at = (values & (np.repeat(width, sizes) - 1).astype(np.uint64)).astype(np.int64) + np.repeat(base, sizes)
     raw = np.packbits((np.bincount(at, minlength=int(width.sum())) & 1).astype(np.uint8)).tobytes()
@@ -140,6 +141,12 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int, seed: int = 0) ->
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, node long, proof long, bits binary")
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct pairs (larger, smaller) of unlike nodes."""
+    both = np.stack([np.maximum(a, b), np.minimum(a, b)], 1)
+    return np.unique(both[both[:, 0] != both[:, 1]], axis=0)
+
+
 def shared_keys(docs: DataFrame, text: str, k: int, num: int, den: int, seed: int, shards: int) -> DataFrame:
     """(u, v, key): sets u and v share a segment key (key is null), or set u has a key that several sets share (v is null).
 
@@ -153,34 +160,47 @@ def shared_keys(docs: DataFrame, text: str, k: int, num: int, den: int, seed: in
         return pa.record_batch([pa.array([shard], pa.int32()), blob(nodes), blob(owners), blob(keys), blob(many), blob(edges)], names)
 
     def post(batches):
+        held, seen, at = [], set(), 0
+
+        def deal():
+            nodes, keys = (np.concatenate([h[i] for h in held]) for i in range(2))
+            held.clear()
+            order = np.argsort(keys)
+            keys, nodes = keys[order], nodes[order]
+            head = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+            many = np.zeros(len(keys), bool)
+            if not head.all():  # what meets here is told here; one posting goes on
+                start = np.flatnonzero(head)
+                size = np.diff(np.append(start, len(keys)))
+                many = np.repeat(size > 1, size)
+                yield block(at % shards, edges=_pairs(nodes[~head], np.repeat(nodes[start], size)[~head]))
+                yield block(at % shards, nodes[many], None, keys[many])
+                keys, nodes, many = keys[head], nodes[head], many[head]
+            shard = ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]])) if len(keys) else []
+            for a, b in pairwise([*cuts, len(keys)]):
+                part = order[a:b]
+                own, local = np.unique(nodes[part], return_inverse=True)
+                yield block(int(shard[part[0]]), own, local.astype(np.uint16), keys[part], many[part])
+
         for batch in batches:
-            for lo, _, data, offsets in slices(batch.column(0)):
+            for _, _, data, offsets in slices(batch.column(0)):
                 values, bounds, _ = shingles(data, offsets, k)
                 nodes = _digests(values, bounds, seed).view(np.int64)
+                own, first = np.unique(nodes, return_index=True)
                 fresh = np.zeros(len(nodes), bool)
-                fresh[np.unique(nodes, return_index=True)[1]] = True
+                fresh[first[~np.isin(own, list(seen))]] = True
                 keys, owners = segment_keys(values, bounds, num, den)
                 mine = fresh[owners]
-                keys, owners = keys[mine], owners[mine]
-                order = np.lexsort((nodes[owners], keys))
-                keys, owners = keys[order], owners[order]
-                head = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-                many = np.zeros(len(keys), bool)
-                if not head.all():  # what meets inside this slice is told here; one posting goes on
-                    group = np.cumsum(head) - 1
-                    lead = owners[head][group]
-                    pairs = np.stack([nodes[owners[~head]], nodes[lead[~head]]], 1)
-                    many = (np.bincount(group) > 1)[group]
-                    yield block(lo % shards, edges=np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
-                    yield block(lo % shards, nodes[owners[many]], None, keys[many])
-                    keys, owners, many = keys[head], owners[head], many[head]
-                shard = ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]])) if len(keys) else []
-                for a, b in pairwise([*cuts, len(keys)]):
-                    part = order[a:b]
-                    rows, local = np.unique(owners[part], return_inverse=True)
-                    yield block(int(shard[part[0]]), nodes[rows], local.astype(np.uint16), keys[part], many[part])
+                held.append((nodes[owners[mine]], keys[mine]))
+                seen.update(own.tolist())
+                at += 1
+                if len(seen) + len(nodes) > POSTED_SETS or sum(len(h[1]) for h in held) > POSTED_KEYS:
+                    yield from deal()
+                    seen.clear()
+        if held:
+            yield from deal()
 
     def meet(batches):
         held, now, size = [], None, 0
@@ -194,19 +214,17 @@ def shared_keys(docs: DataFrame, text: str, k: int, num: int, den: int, seed: in
             """Tells what is held; one posting a key stays. Two sets that are all of a key are one pair, and told as such."""
             nodes, keys, many = (np.concatenate([h[i] for h in held]) for i in range(3))
             held.clear()
-            order = np.lexsort((nodes, keys))
+            order = np.argsort(keys)
             keys, nodes, many = keys[order], nodes[order], many[order]
-            fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])]) if len(keys) else np.zeros(0, bool)
             start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
             size = np.diff(np.append(start, len(keys)))
-            low = np.repeat(nodes[start], size)
-            some = fresh & (nodes != low)
-            if some.any():
-                pairs = np.unique(np.stack([nodes[some], low[some]], 1), axis=0)
-                yield from told(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), None)
+            lead = np.repeat(nodes[start], size)
+            some = nodes != lead
+            pairs = _pairs(nodes[some], lead[some])
+            yield from told(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), None)
             known = np.maximum.reduceat(many, start) if len(start) else many[:0]
             several = (size > 2) | ((size > 1) & (known > 0)) if last else size > 1
-            again = np.repeat(several, size) & fresh
+            again = np.repeat(several, size)
             yield from told(nodes[again], None, keys[again])
             if not last:
                 held.append((nodes[start], keys[start], (known | several).astype(np.uint8)))
@@ -506,7 +524,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             break
         scratch.close()
     tokens = nodes.agg(F.sum("n")).first()[0] or 0
-    found = scratch.stage(shared_keys(docs, text, k, num, den, seed, spread(spark, 4 * tokens)), "keys")
+    found = scratch.stage(shared_keys(docs, text, k, num, den, seed, spread(spark, 11 * tokens)), "keys")
     pairs = scratch.stage(possible_pairs(found.where("key is null").select("u", "v").distinct(), nodes, num, den), "pairs")
     blocks = components(pairs, scratch, "blocks")
     shared = found.where("key is not null").select("key", F.col("u").alias("node"))

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from searchloom.llm._shared import stage
 from searchloom.llm._text import LOWER, slices, spans, words
 
-UNITS = 800_000
+UNITS = 400_000
 BUCKETS = 16
 _encoders: dict[str, WordEncoder] = {}
 
@@ -112,7 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, key:
     def cut(batches):
         model = encoder(tokenizer)
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(1), 1 << 19):
+            for lo, hi, data, offsets in slices(batch.column(1), 1 << 18):
                 ids, bounds = model.encode(data, offsets)
                 owners, start, size, crc, tokens, own = [], [], [], [], [], []
                 for r in range(hi - lo):

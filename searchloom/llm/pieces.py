@@ -341,7 +341,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches):
         pieces = model(path)
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(at), 1 << 20):
+            for lo, hi, data, offsets in slices(batch.column(at), 1 << 19):
                 flat, bounds = pieces.encode(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
                 yield pa.record_batch([*(c.slice(lo, hi - lo) for c in batch.columns), lists], names)

@@ -29,7 +29,7 @@ from searchloom.llm._text import grams, inside, mix, slices, spans, utf8, words
 WINDOW, PHRASE = 20, 8
 LAST = (1 << 63) - 1
 SYMBOLS = 1_000_000  # different words of one automaton
-HELD_BYTES = 64 << 20  # postings that a task holds before it combines them
+HELD_BYTES = 24 << 20  # postings that a task holds before it combines them
 COMMON = 100_000  # common windows that a task remembers having sent on
 
 
@@ -280,7 +280,7 @@ def match_passages(ids: np.ndarray, places: np.ndarray, passages: pa.Array, wind
 
 def repeated_spans(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
     """(__id, first, end): spans of words, which may overlap, covered by windows that also start earlier."""
-    shards = 4 * spread(docs.sparkSession, text_bytes(docs, text) / 4)
+    shards = spread(docs.sparkSession, text_bytes(docs, text))
     marks = recurring_anchors(docs, key, text, window, shards).groupBy("__id").agg(F.collect_set("anchor").alias("__anchors"))
     cased = _with_id(docs, key)  # with all columns, as drop_repeats() has it, so that Spark shuffles the texts once
     text_at, id_at = cased.columns.index(text), cased.columns.index("__id")
