@@ -30,7 +30,10 @@ def top_row(rows: DataFrame, by: str, *order) -> DataFrame:
 
 
 def ranked(rows: DataFrame, *order) -> DataFrame:
-    """rows with a dense priority 1..n. Ranks are local to sorted ranges, offset by the sizes of the ranges before."""
+    """rows with a dense priority 1..n. Ranks are local to sorted ranges, offset by the sizes of the ranges before.
+
+    A range is a partition that AQE does not change; its bounds are sampled once for both uses, as both read one exchange.
+    """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
@@ -108,18 +111,24 @@ def excluded(query_daily, as_of, days: int = 90, least: float = 15, params: Para
 def merge_candidates(page_daily, page_query, index_status, as_of, days: int = 90, shared: int = 5) -> DataFrame:
     """Pairs of indexed blog pages that answer the same queries, where one outranks the other clearly.
 
-    Facts are added up per (page, query) first. A query that p pages share gives the p (p - 1) / 2 pairs that are the
-    result's definition; rows of a query are joined on it, which Spark splits where one query is hot.
+    Facts are added up per (page, query) first. Two pages that share `shared` queries share one of all but the last
+    shared - 1 of either, in any order that is the same for both; with rare queries first, few pages meet on a query that
+    many share, and pages of fewer queries on none. Only pairs that meet so are counted.
     """
     blog = F.col("page").ilike("%/blog/%")
     pairs = totals(window(page_query, as_of, days).where(blog), "page", "query").select("page", "query", "impressions")
+    often = pairs.groupBy("query").agg(F.count("*").alias("often"))
+    rare_first = W.partitionBy("page").orderBy("often", "query")
+    placed = pairs.join(often, "query").withColumns({"at": F.row_number().over(rare_first), "of": F.count("*").over(W.partitionBy("page"))})
+    first = placed.where((F.col("often") > 1) & (F.col("at") <= F.col("of") - (shared - 1))).select("page", "query")
+    meet = first.select(F.col("page").alias("a"), "query").join(first.select(F.col("page").alias("b"), "query"), "query").where("a < b").select("a", "b").distinct()
     a, b = (pairs.select(F.col("page").alias(x), "query", F.col("impressions").alias(f"i{x}")) for x in "ab")
-    both = a.join(b, "query").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum(F.col("ia") + F.col("ib")).alias("shared_impressions")).where(F.col("shared") >= shared)
+    both = meet.join(a, "a").join(b, ["b", "query"]).groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum(F.col("ia") + F.col("ib")).alias("shared_impressions")).where(F.col("shared") >= shared)
     stats = totals(window(page_daily, as_of, days).where(blog), "page").join(index_status.where("indexed = 1").select(F.col("url").alias("page")).distinct(), "page", "left_semi")
     s = {x: stats.select(F.col("page").alias(x), F.struct(F.col("page"), F.col("clicks"), F.col("impressions"), F.col("position")).alias(f"s{x}")) for x in "ab"}
     rows = both.join(s["a"], "a").join(s["b"], "b")
-    first = F.expr("sa.impressions > sb.impressions or (sa.impressions = sb.impressions and sa.page < sb.page)")
-    rows = rows.withColumn("w", F.when(first, F.col("sa")).otherwise(F.col("sb"))).withColumn("l", F.when(first, F.col("sb")).otherwise(F.col("sa")))
+    larger = F.expr("sa.impressions > sb.impressions or (sa.impressions = sb.impressions and sa.page < sb.page)")
+    rows = rows.withColumn("w", F.when(larger, F.col("sa")).otherwise(F.col("sb"))).withColumn("l", F.when(larger, F.col("sb")).otherwise(F.col("sa")))
     rows = rows.where("l.clicks <= 0 and w.position < l.position and l.impressions <> 0 and w.impressions / l.impressions >= 1.5")
     return rows.select(F.col("w.page").alias("winner"), F.col("l.page").alias("loser"), "shared", "shared_impressions")
 
