@@ -142,4 +142,25 @@ def has_faq(html: Column) -> Column:
 
 def front_value(markdown: Column, name: str) -> Column:
     """The value of a frontmatter line, without quotes; empty if there is none."""
-    return F.regexp_extract(markdown, rf'(?m)^{name}:\s*"?([^"\n]*)"?\s*$', 1)
+    return F.regexp_extract(markdown, rf'(?m)^{name}:[ \t]*"?([^"\n]*)"?[ \t]*$', 1)
+
+
+def article_cluster(markdown: Column, default: str = "voice") -> Column:
+    """The topic that an article's frontmatter names."""
+    found = F.regexp_extract(markdown, r"(?m)^cluster:\s*(\S+)", 1)
+    return F.when(found != "", found).otherwise(default)
+
+
+def article_fields(raw: Column) -> list[Column]:
+    """slug, title, description and valid of an article: code fences are stripped, description falls back on its short
+    name, and an article without a slug is not valid."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(raw), r"\A```\w*\s*", ""), r"\s*```\z", "")
+    long, short = front_value(bare, "meta_description"), front_value(bare, "description")
+    slug_ = front_value(bare, "slug")
+    return [slug_.alias("slug"), front_value(bare, "title").alias("title"), F.when(long != "", long).otherwise(short).alias("description"), (slug_ != "").alias("valid")]
+
+
+def brand_tokens(host: str, *extra: str) -> tuple[str, ...]:
+    """What names a site in a query: its host's first part, without www. and a leading get, and further terms."""
+    root = host.removeprefix("www.").removeprefix("get").split(".")[0]
+    return tuple(dict.fromkeys(t.lower().replace(" ", "") for t in (root, *extra) if t))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -79,13 +79,77 @@ def stale(ledger: DataFrame, as_of, days: int = 14) -> DataFrame:
 
 
 def changed_urls(ledger: DataFrame) -> DataFrame:
-    """The paths that shipped items changed: a page each for post, meta and faq, and the index for posts."""
+    """The paths that shipped items changed: a page each for post, meta and faq, the index for posts, and where a merge leads."""
     rows = ledger.where("status = 'shipped'").withColumn("slug", F.get_json_object("meta", "$.slug"))
-    paths = F.when(F.col("kind") == "post", F.array(F.concat(F.lit("/blog/"), "slug"), F.lit("/blog"))).when(F.col("kind").isin("meta", "faq"), F.array(F.concat(F.lit("/blog/"), "slug")))
-    return rows.select(F.explode(paths).alias("path")).distinct()
+    paths = F.when(F.col("kind") == "post", F.array(F.concat(F.lit("/blog/"), "slug"), F.lit("/blog"))).when(F.col("kind").isin("meta", "faq"), F.array(F.concat(F.lit("/blog/"), "slug"))).when(F.col("kind") == "merge", F.array(F.get_json_object("meta", "$.destination")))
+    return rows.select(F.explode(paths).alias("path")).where("path is not null").distinct()
 
 
-def select_edits(candidates: DataFrame, cooling: DataFrame, budget: int) -> DataFrame:
-    """The first `budget` on-page candidates by gain whose pages are not cooling down."""
+def select_edits(candidates: DataFrame, cooling: DataFrame, budget: int, with_faq: DataFrame | None = None) -> DataFrame:
+    """The first `budget` on-page candidates by gain whose pages are not cooling down; a page of with_faq(slug) needs no FAQ."""
     free = candidates.withColumn("slug", X.slug(F.col("page"))).join(cooling, "slug", "left_anti")
+    if with_faq is not None:
+        free = free.join(with_faq.select("slug", F.lit("faq").alias("kind")).distinct(), ["slug", "kind"], "left_anti").select(free.columns)
     return free.orderBy(F.desc("gain"), "page").limit(budget)
+
+
+def answer_flags(answers: DataFrame, brand: str, domain: str, competitors) -> DataFrame:
+    """answers(.., text, citations) with mentioned and cited (0 or 1) and competitors, those named, in their given order.
+
+    Names are looked for literally, whatever their case; a citation counts by its domain or its title.
+    """
+    low, named = F.lower("text"), F.array(*map(F.lit, competitors)) if competitors else F.array().cast(NAMES)
+    ours = lambda c: F.contains(X.citation_domain(c["uri"], c["title"]), F.lit(domain)) | F.contains(F.lower(c["title"]), F.lit(domain))
+    return answers.withColumns({
+        "mentioned": F.contains(low, F.lit(brand.lower())).cast("int"),
+        "cited": F.exists("citations", ours).cast("int"),
+        "competitors": F.to_json(F.filter(named, lambda c: F.contains(low, F.lower(c)))),
+    })
+
+
+def probe_facts(flagged: DataFrame, most: int = 8000) -> DataFrame:
+    """Probe rows of answer_flags(): the answer's text is cut."""
+    return flagged.select("id", "ts", "question_id", "mentioned", "cited", "competitors", F.substring("text", 1, most).alias("answer"))
+
+
+def citation_facts(answers: DataFrame, most: int = 300) -> DataFrame:
+    rows = answers.select("ts", "question_id", F.explode("citations").alias("c"))
+    return rows.select("ts", "question_id", F.col("c.uri").alias("url"), X.citation_domain(F.col("c.uri"), F.col("c.title")).alias("domain"), F.substring("c.title", 1, most).alias("title"))
+
+
+def panel_check(probes: DataFrame, questions: DataFrame, repeats: int, least: float = 0.75) -> DataFrame:
+    """One row: probes returned and attempted, and whether enough came back for the rates to be trusted."""
+    row = probes.agg(F.count("*").alias("returned")).crossJoin(F.broadcast(questions.agg((F.count("*") * repeats).alias("attempted"))))
+    return row.withColumn("trusted", (F.col("attempted") == 0) | (F.col("returned") >= F.col("attempted") * least))
+
+
+def mark_listed(targets: DataFrame, citations: DataFrame, token: str) -> DataFrame:
+    """targets with `listed`: whether their domain is a cited one that holds the site's own token."""
+    own = citations.where(F.col("domain").ilike(f"%{token}%")).select("domain").distinct().withColumn("__l", F.lit(True))
+    return targets.join(own, "domain", "left").withColumn("listed", F.coalesce("__l", F.lit(False))).drop("__l")
+
+
+def funnel(targets: DataFrame) -> DataFrame:
+    """How many targets are in each state, and in all (state null)."""
+    return targets.rollup("state").agg(F.count("*").alias("targets"), F.count("listed_at").alias("ever_listed"))
+
+
+def stored(targets: DataFrame, state: str | None = None, n: int | None = None) -> DataFrame:
+    """Targets, of one state if given, by score, then citations, then url; the first n if given."""
+    rows = (targets.where(F.col("state") == state) if state else targets).orderBy(F.desc("score"), F.desc("citations"), "url")
+    return rows.limit(n) if n else rows
+
+
+def unhandled(found: DataFrame, targets: DataFrame) -> DataFrame:
+    """The found targets that nobody has dealt with yet."""
+    return found.join(targets.where("state <> 'new'").select("url"), "url", "left_anti")
+
+
+def answer_summary(probes: DataFrame) -> DataFrame:
+    return probes.agg(F.count("*").alias("probes"), F.coalesce(F.sum("mentioned"), F.lit(0)).alias("mentioned"), F.coalesce(F.sum("cited"), F.lit(0)).alias("cited"))
+
+
+def pitch(competitors: Column, claim: str) -> Column:
+    """What to write to a site whose page names these competitors (comma separated), the first three of them."""
+    first = F.array_join(F.slice(F.split(competitors, ", "), 1, 3), ", ")
+    return F.when(competitors == "", F.lit(f"Lead with the claim: {claim}.")).otherwise(F.concat(F.lit("The page covers "), first, F.lit(f" but nothing that offers {claim}.")))

@@ -69,3 +69,65 @@ def missing_pages(changed: DataFrame, inventory: DataFrame, params: Params = DEF
     joined = urls.join(inventory.groupBy("url").agg(F.max("in_sitemap").alias("listed")), "url", "left")
     problem = F.when(F.col("listed").isNull(), "no page").when(F.col("listed") == 0, "not in sitemap")
     return joined.select("path", problem.alias("problem")).where("problem is not null")
+
+
+def planned(ledger: DataFrame, kind: str | None = None) -> DataFrame:
+    rows = ledger.where("status = 'planned'")
+    return (rows.where(F.col("kind") == kind) if kind else rows).orderBy("id")
+
+
+def in_clusters(inventory: DataFrame, clusters, n: int = 200) -> DataFrame:
+    """The first n URLs of some clusters: what a corpus is built from."""
+    return inventory.where(F.col("cluster").isin(*clusters)).select("url").orderBy("url").limit(n)
+
+
+def select_posts(actions: DataFrame, gaps: DataFrame, ledger: DataFrame, live: DataFrame, ranking: DataFrame, as_of, budget: int, corpus: DataFrame | None = None) -> DataFrame:
+    """The first `budget` queries to write for: (source, query, slug, gain, place).
+
+    actions(kind, query, target, gain) that no blog page of ours answers come first, then gaps(question, gain) of answer
+    engines; the other way round if the last two posts shipped both came from search. Slugs written within ten years,
+    live(slug) and queries that ranking(query) pages answer are left out. An empty duplication corpus allows no post.
+    """
+    searched = actions.where((F.col("kind") == "too-far") | ~F.contains("target", F.lit("/blog/"))).select(F.lit("gsc").alias("source"), "query", "gain")
+    asked = gaps.select(F.lit("aeo").alias("source"), F.col("question").alias("query"), F.col("gain").cast("double").alias("gain"))
+    last = ledger.where("kind = 'post' and status = 'shipped'").orderBy(F.desc("id")).limit(2)
+    turn = last.agg((F.count_if(F.coalesce(F.get_json_object("meta", "$.source"), F.lit("gsc")) == "gsc") == 2).alias("aeo_first"))
+    rows = searched.union(asked).withColumn("slug", X.slugify(F.col("query")))
+    written = outreach.cooling_down(ledger, as_of, 3650, ("post",))
+    rows = rows.join(written, "slug", "left_anti").join(live.select("slug"), "slug", "left_anti").join(ranking.select("query").distinct(), "query", "left_anti")
+    if corpus is not None:
+        rows = rows.crossJoin(F.broadcast(corpus.agg(F.count("*").alias("__corpus")))).where("__corpus > 0").drop("__corpus")
+    placed = rows.crossJoin(F.broadcast(turn)).withColumn("channel", ((F.col("source") == "aeo") != F.col("aeo_first")).cast("int"))
+    first = placed.orderBy("channel", F.desc("gain"), "query").limit(budget)
+    return first.select("source", "query", "slug", "gain", F.row_number().over(W.orderBy("channel", F.desc("gain"), "query")).cast("long").alias("place"))
+
+
+def select_hygiene(dead: DataFrame, merges: DataFrame, suspects: DataFrame, listed: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(kind, target, detail) of what to tidy up: all dead prefixes, the best pair to merge, and URLs to take out of sitemaps.
+
+    Nothing while a prune or sitemap item is queued, and no merge while one is. listed(url): what sitemaps hold.
+    """
+    queue = ledger.where("status = 'planned'").agg(F.count_if(F.col("kind").isin("prune", "sitemap")).alias("__tidy"), F.count_if(F.col("kind") == "merge").alias("__merge"))
+    prune = dead.select(F.lit("prune").alias("kind"), F.col("prefix").alias("target"), F.col("pages").cast("string").alias("detail"))
+    merge = merges.orderBy(F.desc("shared_impressions"), "winner", "loser").limit(1).select(F.lit("merge"), "loser", "winner")
+    pages = listed.where(X.is_pagination(F.col("url"))).select("url", F.lit("pagination").alias("why"))
+    drop = suspects.select("url", F.lit("dead").alias("why")).union(pages).groupBy("url").agg(F.min("why").alias("why")).select(F.lit("sitemap"), "url", "why")
+    rows = prune.union(merge).union(drop).crossJoin(F.broadcast(queue))
+    return rows.where("__tidy = 0 and (kind <> 'merge' or __merge = 0)").drop("__tidy", "__merge")
+
+
+def resolve(items: DataFrame, live: DataFrame, with_faq: DataFrame) -> DataFrame:
+    """items(id, kind, slug) with outcome: resolved if the change is there already (a live post, a FAQ on its page), else todo."""
+    has = lambda df, name: df.select("slug").distinct().withColumn(name, F.lit(True))
+    rows = items.join(has(live, "__live"), "slug", "left").join(has(with_faq, "__faq"), "slug", "left")
+    done = ((F.col("kind") == "post") & F.col("__live")) | ((F.col("kind") == "faq") & F.col("__faq"))
+    return rows.select("id", "kind", "slug", F.when(done, "resolved").otherwise("todo").alias("outcome"))
+
+
+def freshness(*facts: tuple[str, DataFrame]) -> DataFrame:
+    """(name, newest) of each table of facts."""
+    rows = [df.agg(F.max("date").alias("newest")).select(F.lit(name).alias("name"), "newest") for name, df in facts]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from searchloom.operators import merge
+
 
 def _timed(rows: DataFrame) -> DataFrame:
     """Watermarks need a timestamp with a time zone."""
@@ -25,3 +27,30 @@ def rolling_rates(probes: DataFrame, late: str = "13 days") -> DataFrame:
 
 def deduplicated(rows: DataFrame, keys: list[str], late: str = "13 days") -> DataFrame:
     return _timed(rows).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
+
+
+def upsert_batches(rows: DataFrame, path: str, keys: list[str], checkpoint: str, late: str = "13 days"):
+    """Starts a stream that merges each batch into the table at path; rows later than the watermark allows are not kept out.
+
+    The table has a folder for each batch, and the newest is the table: a batch that is run again writes its own anew.
+    """
+
+    def merge_batch(batch: DataFrame, n: int) -> None:
+        new = merge.latest(batch, keys, "ts")
+        old = current(batch.sparkSession, path, before=n)
+        (new if old is None else merge.merge_into(old, new, keys)).write.mode("overwrite").parquet(f"{path}/batch={n:09d}")
+
+    timed = _timed(rows).withWatermark("ts", late)
+    return timed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge_batch).start()
+
+
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The table that upsert_batches() has made, as of the batch before a number if given; None if there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(hadoop.Path(path)):
+        return None
+    found = [s.getPath() for s in files.listStatus(hadoop.Path(path)) if s.getPath().getName().startswith("batch=")]
+    numbers = [int(p.getName().split("=")[1]) for p in found if files.exists(hadoop.Path(p, "_SUCCESS"))]
+    numbers = sorted(n for n in numbers if before is None or n < before)
+    return spark.read.parquet(f"{path}/batch={numbers[-1]:09d}") if numbers else None
