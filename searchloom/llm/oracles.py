@@ -57,7 +57,7 @@ def _op4() -> str:
     return f"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents),
 low AS (SELECT doc_id, lang, unnest(list_transform(w, lambda x: translate(x, '{_UPPER}', '{_LOWER}'))) AS word FROM t),
-listed AS (SELECT DISTINCT word FROM (SELECT lang, word, count(DISTINCT doc_id) AS n FROM low WHERE lang IS NOT NULL GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(DISTINCT doc_id) DESC, word) <= {quality.TOP_WORDS})),
+listed AS (SELECT DISTINCT word FROM (SELECT lang, word, count(DISTINCT doc_id) AS n FROM low WHERE lang IS NOT NULL GROUP BY lang, word QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(DISTINCT doc_id) DESC, word) <= {quality.TOP_WORDS})),
 said AS (SELECT doc_id, word, count(*) AS x FROM low JOIN listed USING (word) GROUP BY ALL),
 rep AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (

@@ -21,7 +21,7 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 PROSE, SYMBOLS = ".,;:!?'\"()-", "#*$%&|<>"
 OTHER_ASCII = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in PROSE + SYMBOLS)
 MAX_DISTANCE, MIN_WORDS = 0.28, 75
-TOP_WORDS, MAX_LANGUAGES = 25, 20
+TOP_WORDS, MAX_LANGUAGES = 15, 20
 LONG = 200
 
 
