@@ -120,7 +120,7 @@ class ArchiveWriter(DataSourceArrowWriter):
                         out.close()
                     files.append(f"{uuid.uuid4().hex}.warc.gz")
                     out, size = system.open_output_stream(f"{folder}/_temporary/{files[-1]}", compression=None), 0
-                member = gzip.compress(value.as_buffer(), 6, mtime=0)
+                member = gzip.compress(value.as_buffer(), 1, mtime=0)
                 out.write(member)
                 size += len(member)
         if out:
