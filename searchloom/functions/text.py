@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,19 +15,24 @@ def contains_any(text: Column, terms) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(t)) for t in terms), F.lit(False))
 
 
+def names_any(text: Column, terms) -> Column:
+    """contains_any for short strings and many terms: one pattern keeps generated code small."""
+    return text.rlike("|".join(map(re.escape, terms))) if terms else F.lit(False)
+
+
 def is_brand(query: Column, params: Params = DEFAULT) -> Column:
     squashed = F.regexp_replace(F.lower(query), "[^a-z0-9]", "")
-    return contains_any(squashed, [t.replace(" ", "") for t in params.brand_terms])
+    return names_any(squashed, [t.replace(" ", "") for t in params.brand_terms])
 
 
 def is_irrelevant(query: Column, params: Params = DEFAULT) -> Column:
     low = F.lower(query)
-    return contains_any(low, params.irrelevant_terms) | low.rlike(params.irrelevant_pattern)
+    return names_any(low, params.irrelevant_terms) | low.rlike(params.irrelevant_pattern)
 
 
 def is_competitor_internal(query: Column, params: Params = DEFAULT) -> Column:
     low = F.lower(query)
-    return contains_any(low, params.competitors) & ~contains_any(low, params.comparative) & contains_any(low, params.internal_markers)
+    return names_any(low, params.competitors) & ~names_any(low, params.comparative) & names_any(low, params.internal_markers)
 
 
 def intent(query: Column, params: Params = DEFAULT) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from searchloom.functions import text as X
 from searchloom.params import DEFAULT, Params
+from searchloom.sources.feeds import use_checkpoints
 
 
 def window(facts: DataFrame, as_of, days: int, lag: int = 0) -> DataFrame:
@@ -32,11 +33,12 @@ def top_row(rows: DataFrame, by: str, *order) -> DataFrame:
 def ranked(rows: DataFrame, *order) -> DataFrame:
     """rows with a dense priority 1..n. Ranks are local to sorted ranges, offset by the sizes of the ranges before.
 
-    A range is a partition that AQE does not change; its bounds are sampled once for both uses, as both read one exchange.
+    The placed rows are checkpointed, so that sizes and offsets see the same ranges: bounds are sampled anew by each job.
     """
     spark = rows.sparkSession
+    use_checkpoints(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)).checkpoint()
     sizes = placed.groupBy("__part").count()
     before = sizes.select(F.col("__part"), (F.sum("count").over(W.orderBy("__part")) - F.col("count")).alias("__before"))
     return placed.join(F.broadcast(before), "__part").withColumn("priority", (F.col("__before") + F.col("__in") + 1).cast("long")).drop("__part", "__in", "__before")

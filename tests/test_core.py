@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from searchloom.functions import text as X
-from searchloom.operators import checks, marks, merge, outreach, pages, planning, quality, style
+from searchloom.operators import checks, marks, merge, outreach, pages, planning, quality, search, style
 from searchloom.params import CTR_CURVE, DEFAULT
 from searchloom.sources import feeds, payloads
 from searchloom.streaming import events
@@ -212,3 +212,16 @@ def test_repeated_rows_of_a_stream_count_once(spark, tmp_path):
     job.processAllAvailable()
     job.stop()
     assert sorted(r.id for r in spark.table("once").collect()) == [0, 1, 2]
+
+
+def test_ranks_are_dense_over_many_ranges(spark):
+    """Sizes of ranges and places in them come from one layout, though bounds are sampled."""
+    rows = spark.range(20000).select(F.col("id").alias("query"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("gain"))
+    found = search.ranked(rows, F.desc("gain"), F.asc("query")).collect()
+    order = sorted(found, key=lambda r: (-r.gain, r.query))
+    assert [r.priority for r in order] == list(range(1, 20001))
+
+
+def test_names_with_signs_are_taken_literally(spark):
+    said = spark.createDataFrame([("a+b (c)",), ("aab c",), (None,)], "q string")
+    assert [r[0] for r in said.select(X.names_any(F.col("q"), ["b (c)", "x.y"])).collect()] == [True, False, None]
