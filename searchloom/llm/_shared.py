@@ -122,6 +122,18 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Table
     return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def join_unique(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFrame:
+    """The left join of `left` with right(key, n, ...), which has one row per key and how many rows of `left` have it.
+
+    Keys of more than one in 10,000 rows (and of over 1,000 rows) are broadcast: there are fewer than 10,000 of them
+    whatever the size. No other key is large enough to burden the task that it is dealt to.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(n) > max(1000, total // 10_000)).drop(n))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(n) <= max(1000, total // 10_000)).drop(n), key, "left")
+    return left.join(hot, key).unionByName(rest)
+
+
 def _forest(frames):
     """Contracts the edges of a task to (node, smallest node linked to it here, whether this edge is new)."""
     held: list[np.ndarray] = []

@@ -107,5 +107,19 @@ d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, translate(upp
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM d"""
 
 
+_OP12 = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, string_split(t, chr(10)) AS l, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t),
+n AS (SELECT *, (len(l) - 1 + CASE WHEN l[-1] <> '' THEN 1 ELSE 0 END)::BIGINT AS n,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+k AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS k1, greatest(h1 % (n + 1), h2 % (n + 1)) AS k2 FROM n),
+c AS (SELECT *, CASE WHEN k1 >= n THEN length(t) ELSE length(array_to_string(l[1:k1], chr(10))) + least(k1, 1) END AS a,
+  CASE WHEN k2 >= n THEN length(t) ELSE length(array_to_string(l[1:k2], chr(10))) + least(k2, 1) END AS b FROM k),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": _op2(), "op3_ngram_jaccard": _OP3, "op4_quality_divergence": _op4(), "op7_substring_dedup": _OP7, "op8_line_dedup": _OP8, "op10_warc": _OP10}
+    return {"op2_chat_formatting": _op2(), "op3_ngram_jaccard": _OP3, "op4_quality_divergence": _op4(), "op7_substring_dedup": _OP7, "op8_line_dedup": _OP8, "op10_warc": _OP10, "op12_fill_in_middle": _OP12}

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies one to its whole table and derives digest columns."""
+"""The registered queries of the corpus operators: each applies one to its whole table and derives digest columns."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchloom.llm import chat, fingerprints, langid, lines, ngram_join, packing, pieces, quality, substrings, warc
-from searchloom.llm._shared import new_path
+from searchloom.llm import alignment, chat, fingerprints, infilling, langid, lines, ngram_join, packing, pieces, quality, simhash, substrings, warc
+from searchloom.llm._shared import new_path, stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_table(spark, sf_dir, "documents"), k=4, most=4).withColumnRenamed("component", "component_id")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infilling.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), unit="line", seed=7, fim_percent=100, spm_percent=50)
+    back = infilling.restored(F.col("fim_text"), F.col("form"))
+    return found.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("fim_text", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = _table(spark, sf_dir, "documents"), public_tokenizers.path
+    rows = alignment.align(docs, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), with_ids=False)
+    rows = stage(rows.withColumn("groups", alignment.digest(F.col("groups"))).withColumnRenamed("groups", "groups_sha256"), "aligned")
+    counts = stage(alignment.link_counts(rows), "link-counts")
+    found = alignment.score_links(rows.withColumn("n_links", F.size("links").cast("long")), counts)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_chat_formatting, op3_ngram_jaccard, op4_quality_divergence, op5_language_id, op6_sentencepiece, op7_substring_dedup, op8_line_dedup, op9_packing, op10_warc]
+    found = [op1_fingerprints, op2_chat_formatting, op3_ngram_jaccard, op4_quality_divergence, op5_language_id, op6_sentencepiece, op7_substring_dedup, op8_line_dedup, op9_packing, op10_warc, op11_simhash, op12_fill_in_middle, op13_alignment]
     return {f.__name__: f for f in found}
