@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from searchloom.llm._text import slices
+from searchloom.llm._text import slices, spans
 
 HEAD = 64  # every how many offsets one is sought first
 TOP_PAIRS = 500_000  # the most common pairs, which every task holds: at most 8 MB
 SLICE_TEXT = 1 << 18
-_coders: dict[tuple[str, str], object] = {}
+UNITS = 500_000  # encoded units that a worker keeps
+_coders: dict[tuple[str, str], Coder] = {}
 
 
 def gallop(wanted: np.ndarray, among: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -66,8 +68,65 @@ def common(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return found, at[found]
 
 
-class ByteLevel:
-    """A byte-level BPE of the tokenizers library: ids of a text after one blank, special strings being plain text."""
+class Coder:
+    """A tokenizer that encodes each distinct unit once; what it keeps is bounded by UNITS and does not change results."""
+
+    spelled: pa.BinaryArray  # the bytes that each id stands for
+
+    def __init__(self):
+        self.sizes = np.asarray(pc.binary_length(self.spelled)).astype(np.int64)
+        self.clear()
+
+    def encode(self, units: list[str]) -> list[list[int]]:
+        """The ids of texts that begin with a blank."""
+        raise NotImplementedError
+
+    def clear(self):
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of known units, by key
+        self.begin, self.count, self.fits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
+
+    def _learn(self, units: list[bytes]):
+        lists = self.encode([u.decode() for u in units])
+        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(count.sum()))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        cuts = np.concatenate([[0], np.cumsum(count)])
+        said = self.spelled.take(pa.array(ids))
+        at = np.concatenate([[0], np.cumsum(self.sizes[ids])])[cuts].tolist()
+        raw = said.buffers()[2].to_pybytes() if len(ids) else b""
+        fits = np.array([raw[p:q] == u for p, q, u in zip(at[:-1], at[1:], units, strict=True)], bool)
+        self.begin, self.count, self.fits = np.concatenate([self.begin, self.used + cuts[:-1]]), np.concatenate([self.count, count]), np.concatenate([self.fits, fits])
+        self.used += len(ids)
+
+    def code(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, first: np.ndarray, inverse: np.ndarray, bounds: np.ndarray):
+        """(ids, each row's bounds in them, where each token ends, which rows the ids spell) of rows of units.
+
+        keys are the distinct units, ascending, first is one place of each, inverse which one a unit is, bounds the rows' units.
+        """
+        if len(self.keys) + len(keys) > UNITS:
+            self.clear()
+        at = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero((at == len(self.keys)) | (np.append(self.keys, np.uint64(0))[at] != keys))
+        if len(new):
+            numbers = len(self.begin) + np.arange(len(new))
+            self._learn([raw[p:q] for p, q in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self.keys, self.numbers = np.insert(self.keys, at[new], keys[new]), np.insert(self.numbers, at[new], numbers)
+            at = np.searchsorted(self.keys, keys)
+        unit = self.numbers[at][inverse]
+        total = np.concatenate([[0], np.cumsum(self.count[unit])])
+        ids = self.flat[np.arange(total[-1]) + np.repeat(self.begin[unit] - total[:-1], self.count[unit])]
+        misses = np.concatenate([[0], np.cumsum(~self.fits[unit])])[bounds]
+        sizes = np.cumsum(self.sizes[ids])
+        before = np.concatenate([[0], sizes])[total[bounds[:-1]]]  # bytes that the rows before spell
+        token_bounds = total[bounds]
+        return ids, token_bounds, sizes + np.repeat(starts[bounds[:-1]] - before, np.diff(token_bounds)), np.diff(misses) == 0
+
+
+class ByteLevel(Coder):
+    """A byte-level BPE of the tokenizers library; strings of special tokens are plain text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker per core
@@ -85,13 +144,14 @@ class ByteLevel:
         for entry, i in vocab.items():
             spelled[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
         self.spelled = pa.array(spelled, pa.binary())
+        super().__init__()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [got.ids for got in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, units: list[str]) -> list[list[int]]:
+        return [got.ids for got in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
 
-class Pieces:
-    """A SentencePiece model with byte fallback, which puts one blank before a text."""
+class Pieces(Coder):
+    """A SentencePiece model with byte fallback, which puts a blank before what it is given."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -99,34 +159,34 @@ class Pieces:
         self.model = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
         self.spelled = pa.array([bytes([int(n[1:-1], 16)]) if sp.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)], pa.binary())
+        super().__init__()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, units: list[str]) -> list[list[int]]:
+        return self.model.encode([u[1:] for u in units], num_threads=1)
 
 
-def coder(kind: type, path: str):
+def coder(kind: type, path: str) -> Coder:
     """The worker's coder for this file; workers serve many tasks."""
     if (kind.__name__, path) not in _coders:
         _coders[kind.__name__, path] = kind(path)
     return _coders[kind.__name__, path]
 
 
-def coded(coder, texts: list[str], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, each text's bounds in them, ends of all tokens, which texts the ids spell): data holds a blank before each text."""
-    lists = coder.encode(texts)
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-    ids = np.concatenate([np.array(x, np.int32) for x in lists]) if lists else np.zeros(0, np.int32)
-    spelled = coder.spelled.take(pa.array(ids))
-    sizes = np.asarray(pc.binary_length(spelled)).astype(np.int64)
-    ends = np.cumsum(sizes)
-    total = np.concatenate([[0], ends])[bounds]
-    fits = np.diff(total) == np.diff(offsets)
-    raw, said = data.tobytes(), spelled.buffers()[2]
-    said = said.to_pybytes()[: total[-1]] if said is not None else b""
-    if not (fits.all() and said == raw):
-        fits &= np.array([said[a:b] == raw[c:d] for a, b, c, d in zip(total[:-1].tolist(), total[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], bool)
-    # Ends count from the text's place in data.
-    return ids, bounds, ends + np.repeat(offsets[:-1] - total[:-1], np.diff(bounds)), fits
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows' bounds of units: data holds a blank before each row, and every unit begins with one.
+
+    A blank begins a unit where no blank is before it and a graphic ASCII character or a Latin letter of two bytes
+    follows. Both tokenizers always part their tokens there: the splitting pattern of the one leaves such a blank to
+    what follows, and no piece of the other has a blank after another character.
+    """
+    begin = np.zeros(len(data), bool)
+    if len(data) > 2:
+        begin[1:-1] = (data[1:-1] == 0x20) & (data[:-2] != 0x20) & (((data[2:] > 0x20) & (data[2:] < 0x7F)) | (data[2:] == 0xC3))
+    begin[offsets[:-1]] = True
+    after = offsets[:-1] + 1  # a blank that begins a text follows the row's own
+    begin[after[after < offsets[1:]]] = False
+    starts = np.flatnonzero(begin)
+    return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
 
 
 def aligned(batch_texts: pa.Array, a, b) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -135,14 +195,14 @@ def aligned(batch_texts: pa.Array, a, b) -> Iterator[tuple[int, int, list[np.nda
     Bounds have a row's first entry, and one more at the end. A cut is how many tokens of its row lie before it.
     """
     for lo, hi, data, offsets in slices(batch_texts, SLICE_TEXT):
-        texts = [t or "" for t in batch_texts.slice(lo, hi - lo).to_pylist()]
         wide = np.full(len(data) + hi - lo, 0x20, np.uint8)
         new = offsets + np.arange(hi - lo + 1)
         solid = np.ones(len(wide), bool)
         solid[new[:-1]] = False
         wide[solid] = data
-        a_ids, a_bounds, a_ends, a_fits = coded(a, texts, wide, new)
-        b_ids, b_bounds, b_ends, b_fits = coded(b, texts, wide, new)
+        starts, ends, bounds = units(wide, new)
+        keys, first, inverse = np.unique(spans(wide, starts, ends), return_index=True, return_inverse=True)
+        (a_ids, a_bounds, a_ends, a_fits), (b_ids, b_bounds, b_ends, b_fits) = (x.code(wide.tobytes(), starts, ends, keys, first, inverse, bounds) for x in (a, b))
         live = a_fits & b_fits & (np.diff(offsets) > 0)
         sides = []
         for ids, bounds, ends in ((a_ids, a_bounds, a_ends), (b_ids, b_bounds, b_ends)):
@@ -163,7 +223,12 @@ def aligned(batch_texts: pa.Array, a, b) -> Iterator[tuple[int, int, list[np.nda
         yield lo, hi, [a_ids, a_bounds, b_ids, b_bounds, at_a + 1 - a_bounds[rows], at_b + 1 - b_bounds[rows], cut_bounds]
 
 
-def group_texts(a_ids, a_bounds, b_ids, b_bounds, a_cuts, b_cuts, cut_bounds) -> list[str]:
+def numbers_with_marks(size: int) -> pa.StringArray:
+    """The decimal ids below `size`, each followed by nothing, a comma, a bar and a semicolon."""
+    return pa.array([f"{i}{mark}" for i in range(size) for mark in ("", ",", "|", ";")], pa.string())
+
+
+def group_texts(table: pa.StringArray, a_ids, a_bounds, b_ids, b_bounds, a_cuts, b_cuts, cut_bounds) -> pa.Array:
     """Each row's groups as `a1,a2|b1;a3|b2,b3`, empty for a row without tokens."""
     rows = np.repeat(np.arange(len(cut_bounds) - 1), np.diff(cut_bounds))
     a_end, b_end = a_bounds[rows] + a_cuts, b_bounds[rows] + b_cuts  # of each group
@@ -171,14 +236,14 @@ def group_texts(a_ids, a_bounds, b_ids, b_bounds, a_cuts, b_cuts, cut_bounds) ->
     # Tokens of both sides in the order of the text: those of a group's first side, then those of its second.
     a_place = a_own + np.concatenate([[0], b_end])[np.searchsorted(a_end, a_own, "right")]
     b_place = b_own + a_end[np.searchsorted(b_end, b_own, "right")] if len(b_own) else b_own
-    marks = np.full(len(a_ids) + len(b_ids), ",", "<U1")
-    marks[a_place[a_end - 1]] = "|"
-    marks[b_place[b_end - 1]] = ";"
-    marks[b_place[b_end[cut_bounds[1:][np.diff(cut_bounds) > 0] - 1] - 1]] = ""
-    numbers = np.zeros(len(marks), np.int32)
-    numbers[a_place], numbers[b_place] = a_ids, b_ids
-    said = list(map(str.__add__, map(str, numbers.tolist()), marks.tolist()))
-    return ["".join(said[p:q]) for p, q in zip((a_bounds + b_bounds)[:-1].tolist(), (a_bounds + b_bounds)[1:].tolist(), strict=True)]
+    codes = np.zeros(len(a_ids) + len(b_ids), np.int32)
+    codes[a_place], codes[b_place] = 4 * a_ids + 1, 4 * b_ids + 1
+    codes[a_place[a_end - 1]] += 1
+    codes[b_place[b_end - 1]] += 2
+    codes[b_place[b_end[cut_bounds[1:][np.diff(cut_bounds) > 0] - 1] - 1]] -= 3
+    said = table.take(pa.array(codes))
+    ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(said)))])[a_bounds + b_bounds].astype(np.int32)
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), said.buffers()[2] or pa.py_buffer(b""))
 
 
 def align(docs: DataFrame, byte_level: str, piece_model: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -196,13 +261,14 @@ def align(docs: DataFrame, byte_level: str, piece_model: str, key: str = "doc_id
 
     def run(batches):
         a, b = coder(ByteLevel, byte_level), coder(Pieces, piece_model)
+        table = numbers_with_marks(max(len(a.spelled), len(b.spelled)))
         for batch in batches:
             for lo, hi, found in aligned(batch.column(1), a, b):
                 a_ids, a_bounds, b_ids, b_bounds, a_cuts, b_cuts, cut_bounds = found
                 rows = np.repeat(np.arange(hi - lo), np.diff(cut_bounds))
                 pairs = (a_ids[a_bounds[rows] + a_cuts - 1].astype(np.int64) << 32) | b_ids[b_bounds[rows] + b_cuts - 1]
                 sets = lambda values, bounds, kind: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
-                columns = [*(pa.array(np.diff(x), pa.int64()) for x in (a_bounds, b_bounds, cut_bounds)), pa.array(group_texts(*found), pa.string()), sets(pairs, cut_bounds, pa.int64())]
+                columns = [*(pa.array(np.diff(x), pa.int64()) for x in (a_bounds, b_bounds, cut_bounds)), group_texts(table, *found), sets(pairs, cut_bounds, pa.int64())]
                 columns += [sets(a_ids, a_bounds, pa.int32()), sets(b_ids, b_bounds, pa.int32()), sets(a_cuts, cut_bounds, pa.int32()), sets(b_cuts, cut_bounds, pa.int32())] if lists else []
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *columns], names)
 

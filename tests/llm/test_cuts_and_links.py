@@ -202,14 +202,28 @@ def test_alignment(spark, both, rare, monkeypatch):
 
 def test_texts_that_a_side_does_not_spell():
     class Wrong(alignment.Pieces):
-        def encode(self, texts):
-            return [[] if t == "dropped" else super(Wrong, self).encode(["other"])[0] if t == "swap!" else super(Wrong, self).encode([t])[0] for t in texts]
+        def encode(self, units):
+            return [[] if u == " dropped" else super(Wrong, self).encode([" other"])[0] if u == " swap!" else super(Wrong, self).encode([u])[0] for u in units]
 
-    found = list(alignment.aligned(pa.array(["fine one", "dropped", "swap!", "fine two"]), alignment.ByteLevel(BYTES), Wrong(PIECES)))
+    found = list(alignment.aligned(pa.array(["fine one", "dropped", "a swap!", "fine two"]), alignment.ByteLevel(BYTES), Wrong(PIECES)))
     sizes = np.diff(found[0][2][1])
     assert (sizes > 0).tolist() == [True, False, False, True]
 
 
+def test_units_are_coded_like_whole_texts(monkeypatch):
+    """Random mixtures of blanks, letters, digits, marks and wide characters, with a cache that starts anew often."""
+    monkeypatch.setattr(alignment, "UNITS", 50)
+    rng = np.random.default_rng(7)
+    parts = [" ", "  ", "   ", "\n", "\t ", " \u00a0", "\u00a0 ", "\u3000", "a", "Über", "É", " é", "'s", " 'll", "12", " 3.4", "...", " !?", "中", " 文", "\x7f", "\x7f x", "the", " the", "ing", "😀", " \x00", "\u0085 b"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(400)]
+    a, b = alignment.ByteLevel(BYTES), alignment.Pieces(PIECES)
+    for lo, hi, (a_ids, a_bounds, b_ids, b_bounds, *_) in alignment.aligned(pa.array(texts), a, b):
+        for i in range(lo, hi):
+            if a_bounds[i - lo] < a_bounds[i - lo + 1]:
+                assert a_ids[a_bounds[i - lo] : a_bounds[i - lo + 1]].tolist() == a.encode([" " + texts[i]])[0], texts[i]
+                assert b_ids[b_bounds[i - lo] : b_bounds[i - lo + 1]].tolist() == b.encode([" " + texts[i]])[0], texts[i]
+
+
 def test_queries_of_the_three(spark):
     for name, columns in {"op11_simhash": 3, "op12_fill_in_middle": 7, "op13_alignment": 8}.items():
         found = queries.queries()[name](spark, SMALL)
