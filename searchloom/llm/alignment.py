@@ -24,7 +24,7 @@ from searchloom.llm._text import slices, spans
 HEAD = 64  # every how many offsets one is sought first
 TOP_PAIRS = 500_000  # the most common pairs, which every task holds: at most 8 MB
 SLICE_TEXT = 1 << 18
-UNITS = 500_000  # encoded units that a worker keeps
+UNITS = 200_000  # encoded units that a worker keeps
 _coders: dict[tuple[str, str], Coder] = {}
 
 
@@ -82,10 +82,26 @@ class Coder:
         raise NotImplementedError
 
     def clear(self):
+        self.uses = np.zeros(0, np.int32)  # how many slices had each unit since it was learnt or kept
         self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of known units, by key
         self.begin, self.count, self.fits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
 
+    def shrink(self):
+        """Forgets units of one slice, or all where the others are too many."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > UNITS // 2:
+            return self.clear()
+        count = self.count[kept]
+        cuts = np.concatenate([[0], np.cumsum(count)])
+        flat = self.flat[np.arange(cuts[-1]) + np.repeat(self.begin[kept] - cuts[:-1], count)]
+        number = np.full(len(self.uses), -1, np.int64)
+        number[kept] = np.arange(len(kept))
+        known = number[self.numbers] >= 0
+        self.keys, self.numbers = self.keys[known], number[self.numbers[known]]
+        self.begin, self.count, self.fits, self.uses = cuts[:-1], count, self.fits[kept], np.ones(len(kept), np.int32)
+        self.flat[: len(flat)], self.used = flat, len(flat)
+
     def _learn(self, units: list[bytes]):
         lists = self.encode([u.decode() for u in units])
         count = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -107,7 +123,7 @@ class Coder:
         keys are the distinct units, ascending, first is one place of each, inverse which one a unit is, bounds the rows' units.
         """
         if len(self.keys) + len(keys) > UNITS:
-            self.clear()
+            self.shrink()
         at = np.searchsorted(self.keys, keys)
         new = np.flatnonzero((at == len(self.keys)) | (np.append(self.keys, np.uint64(0))[at] != keys))
         if len(new):
@@ -115,6 +131,8 @@ class Coder:
             self._learn([raw[p:q] for p, q in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             self.keys, self.numbers = np.insert(self.keys, at[new], keys[new]), np.insert(self.numbers, at[new], numbers)
             at = np.searchsorted(self.keys, keys)
+            self.uses = np.append(self.uses, np.zeros(len(new), np.int32))
+        self.uses[self.numbers[at]] += 1
         unit = self.numbers[at][inverse]
         total = np.concatenate([[0], np.cumsum(self.count[unit])])
         ids = self.flat[np.arange(total[-1]) + np.repeat(self.begin[unit] - total[:-1], self.count[unit])]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchloom.llm import alignment, chat, fingerprints, infilling, langid, lines, ngram_join, packing, pieces, quality, simhash, substrings, warc
-from searchloom.llm._shared import new_path, stage
+from searchloom.llm._shared import new_path, small_batches, stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +86,8 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = _table(spark, sf_dir, "documents"), public_tokenizers.path
     rows = alignment.align(docs, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), with_ids=False)
-    rows = stage(rows.withColumn("groups", alignment.digest(F.col("groups"))).withColumnRenamed("groups", "groups_sha256"), "aligned")
+    with small_batches(spark):
+        rows = stage(rows.withColumn("groups", alignment.digest(F.col("groups"))).withColumnRenamed("groups", "groups_sha256"), "aligned")
     counts = stage(alignment.link_counts(rows), "link-counts")
     found = alignment.score_links(rows.withColumn("n_links", F.size("links").cast("long")), counts)
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
