@@ -15,6 +15,33 @@ def contains_any(text: Column, terms) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(t)) for t in terms), F.lit(False))
 
 
+def terms_in(low: Column, terms) -> Column:
+    """The listed terms that stand in a lower-cased text as whole words, repeats included, single words first.
+
+    The words of the text are taken once and looked up in a set. Only a text that holds a term of several words at all
+    is cut into words and what lies between them; grams are made where such a term may begin, and looked up likewise.
+    """
+    pieces = "[a-z0-9_]+|[^a-z0-9_]+"
+    cut = {t: re.findall(pieces, t) for t in terms}
+    single, several = [t for t in cut if len(cut[t]) == 1], [t for t in cut if len(cut[t]) > 1]
+    firsts, lengths = sorted({cut[t][0] for t in several}), sorted({len(cut[t]) for t in several})
+    every = lambda pattern: F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
+    found = F.filter(every("[a-z0-9_]+"), lambda x: x.isin(*single)) if single else F.array().cast("array<string>")
+    if not several:
+        return found
+
+    def grams(parts, at, n):
+        listed = [t for t in several if len(cut[t]) == n]
+        return F.filter(F.transform(at, lambda i: F.array_join(F.slice(parts, i + 1, n), "")), lambda g: g.isin(*listed))
+
+    def of(parts):
+        at = F.filter(F.transform(parts, lambda x, i: F.when(x.isin(*firsts), i)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(F.array(at), lambda at: F.concat(*(grams(parts, at, n) for n in lengths))))
+
+    longer = F.flatten(F.transform(F.array(every(pieces)), of))  # the parts are bound once
+    return F.concat(found, F.when(contains_any(low, several), longer).otherwise(F.array().cast("array<string>")))
+
+
 def names_any(text: Column, terms) -> Column:
     """contains_any for short strings and many terms: one pattern keeps generated code small."""
     return text.rlike("|".join(map(re.escape, terms))) if terms else F.lit(False)

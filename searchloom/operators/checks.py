@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchloom.operators import marks, quality, style
+from searchloom.functions.text import terms_in
+from searchloom.operators import marks, quality, tells
 
 TITLE_MOST, DESCRIPTION_LEAST, DESCRIPTION_MOST = 62, 60, 158
-FAQ_QUESTIONS, NARRATION_WORDS = 3, (70, 150)
+FAQ_QUESTIONS, FAQ_TELLS, NARRATION_WORDS = 3, 6, (70, 150)
 ENDED = r"[.!?\"')\]]\s*\z"
 
 
@@ -19,9 +20,9 @@ def _problems(*found: Column) -> Column:
 def banned(text: Column) -> Column:
     """The listed words, brand rules and fingerprints that a short text breaks, in the order of their lists."""
     low = F.lower(text)
-    words = F.filter(F.array(*map(F.lit, (*quality.TIER1, *style.TIER2))), lambda w: F.rlike(low, F.concat(F.lit(r"\b"), w, F.lit(r"\b"))))
-    rules = [(n, p) for n, _, p in (*quality.ONCE[:3], *quality.COUNTED[:5])] + [("emoji", style.EMOJI), ("AI tool utm parameter", quality.UTM)]
-    return F.concat(words, _problems(*(F.when(text.rlike(p), n) for n, p in rules)))
+    listed = (*tells.TIER1, *tells.TIER2)
+    words = F.array_intersect(F.array(*map(F.lit, listed)), terms_in(low, listed))
+    return F.concat(words, _problems(*(F.when(text.rlike(p), n) for n, p in (*tells.HARD_NOS, *tells.FINGERPRINTS))))
 
 
 def meta_problems(title: Column, description: Column, query: Column, old_title: Column, old_description: Column) -> Column:
@@ -30,8 +31,9 @@ def meta_problems(title: Column, description: Column, query: Column, old_title:
     same = lambda a, b: F.lower(F.trim(a)) == F.lower(F.trim(F.coalesce(b, F.lit(""))))
     marked = lambda c: marks.cleaned(c) != c
     terms = F.regexp_extract_all(F.lower(query), F.lit("[a-z]{4,}"), F.lit(0))
+    carries = F.when(marked(t) | marked(d), "carries marks")
     checks = _problems(
-        F.when(marked(t) | marked(d), "carries marks"),
+        carries,
         F.when(F.length(t) > TITLE_MOST, "title too long"),
         F.when(F.length(d) > DESCRIPTION_MOST, "description too long"),
         F.when(F.length(d) < DESCRIPTION_LEAST, "description too short"),
@@ -40,7 +42,7 @@ def meta_problems(title: Column, description: Column, query: Column, old_title:
         F.when((F.size(terms) > 0) & ~F.exists(terms, lambda w: F.contains(F.lower(t), w)), "title drops the query"),
         F.when(F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit(""))) > 1, "more than one separator"),
     )
-    return F.when((t == "") | (d == ""), F.array(F.lit("missing"))).otherwise(checks)
+    return F.when((t == "") | (d == ""), _problems(carries, F.lit("missing"))).otherwise(checks)
 
 
 def faq_problems(blocks: DataFrame, corpus: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -52,8 +54,10 @@ def faq_problems(blocks: DataFrame, corpus: DataFrame, key: str = "id", text: st
         F.when(~b.rlike(ENDED), "ends in mid-sentence"),
     )
     judged = quality.evaluate(blocks, corpus, "section", key, text)
-    rows = blocks.select(key, shape.alias("shape")).join(judged.select(key, "reasons"), key)
-    return rows.select(key, F.array_distinct(F.concat("shape", "reasons")).alias("problems"))
+    rows = blocks.select(key, shape.alias("shape")).join(judged.select(key, "reasons", "tells"), key)
+    # Six warnings in a short block are denser than as many in a whole piece.
+    dense = _problems(F.when(F.col("tells") >= FAQ_TELLS, F.concat(F.col("tells").cast("string"), F.lit(" tells in a short block"))))
+    return rows.select(key, F.concat("shape", "reasons", dense).alias("problems"))
 
 
 def narration(raw: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from searchloom.functions import text as X
-from searchloom.operators import checks, marks, merge, outreach, pages, planning, quality, search
+from searchloom.operators import checks, marks, merge, outreach, pages, planning, quality, search, tells
 from searchloom.params import DEFAULT
 from searchloom.plans.content import _AS_OF, _DAY
 from searchloom.plans.rules import _re
@@ -166,26 +166,15 @@ query("mark_sanitise", "documents", f"""WITH d AS (SELECT doc_id, {_MARKED} AS t
 SELECT doc_id, sha256(clean) AS sha, len(regexp_extract_all(t, {_re(marks.REMOVED)})) AS removed, len(regexp_extract_all(t, {_re(marks.BLANKS)})) AS replaced, len(regexp_extract_all(t, {_re(marks.PASTED)})) AS pasted, CASE WHEN regexp_matches(clean, {_re(marks.PLACEHOLDERS[0])}) OR regexp_matches(clean, {_re(marks.PLACEHOLDERS[1])}) THEN 'unfilled placeholder' ELSE '' END AS blocks FROM c""")(
     lambda d: marks.sanitise(d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 5 == 0, "\u200ba\u00a0b").when(F.col("doc_id") % 5 == 1, " citeturn0search1 \ue000").when(F.col("doc_id") % 5 == 2, " [Your name] ").otherwise("")).alias("text"))).select("doc_id", F.sha2("clean", 256).alias("sha"), "removed", "replaced", "pasted", F.array_join("blocks", " ").alias("blocks"))
 )
-_WORDS = "(" + " OR ".join(f"regexp_matches(lower(t || ' ' || d), '\\b{w}\\b')" for w in (*quality.TIER1, *checks.style.TIER2)) + " OR " + " OR ".join(f"regexp_matches(t || ' ' || d, {_re(p)})" for _, _, p in (*quality.ONCE[:3], *quality.COUNTED[:5], ("", "", checks.style.EMOJI), ("", "", quality.UTM))) + ")"
+_WORDS = "(" + " OR ".join(f"regexp_matches(lower(t || ' ' || d), '\\b{w}\\b')" for w in (*tells.TIER1, *tells.TIER2)) + " OR " + " OR ".join(f"regexp_matches(t || ' ' || d, {_re(p)})" for _, p in (*tells.HARD_NOS, *tells.FINGERPRINTS)) + ")"
 _PROBLEMS = {
     "carries marks": f"regexp_matches(t || d, {_re(marks.REMOVED)}) OR regexp_matches(t || d, {_re(marks.BLANKS)}) OR regexp_matches(t || d, {_re(marks.PASTED)})", "title too long": "length(t) > 62", "description too long": "length(d) > 158", "description too short": "length(d) < 60",
     "banned vocabulary": _WORDS, "title drops the query": "len(q) > 0 AND len(list_filter(q, lambda w: contains(lower(t), w))) = 0", "more than one separator": "length(t) - length(replace(t, '|', '')) > 1",
 }
 query("meta_checks", "documents", f"""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Delve | a | b' ELSE substr(coalesce(text, ''), 1, 50 + doc_id % 20) END AS t, substr(coalesce(text, ''), 90, 40 + doc_id % 150) AS d, regexp_extract_all(lower(substr(coalesce(text, ''), 30, 40)), '[a-z]{{4,}}') AS q FROM documents)
-SELECT doc_id, CASE WHEN t = '' OR d = '' THEN 'missing' ELSE array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _PROBLEMS.items())}], lambda p: p IS NOT NULL), '; ') END AS problems FROM m""")(
+SELECT doc_id, CASE WHEN t = '' OR d = '' THEN CASE WHEN {_PROBLEMS["carries marks"]} THEN 'carries marks; missing' ELSE 'missing' END ELSE array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _PROBLEMS.items())}], lambda p: p IS NOT NULL), '; ') END AS problems FROM m""")(
     lambda d: d.select("doc_id", F.array_join(checks.meta_problems(F.when(F.col("doc_id") % 4 == 0, "Delve | a | b").otherwise(F.substr(F.coalesce("text", F.lit("")), F.lit(1), (50 + F.col("doc_id") % 20).cast("int"))), F.substr(F.coalesce("text", F.lit("")), F.lit(90), (40 + F.col("doc_id") % 150).cast("int")), F.substr(F.coalesce("text", F.lit("")), F.lit(30), F.lit(40)), F.lit("-"), F.lit("-")), "; ").alias("problems"))
 )
-_GATED = SQL["text_gate"].split("WITH d AS (", 1)[1].split(" FROM documents)", 1)[0] + " FROM documents"
-_ONE = " UNION ALL ".join([*(f"SELECT doc_id, '{v}' AS severity, {_re(n)} AS rule, left(unnest(regexp_extract_all(t, {_re(p)})), 60) AS excerpt FROM d" for n, v, p in quality.COUNTED), *(f"SELECT doc_id, '{v}', {_re(n)}, left(regexp_extract(t, {_re(p)}), 60) FROM d WHERE regexp_matches(t, {_re(p)})" for n, v, p in quality.ONCE), *(f"SELECT doc_id, 'P1', 'tier1 vocabulary', '{w}' FROM d WHERE regexp_matches(lower(t), '\\b{w}\\b')" for w in quality.TIER1)])
-
-
-@query("flag_rows", "documents", f"WITH d AS ({_GATED}) {_ONE}")
-def flag_rows(docs):
-    n = F.col("doc_id") % 5
-    tail = F.when(n == 0, " We delve into a robust paradigm. Studies show it.").when(n == 1, " Moreover, it could potentially serve. I hope this helps").when(n == 2, " — a — b — c #a #b #c #d #e #f").otherwise("")
-    return quality.flag_rows(docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), tail).alias("text")))
-
-
 query("gate_evaluate", "documents pages")(lambda d, p: quality.evaluate(d.select("doc_id", "text"), p.select(F.col("page_id").cast("string").alias("url"), F.col("html").alias("text"))).drop("clean"))
 query("faq_checks", "documents pages")(lambda d, p: checks.faq_problems(d.select(F.col("doc_id").alias("id"), F.concat(F.lit("## FAQ\n### A?\n"), F.coalesce("text", F.lit(""))).alias("text")), p.select("url", F.col("html").alias("text"))))
 query("narration_checks", "documents")(lambda d: checks.narration_problems(d.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))))

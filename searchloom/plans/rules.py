@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from searchloom.operators import outreach, planning, quality, search, style
+from searchloom.operators import flags, outreach, planning, quality, search, style, tells
 from searchloom.plans.content import _AS_OF, _DAY
 from searchloom.plans.search import INTENT, SQL, _PD, query
 
@@ -46,13 +46,13 @@ _CAPITAL = "list_filter(regexp_extract_all(h, '[A-Za-z]+'), lambda w: len(w) > 3
 _PERSON = style.PERSON.replace(r"\b(", r"(?:^|[^\p{L}\p{N}_])(", 1).replace(r")\b", r")(?:[^\p{L}\p{N}_]|$)")  # \b in DuckDB knows ASCII letters only
 _times = lambda p: f"((len(low) - len(replace(low, '{p}', ''))) // {len(p)})"
 _RULES = {
-    "credibility": ("p0", _sum(_has("t", c) for c in (*style.CREDIBILITY, style.EMOJI))),
+    "credibility": ("p0", _sum(_has("t", c) for _, c in style.CREDIBILITY)),
     "tier2": ("p1", f"len(list_filter(par, lambda x: len(list_distinct(regexp_extract_all(lower(x), {_re(style.one_of(style.TIER2))}))) >= 2))"),
     "tier3": ("p2", _sum(f"(words >= 200 AND {_n('low', rf'\b{x}\b')} * 1000 > 3 * words)::INT" for x in style.TIER3)),
     "phrases_repeated": ("p2", _sum(f"({_times(x)} >= 2)::INT" for x in style.PHRASES)),
     "phrases_stacked": ("p1", "(" + _sum(f"({_times(x)} >= 1)::INT" for x in style.PHRASES) + " >= 3)::INT"),
-    "tells": ("p1", _sum(_n("t", r) for v, r in style.TELLS if v == "P1")),
-    "minor_tells": ("p2", _sum(_n("t", r) for v, r in style.TELLS if v == "P2")),
+    "tells": ("p1", _sum(_n("t", r) for _, v, r in style.TELLS if v == "P1")),
+    "minor_tells": ("p2", _sum(_n("t", r) for _, v, r in style.TELLS if v == "P2")),
     "metronomic": ("p1", f"(len(sw) >= 6 AND 4 * {_spread('sw')} < 81 * len(sw) * len(sw) AND list_sum(sw) > 10 * len(sw))::INT"),
     "denials": ("p1", f"contains(array_to_string(list_transform(s, lambda x: {_has('x', style.DENIAL)}::VARCHAR), ''), '11')::INT"),
     "fragments": ("p1", f"contains(array_to_string(list_transform(s, lambda x: ({_WORDS.format('x')} <= 3 AND NOT regexp_matches(x, '\\?\\s*$'))::INT::VARCHAR), ''), '111')::INT + {_has('t', style.DRUMBEAT)}"),
@@ -96,14 +96,116 @@ _DASHES = f"len(regexp_extract_all(t, '—')) + len(regexp_extract_all(regexp_re
 
 @query("gate_verdict", "documents pages", f"""WITH r AS ({_WHOLE_DRAFTS}), d AS (SELECT doc_id, regexp_replace(raw, {_re(quality.FRONTMATTER)}, '') AS t FROM r),
 style AS (WITH {_FLAGS.split("FROM documents)," + chr(10), 1)[1]}), lexical AS (WITH {_LEXICAL}), copies AS (WITH {_SHINGLES}),
-more AS (SELECT doc_id, {_n("t", quality.UTM)} + {_has("t", quality.HEADING_LAST)} AS fatal, (words > 0 AND {_DASHES} > greatest(1, words // 1000))::INT - (words > 0 AND len(regexp_extract_all(t, '—')) > greatest(1, words // 1000))::INT AS dashed FROM d JOIN (SELECT doc_id, words FROM lexical) USING (doc_id)),
+more AS (SELECT doc_id, {_has("t", quality.HEADING_LAST)} AS fatal, (words > 0 AND {_DASHES} > greatest(1, words // 1000))::INT - (words > 0 AND len(regexp_extract_all(t, '—')) > greatest(1, words // 1000))::INT AS dashed FROM d JOIN (SELECT doc_id, words FROM lexical) USING (doc_id)),
 k AS (SELECT doc_id, l.words, (l.p0 + s.p0 + fatal)::BIGINT AS p0, (l.p1 + s.p1 + dashed)::BIGINT AS p1, (l.p2 + s.p2)::BIGINT AS p2, coalesce(similarity, 0) AS duplication, copied_from FROM lexical l JOIN style s USING (doc_id) JOIN more USING (doc_id) LEFT JOIN copies USING (doc_id))
 SELECT *, 100 * p0 + 5 * p1 + p2 AS score, p0 = 0 AND p1 < 6 AND duplication < 0.28 AS passed FROM k""", "duplication")
 def gate_verdict(docs, pages):
+    return quality.verdict(*_drafts(docs, pages))
+
+
+def _struct(severity: str, rule: str, detail: str, excerpt: str = "''") -> str:
+    return f"{{'severity': '{severity}', 'rule': {rule}, 'detail': {detail}, 'excerpt': {excerpt}}}"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _when(condition: str, *flag) -> str:
+    return f"CASE WHEN {condition} THEN [{_struct(*flag)}] ELSE [] END"
+
+
+def _each(severity: str, rule: str, detail: str, pattern: str, most: int) -> str:
+    shown = f"left(regexp_replace(m, '^[.!?] ', ''), {most})"
+    return f"list_transform(regexp_extract_all(t, {_re(pattern)}), lambda m: {_struct(severity, _text(rule), _text(detail), shown)})"
+
+
+def _words(listed, text: str = "low") -> str:
+    """The listed words of a text with their counts, in the order of the list."""
+    pairs = ", ".join(f"{{'term': '{x}', 'n': {_n(text, rf'\b{x}\b')}}}" for x in listed)
+    return f"list_filter([{pairs}], lambda x: x.n > 0)"
+
+
+def _decimal(a: str, b: str) -> str:
+    return f"(((200 * {a} + {b}) // (2 * {b})) // 100)::VARCHAR || '.' || lpad((((200 * {a} + {b}) // (2 * {b})) % 100)::VARCHAR, 2, '0')"
+
+
+def _deviation(c: str) -> str:
+    tenths = f"floor(sqrt({_spread(c)}::DOUBLE) * 10 / len({c}) + 0.5)::BIGINT"
+    return f"({tenths} // 10)::VARCHAR || '.' || ({tenths} % 10)::VARCHAR"
+
+
+_TRIM = lambda x: f"regexp_replace({x}, '{flags.TRIMMED}', '', 'g')"
+_LAST = _TRIM("regexp_extract(core, '([^\\n]*)$', 1)")
+_BARE = f"list_filter(bul, lambda b: {_WORDS.format('b')} <= 6 AND NOT regexp_matches(b, {_re(style.VERBISH)}))"
+_REPEATING = f"list_filter(bul, lambda b: regexp_matches(b, {_re(style.LEAD)}) AND contains(lower(regexp_extract(b, {_re(style.LEAD)}, 2)), lower(regexp_extract(trim(regexp_extract(b, {_re(style.LEAD)}, 1)), '^(\\S*)', 1))))"
+_TITLED = f"list_filter(head, lambda h: len({_CAPITAL}) >= 4 AND len(list_filter({_CAPITAL}, lambda v: regexp_matches(v, '^[A-Z]'))) >= len({_CAPITAL}) - 1)"
+_RUN = lambda marks, run: f"left({_TRIM(f's[strpos({marks}, {chr(39)}{run}{chr(39)}) + {len(run) - 1}]')}, 60)"
+_DENIED = f"array_to_string(list_transform(s, lambda x: {_has('x', style.DENIAL)}::VARCHAR), '')"
+_SHORT = f"array_to_string(list_transform(s, lambda x: ({_WORDS.format('x')} <= 3 AND NOT regexp_matches(x, '\\?\\s*$'))::INT::VARCHAR), '')"
+_SEEN = "list_filter([" + ", ".join(map(_text, tells.PHRASES)) + "], lambda p: contains(low, p))"
+_EMPTY = _sum(_n("low", rf"\b{x}\b") for x in tells.ADVERBS)
+_TIMES_SAID = "'''' || x.term || ''' x' || x.n"
+_CLUSTERS = f"list_transform(par, lambda p: {{'p': p, 'hits': list_transform({_words(tells.TIER2, 'lower(p)')}, lambda x: x.term)}})"
+_LONG = [
+    _when("words < 500", "P0", "'too short'", "words || ' words, need 500+'"),
+    _when(f"core <> '' AND starts_with({_LAST}, '#')", "P0", "'truncated'", "'ends on a heading with no content'", f"left({_LAST}, 60)"),
+    _when(f"core <> '' AND NOT starts_with({_LAST}, '#') AND NOT regexp_matches(core, '[.!?\"'')\\]]$')", "P0", "'truncated'", "'ends mid-sentence'", f"right({_LAST}, 60)"),
+    *(_each("P0", name, "paste-from-chat fingerprint", p, 60) for name, p in tells.FINGERPRINTS),
+    *(_when(f"regexp_matches(t, {_re(p)})", "P0", _text(f"hard-no: {name}"), "'brand rule violation'", f"left(regexp_extract(t, {_re(p)}), 60)") for name, p in tells.HARD_NOS),
+    *(_when(f"regexp_matches(t, {_re(p)})", "P0", _text(name), "'credibility killer'", f"left(regexp_extract(t, {_re(p)}), 70)") for name, p in tells.CREDIBILITY),
+    f"list_transform({_words(tells.TIER1)}, lambda x: {_struct('P1', _text('tier1 vocabulary'), _TIMES_SAID, 'x.term')})",
+    f"list_transform(list_filter({_CLUSTERS}, lambda c: len(c.hits) >= 2), lambda c: {_struct('P1', _text('tier2 cluster'), "len(c.hits) || ' in one paragraph: ' || array_to_string(c.hits, ', ')", 'left(c.p, 80)')})",
+    f"list_transform(list_filter({_words(tells.TIER3)}, lambda x: words >= 200 AND x.n * 1000 > 3 * words), lambda x: {_struct('P2', _text('tier3 density'), _TIMES_SAID, 'x.term')})",
+    *(_each(severity, name, "structural tell", p, 70) for name, severity, p in (*tells.PATTERNS, *tells.TELLS)),
+    _when("words > 0 AND dashes > greatest(1, words // 1000)", "P1", "'em dash overuse'", "dashes || ' in ' || words || ' words'"),
+    _when("len(tags) >= 6", "P2", "'hashtag stuffing'", "len(tags) || ' hashtags'", "array_to_string(tags[1:6], ' ')"),
+    _when("words >= 200 AND len(list_distinct(w)) < 0.4 * words", "P2", "'low vocabulary diversity'", f"'type-token ratio ' || {_decimal('len(list_distinct(w))', 'words')} || ' (<0.40)'"),
+    _when(f"len(sw) >= 6 AND 4 * {_spread('sw')} < 81 * len(sw) * len(sw) AND list_sum(sw) > 10 * len(sw)", "P1", "'metronomic sentences'", f"'length stdev ' || {_deviation('sw')} || ' (<4.5)'"),
+    _when(f"contains({_DENIED}, '11')", "P1", "'negative listing'", "'2 consecutive denials'", _RUN(_DENIED, "11")),
+    _when(f"contains({_SHORT}, '111')", "P1", "'dramatic fragmentation'", "'3 consecutive one-beat sentences'", _RUN(_SHORT, "111")),
+    _when(f"regexp_matches(t, {_re(style.DRUMBEAT)})", "P1", "'dramatic fragmentation'", _text("'That's it. That's the …' construction")),
+    _when(f"len({_BARE}) >= 5", "P1", "'bullet list of bare noun phrases'", f"len({_BARE}) || ' verbless items'", f"left({_TRIM(f'({_BARE})[1]')}, 60)"),
+    _when(f"len({_REPEATING}) > 0", "P2", "'inline-header list'", "'bold header repeats its own line'", f"left({_TRIM(f'({_REPEATING})[1]')}, 60)"),
+    _when(f"len({_TITLED}) > 0", "P2", "'title case heading'", f"left({_TRIM(f'({_TITLED})[1]')}, 60)", f"left({_TRIM(f'({_TITLED})[1]')}, 60)"),
+    _when(f"words >= 200 AND {_n('t', style.BOLD)} > greatest(2, words // 400)", "P2", "'bold overuse'", f"{_n('t', style.BOLD)} || ' bolded spans'"),
+    _when("words > 0 AND words < 300 AND len(head) > 3", "P2", "'excessive structure'", "len(head) || ' headings in ' || words || ' words'"),
+    _when("words > 0 AND words < 200 AND len(bul) >= 8", "P2", "'excessive structure'", "len(bul) || ' bullets in ' || words || ' words'"),
+    *(_when(f"{_times(x)} >= 2", "P2", "'tier3 phrase repetition'", f"'''{x}'' x' || {_times(x)}", _text(x)) for x in tells.PHRASES),
+    _when(f"len({_SEEN}) >= 3", "P1", "'tier3 phrase clustering'", f"len({_SEEN}) || ' distinct boilerplate phrases: ' || array_to_string(({_SEEN})[1:4], ', ')"),
+    _when(f"words >= 200 AND {_EMPTY} * 1000 > 6 * words", "P2", "'empty adverb density'", f"{_EMPTY} || ' in ' || words || ' words'"),
+    _when(_has("t", style.STACKED) + " = 1", "P2", "'hyphenated-pair overuse'", "'three or more compound modifiers in a row'"),
+    _when(f"len(pw) >= 5 AND 25 * {_spread('pw')} < 16 * len(pw) * len(pw) AND list_sum(pw) >= 3 * len(pw)", "P1", "'uniform paragraph length'", f"len(pw) || ' paragraphs, stdev ' || {_deviation('pw')}"),
+    _when(f"words >= 400 AND NOT regexp_matches(t, {_re(_PERSON)})", "P1", "'no first person'", "'no stated opinion or experience anywhere'"),
+]
+_FLAGGED = f"""r AS ({_WHOLE_DRAFTS}), d AS (SELECT doc_id, regexp_replace(raw, {_re(quality.FRONTMATTER)}, '') AS t FROM r),
+{_FLAGS.split("FROM documents)," + chr(10), 1)[1].split("c AS (")[0].rstrip().rstrip(",")},
+e AS (SELECT *, {_TRIM("t")} AS core, {_DASHES} AS dashes, regexp_extract_all(t, '#\\w+') AS tags, regexp_extract_all(low, '[a-z'']+') AS w FROM b),
+f AS (SELECT doc_id, words, unnest(flatten([{", ".join(_LONG)}])) AS f FROM e)"""
+
+
+def _drafts(docs, pages):
     pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (F.col("doc_id") % n).cast("int"))
     text = F.concat(pick(MARKS, 4), F.coalesce("text", F.lit("")), pick(ENDINGS, 6), F.when(F.col("doc_id") % 4 == 2, "\n# More").otherwise(""))
     again = pages.where("page_id % 5 = 0").select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").alias("text"))
-    return quality.verdict(docs.select("doc_id", text.alias("text")).union(again), pages.select(F.col("page_id").cast("string").alias("url"), F.col("html").alias("text")))
+    return docs.select("doc_id", text.alias("text")).union(again), pages.select(F.col("page_id").cast("string").alias("url"), F.col("html").alias("text"))
+
+
+query("flag_rows", "documents pages", f"WITH {_FLAGGED} SELECT doc_id, f.severity, f.rule, f.detail, f.excerpt FROM f")(lambda docs, pages: flags.flag_rows(_drafts(docs, pages)[0]))
+_TOP = _SHINGLES.replace("page::VARCHAR AS copied_from", "page::VARCHAR AS url").replace(" = 1", " <= 3")
+_LINES = lambda severity: f"list(f.rule || ': ' || f.detail) FILTER (f.severity = '{severity}')"
+
+
+@query("gate_reasons", "documents pages", f"""WITH {_FLAGGED}, copies AS (WITH {_TOP}),
+g AS (SELECT doc_id, count(*) FILTER (f.severity = 'P0') AS p0, count(*) FILTER (f.severity = 'P1') AS p1, count(*) FILTER (f.severity = 'P2') AS p2, {_LINES("P0")} AS fatal, {_LINES("P1")} AS told, {_LINES("P2")} AS minor FROM f GROUP BY doc_id),
+h AS (SELECT doc_id, list(round_even(similarity * 100, 0)::INT || '% overlap with existing page ' || url) FILTER (similarity >= 0.28) AS hard, list(round_even(similarity * 100, 0)::INT || '% overlap with ' || url) FILTER (similarity < 0.28) AS soft FROM copies GROUP BY doc_id),
+j AS (SELECT r.doc_id, coalesce(p0, 0) AS p0, coalesce(p1, 0) AS p1, coalesce(p2, 0) AS p2,
+  list_sort(flatten([coalesce(fatal, []), CASE WHEN p1 >= 6 THEN [p1 || ' P1 tells — the shape is generated, not the wording'] ELSE [] END, coalesce(hard, [])])) AS reasons,
+  list_sort(flatten([CASE WHEN p1 >= 6 THEN [] ELSE coalesce(told, []) END, coalesce(minor, []), coalesce(soft, [])])) AS warnings FROM r LEFT JOIN g USING (doc_id) LEFT JOIN h USING (doc_id))
+SELECT doc_id, p0, p1, p2, len(reasons) = 0 AS passed, array_to_string(reasons, '; ') AS reasons, array_to_string(warnings, '; ') AS warnings FROM j""")
+def gate_reasons(docs, pages):
+    found = flags.judge(*_drafts(docs, pages))
+    return found.select("doc_id", "p0", "p1", "p2", "passed", *(F.array_join(F.array_sort(c), "; ").alias(c) for c in ("reasons", "warnings")))
 
 
 @query("corpus_index", "documents", """WITH v AS (SELECT doc_id, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')), ' +'), lambda x: x <> '') AS w FROM documents),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from searchloom.functions import text as X
-from searchloom.operators import checks, marks, merge, outreach, pages, planning, quality, search, style
+from searchloom.operators import checks, flags, marks, merge, outreach, pages, planning, quality, search, style, tells
 from searchloom.params import CTR_CURVE, DEFAULT
 from searchloom.sources import feeds, payloads
 from searchloom.streaming import events
@@ -23,8 +23,8 @@ def test_fixed_values():
     assert CTR_CURVE == (0.28, 0.15, 0.11, 0.08, 0.06, 0.05, 0.04, 0.03, 0.028, 0.025)
     assert (len(quality.TIER1), len(style.TIER2), len(style.TIER3), len(style.PHRASES), len(style.ADVERBS)) == (45, 32, 14, 12, 11)
     assert (len(DEFAULT.competitors), len(DEFAULT.internal_markers), len(DEFAULT.comparative), len(DEFAULT.skip_domains), len(DEFAULT.listicle_hints)) == (13, 17, 5, 11, 8)
-    assert len(quality.COUNTED) + len(quality.ONCE) + len(style.TELLS) + len(style.CREDIBILITY) + 2 == 6 + 4 + 4 + 12 + 15  # with emoji and utm
-    assert set(quality.NEEDLES) == {r[0] for r in (*quality.COUNTED, *quality.ONCE)}
+    assert [len(x) for x in (tells.FINGERPRINTS, tells.HARD_NOS, tells.CREDIBILITY, tells.PATTERNS, tells.TELLS)] == [6, 4, 4, 12, 15]
+    assert set(tells.NEEDLES) == {r[0] for r in (*tells.FINGERPRINTS, *tells.HARD_NOS, *tells.CREDIBILITY, *tells.PATTERNS, *tells.TELLS)}
     assert X.brand_tokens("www.getshopvox.com", "shop vox") == ("shopvox",)
 
 
@@ -42,9 +42,9 @@ RULES = {
     "transition filler": ("a\n  Moreover it", "and moreover it"),
     "worth-verbing": ("worth a look", "worth money"),
     "copula avoidance": ("it serves as one", "it serves one"),
-    "excited to announce": ("Excited to share", "excited to go"),
-    "inspirational closer": ("The future is bright", "the future is dim"),
-    "performed emotion": ("I was thrilled", "she was thrilled"),
+    "hard-no: excited to announce": ("Excited to share", "excited to go"),
+    "hard-no: inspirational closer": ("The future is bright", "the future is dim"),
+    "hard-no: performed emotion": ("I was thrilled", "she was thrilled"),
     "sycophancy": ("You're absolutely right", "you are right"),
     "tier1 vocabulary": ("a robust one", "robustly"),
 }
@@ -52,7 +52,7 @@ RULES = {
 
 def test_each_rule_has_its_flag(spark):
     rows = spark.createDataFrame([(f"{rule}/{i}", text) for rule, pair in RULES.items() for i, text in enumerate(pair)], "doc_id string, text string")
-    found = {(r.doc_id, r.rule) for r in quality.flag_rows(rows).collect()}
+    found = {(r.doc_id, r.rule) for r in flags.flag_rows(rows).collect()}
     assert {(f"{rule}/0", rule) for rule in RULES} <= found
     assert not {(f"{rule}/1", rule) for rule in RULES} & found
 
@@ -73,11 +73,13 @@ def test_gate_contexts_and_checks(spark):
     social, section, blog = gate("social"), gate("section"), gate("blog")
     assert [k for k, r in social.items() if r.passed] == ["mark"] and {k for k, r in section.items() if r.passed} == {"mark", "tags"}
     assert not any(r.passed for r in blog.values())  # all are too short
-    assert section["mark"].clean == "I fed the cat." and section["mark"].warnings == ["1 marks stripped"] and section["hole"].reasons == ["unfilled placeholder", "1 p0"]
+    assert section["mark"].clean == "I fed the cat." and section["mark"].warnings == ["1 marks stripped"] and section["hole"].reasons == ["unfilled placeholder", "unfilled placeholder: paste-from-chat fingerprint"]
     faq = "## FAQ\n### A one?\nYes.\n### A two?\nNo.\n### A three?\nI said so."
     blocks = spark.createDataFrame([(1, faq), (2, faq.replace("### A two?\nNo.\n", "")), (3, faq[3:-1])], "id int, text string")
+    told = faq.replace("I said so.", "Thank me later. It made a decision. Bookmark this. Four key lessons. Worth reading. I delve into a robust realm.")
+    blocks = blocks.union(spark.createDataFrame([(4, told)], "id int, text string"))
     found = {r.id: r.problems for r in checks.faq_problems(blocks, spark.createDataFrame([], "url string, text string")).collect()}
-    assert found == {1: [], 2: ["not 3 questions"], 3: ["no section heading", "ends in mid-sentence"]}
+    assert found == {1: [], 2: ["not 3 questions"], 3: ["no section heading", "ends in mid-sentence"], 4: ["7 P1 tells — the shape is generated, not the wording"]}
     raw = "```text\nScript: - one *two*\n" + "I fed the cat today. " * 16 + "\n```"
     said = {r.id: r for r in checks.narration_problems(spark.createDataFrame([(1, raw), (2, "short")], "id int, text string")).collect()}
     assert said[1].script.startswith("one two I fed") and said[1].words == 82 and said[2].problems == ["length"]
@@ -225,3 +227,33 @@ def test_ranks_are_dense_over_many_ranges(spark):
 def test_names_with_signs_are_taken_literally(spark):
     said = spark.createDataFrame([("a+b (c)",), ("aab c",), (None,)], "q string")
     assert [r[0] for r in said.select(X.names_any(F.col("q"), ["b (c)", "x.y"])).collect()] == [True, False, None]
+
+
+def test_long_flags_in_their_order(spark):
+    text = "---\nkind: x\n---\nWe foster a nuanced view; robust, robust. Not this. No that. Done. Fast. Cheap. Go — on — now.\n\n# Next"
+    found = [tuple(r) for r in flags.flag_rows(spark.createDataFrame([(1, text), (2, None), (None, "")], "doc_id int, text string"), context="section").collect()]
+    assert found == [
+        (1, "P0", "truncated", "ends on a heading with no content", "# Next"),
+        (1, "P1", "tier1 vocabulary", "'robust' x2", "robust"),
+        (1, "P1", "tier2 cluster", "2 in one paragraph: foster, nuanced", "We foster a nuanced view; robust, robust. Not this. No that. Done. Fast. Cheap. "),
+        (1, "P1", "em dash overuse", "2 in 18 words", ""),
+        (1, "P1", "negative listing", "2 consecutive denials", "No that."),
+        (1, "P1", "dramatic fragmentation", "3 consecutive one-beat sentences", "Done."),
+    ]
+
+
+def test_reasons_name_rules_and_pages(spark):
+    page = " ".join(f"word{i} of{i}" for i in range(60))
+    drafts = spark.createDataFrame([(1, page + " I say so."), (2, "As of my last update, it is so."), (3, "Worth reading, I think.")], "doc_id int, text string")
+    corpus = spark.createDataFrame([("a", page), ("b", page + " " + " ".join(f"more{i}" for i in range(200))), ("c", "other " * 80)], "url string, text string")
+    found = {r.doc_id: r for r in flags.judge(drafts, corpus, "section").collect()}
+    assert found[1].reasons == ["97% overlap with existing page a", "36% overlap with existing page b"] and found[1].copied_from == "a"
+    assert found[2].reasons == ["cutoff disclaimer: paste-from-chat fingerprint"] and found[2].warnings == []
+    assert found[3].passed and found[3].warnings == ["worth-verbing: structural tell"]
+
+
+def test_listed_terms_are_whole_words(spark):
+    low = "a deep dive into cutting-edge, in order to; robustly robust-robust deep  dive due to the fact that testament to"
+    terms = ("deep dive", "cutting-edge", "in order to", "robust", "due to the fact that", "testament to", "unpack")
+    assert sorted(value(spark, X.terms_in(F.lit(low), terms))) == ["cutting-edge", "deep dive", "due to the fact that", "in order to", "robust", "robust", "testament to"]
+    assert value(spark, X.terms_in(F.lit(""), terms)) == [] and value(spark, X.terms_in(F.lit("one two"), ("three",))) == []
