@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from searchloom.operators import flags, outreach, planning, quality, search, style, tells
+from searchloom.operators import corpus_index, flags, outreach, planning, quality, search, style, tells
 from searchloom.plans.content import _AS_OF, _DAY
 from searchloom.plans.search import INTENT, SQL, _PD, query
 
@@ -211,10 +211,46 @@ def gate_reasons(docs, pages):
 @query("corpus_index", "documents", """WITH v AS (SELECT doc_id, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')), ' +'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM v WHERE len(w) >= 5))
 SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id HAVING count(*) >= 50""")
-def corpus_index(docs):
+def corpus_sizes(docs):
     return quality.shingles(docs, "doc_id", "text").where("n >= 50").groupBy("doc_id").agg(F.max("n").alias("n"))
 
 
+_CUT = "substr(text, 1, (length(text) * (4 + doc_id % 6) // 10)::INT)"
+_SETS = """v AS (SELECT k, draft, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')), ' +'), lambda x: x <> '') AS w FROM w),
+s AS (SELECT DISTINCT k, draft, array_to_string(w[i:i + 4], ' ') AS h FROM (SELECT k, draft, w, unnest(range(1, len(w) - 3)) AS i FROM v WHERE len(w) >= 5)),
+n AS (SELECT k, draft, count(*) AS n FROM s GROUP BY ALL)"""
+
+
+@query("index_check", "documents conversations", f"""WITH w AS (SELECT 'c' || conv_id || '-' || turn AS k, true AS draft, text FROM conversations UNION ALL SELECT 'd' || doc_id, true, {_CUT} FROM documents
+UNION ALL SELECT doc_id::VARCHAR, false, CASE WHEN doc_id % 10 = 3 THEN {_CUT} ELSE text END FROM documents WHERE doc_id % 10 <> 7),
+{_SETS}, m AS (SELECT a.k AS draft, b.k AS url, count(*) AS m FROM s a JOIN s b ON a.h = b.h AND a.draft AND NOT b.draft GROUP BY ALL),
+f AS (SELECT m.draft, url, m / (a.n + b.n - m) AS similarity FROM m JOIN n a ON a.k = m.draft AND a.draft JOIN n b ON b.k = url AND NOT b.draft WHERE b.n >= 50)
+SELECT draft, url, similarity, row_number() OVER (PARTITION BY draft ORDER BY similarity DESC, url) AS place, similarity >= 0.28 AS blocks FROM f WHERE similarity >= 0.18 QUALIFY place <= 3""", "similarity")
+def index_check(docs, turns):
+    """Every turn, and every document cut short, against an index of documents into which a tenth came twice, the second time cut."""
+    cut = F.expr("substr(text, 1, cast(length(text) * (4 + doc_id % 6) div 10 as int))")
+    pages = docs.where("doc_id % 10 <> 7").select(F.col("doc_id").cast("string").alias("url"), "text")
+    again = docs.where("doc_id % 10 = 3").select(F.col("doc_id").cast("string").alias("url"), cut.alias("text"))
+    drafts = turns.select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("draft"), "text").union(docs.select(F.concat(F.lit("d"), "doc_id"), cut))
+    return corpus_index.check(quality.shingles(drafts, "draft", "text"), corpus_index.merged(corpus_index.build(pages), again))
+
+
+@query("minhash_recall", "documents", f"""WITH w AS (SELECT doc_id::VARCHAR AS k, false AS draft, text FROM documents), {_SETS},
+l AS (SELECT k, n FROM n WHERE n >= 50), x AS (SELECT k, list_sort(list(h)) AS hs FROM s JOIN l USING (k) GROUP BY k), g AS (SELECT min(k) AS k FROM x GROUP BY hs),
+t AS (SELECT s.k, h FROM s JOIN g USING (k)), p AS (SELECT a.k AS a, b.k AS b, count(*) AS m FROM t a JOIN t b ON a.h = b.h AND a.k < b.k GROUP BY ALL)
+SELECT (SELECT count(*) FROM l) AS sets, (SELECT count(*) FROM g) AS classes, count(*) AS pairs, true AS recalled FROM p JOIN l i ON i.k = a JOIN l j ON j.k = b WHERE m / (i.n + j.n - m) >= 0.28""")
+def minhash_recall(docs):
+    """How many pairs of unlike sets the exact index finds at 0.28, and whether bands find nine tenths of them."""
+    sets = quality.shingles(docs.select(F.col("doc_id").cast("string").alias("url"), "text"), "url", "text").where("n >= 50").select("url", "n", "h")
+    heads = corpus_index.classes(sets)
+    unlike = sets.join(heads.where("url = head").select("url"), "url")
+    exact = corpus_index.check(unlike.withColumnRenamed("url", "draft"), corpus_index.ranked(unlike), least=0.28, top=1 << 30).where("draft < url").select(F.col("draft").alias("a"), F.col("url").alias("b"))
+    found = corpus_index.band_pairs(unlike).select("a", "b", F.lit(1).alias("hit"))
+    both = exact.join(found, ["a", "b"], "left").agg(F.count("*").alias("pairs"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"))
+    counts = heads.agg(F.count("*").alias("sets"), F.count_distinct("head").alias("classes"))
+    return counts.crossJoin(both).select("sets", "classes", "pairs", (F.col("hits") >= 0.9 * F.col("pairs")).alias("recalled"))
+
+
 _COOLING = f"SELECT DISTINCT json_extract_string(meta, '$.slug') AS slug FROM action_ledger WHERE kind IN ('meta', 'faq', 'post') AND created >= {_AS_OF} - INTERVAL 30 DAY"
 query("daily_holds", "action_ledger", f"""WITH n AS (SELECT count(*) AS shipped FROM action_ledger WHERE kind = 'post' AND status = 'shipped' AND decided_at::DATE = {_AS_OF}::DATE),
 p AS (SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY id) AS place FROM action_ledger WHERE status = 'planned')

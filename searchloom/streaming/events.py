@@ -29,28 +29,48 @@ def deduplicated(rows: DataFrame, keys: list[str], late: str = "13 days") -> Dat
     return _timed(rows).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
 
 
-def upsert_batches(rows: DataFrame, path: str, keys: list[str], checkpoint: str, late: str = "13 days"):
-    """Starts a stream that merges each batch into the table at path; rows later than the watermark allows are not kept out.
+def upsert_batches(rows: DataFrame, path: str, keys: list[str], checkpoint: str, late: str = "13 days", once: bool = False):
+    """Starts a stream that merges each batch into the table at path, which has a folder for each day of `ts`.
 
-    The table has a folder for each batch, and the newest is the table: a batch that is run again writes its own anew.
+    A batch reads and rewrites the days that it touches, and no others. Keys must fix the day, as those of dated facts
+    do. The rewritten days are staged as a whole before they take the place of the old ones, so a batch that is run
+    again ends what it began, or merges the same rows once more, and leaves no double either way. Rows later than the
+    watermark allows are not kept out. `once`: the stream stops when it has read what is there.
     """
 
     def merge_batch(batch: DataFrame, n: int) -> None:
-        new = merge.latest(batch, keys, "ts")
-        old = current(batch.sparkSession, path, before=n)
-        (new if old is None else merge.merge_into(old, new, keys)).write.mode("overwrite").parquet(f"{path}/batch={n:09d}")
+        spark, staged = batch.sparkSession, f"{path}/_batch-{n:09d}"  # readers of the table skip such names
+        if not _exists(spark, f"{staged}/_SUCCESS"):
+            new = merge.latest(batch, keys, "ts").withColumn("__day", F.to_date("ts")).persist()
+            days = [r[0] for r in new.select("__day").distinct().collect()]  # one value for each day of the batch
+            old = _table(spark, path)
+            out = new if old is None else merge.merge_into(old.where(F.col("__day").isin(days)), new, keys)
+            out.write.mode("overwrite").parquet(staged)
+            new.unpersist()
+        found = spark.read.parquet(staged)
+        found.repartition("__day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__day").parquet(path)
+        _files(spark, staged).delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
 
-    timed = _timed(rows).withWatermark("ts", late)
-    return timed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge_batch).start()
+    stream = _timed(rows).withWatermark("ts", late).writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge_batch)
+    return (stream.trigger(availableNow=True) if once else stream).start()
 
 
-def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The table that upsert_batches() has made, as of the batch before a number if given; None if there is none."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(hadoop.Path(path)):
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    return _files(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    if not _exists(spark, path):
         return None
-    found = [s.getPath() for s in files.listStatus(hadoop.Path(path)) if s.getPath().getName().startswith("batch=")]
-    numbers = [int(p.getName().split("=")[1]) for p in found if files.exists(hadoop.Path(p, "_SUCCESS"))]
-    numbers = sorted(n for n in numbers if before is None or n < before)
-    return spark.read.parquet(f"{path}/batch={numbers[-1]:09d}") if numbers else None
+    kept = [s for s in _files(spark, path).listStatus(spark._jvm.org.apache.hadoop.fs.Path(path)) if s.getPath().getName().startswith("__day=")]
+    return spark.read.parquet(path) if kept else None
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that upsert_batches() has made; None if there is none."""
+    found = _table(spark, path)
+    return None if found is None else found.drop("__day")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from searchloom.functions import text as X
-from searchloom.operators import checks, flags, marks, merge, outreach, pages, planning, quality, search, style, tells
+from searchloom.operators import checks, corpus_index, flags, marks, merge, outreach, pages, planning, quality, search, style, tells
 from searchloom.params import CTR_CURVE, DEFAULT
 from searchloom.sources import feeds, payloads
 from searchloom.streaming import events
@@ -187,10 +187,60 @@ def test_planning(spark):
     assert [r.slug for r in got] == ["b", "c"]
 
 
-def test_minhash_finds_copies(spark):
-    text = " ".join(f"w{i}" for i in range(80))
-    rows = spark.createDataFrame([("a", text), ("b", text + " x"), ("c", " ".join(f"v{i}" for i in range(80))), ("d", "short")], "url string, text string")
-    assert [(r.a, r.b) for r in quality.minhash_pairs(rows).collect()] == [("a", "b")]
+def test_late_row_rewrites_its_day_alone_and_replays_leave_no_double(spark, tmp_path):
+    day = lambda n: datetime.datetime(2024, 1, n, 12)
+    kind, out = "ts timestamp, day date, k int, v double", str(tmp_path / "out")
+    row = lambda n, k, v: (day(n), day(n).date(), k, v)
+
+    def run(rows, check):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        events.upsert_batches(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), out, ["day", "k"], str(tmp_path / check), once=True).awaitTermination()
+        return {p: sorted(f.name for f in (tmp_path / "out" / p).glob("*.parquet")) for p in ("__day=2024-01-01", "__day=2024-01-02", "__day=2024-01-03")}
+
+    before = run([row(1, 1, 1.0), row(2, 1, 2.0), row(3, 1, 3.0), row(3, 2, 4.0)], "check")
+    after = run([row(2, 1, 20.0), row(2, 5, 5.0)], "check")
+    assert [before[p] == after[p] for p in before] == [True, False, True]
+    want = sorted([(1, 1, 1.0), (2, 1, 20.0), (2, 5, 5.0), (3, 1, 3.0), (3, 2, 4.0)])
+    rows = lambda: sorted((r.day.day, r.k, r.v) for r in events.current(spark, out).collect())
+    assert rows() == want
+    run([row(3, 9, 9.0)], "other")  # a lost checkpoint: everything comes again, in one batch
+    assert rows() == sorted([*want, (3, 9, 9.0)])
+
+
+PAGES = {"a": " ".join(f"w{i}" for i in range(90)), "b": " ".join(f"v{i}" for i in range(90)), "short": "too short"}
+
+
+def test_corpus_index_is_checked_in_its_buckets(spark):
+    pages = spark.createDataFrame([*PAGES.items(), ("a", "older " + PAGES["b"])], "url string, text string").withColumn("at", F.when(F.col("text").startswith("older"), 1).otherwise(2))
+    spark.sql("DROP TABLE IF EXISTS corpus_test_v0")
+    index = corpus_index.refresh(spark, "corpus_test", pages, at="at", buckets=8)
+    assert {r.url for r in index.select("url").distinct().collect()} == {"a", "b"}
+    drafts = quality.shingles(spark.createDataFrame([("x", PAGES["a"][:300]), ("y", "other " * 80), ("z", PAGES["b"] + " more")], "draft string, text string"), "draft", "text")
+    found = corpus_index.check(drafts, index)
+    want = quality.check_drafts(drafts, quality.shingles(pages.where("at = 2"), "url", "text"))
+    assert sorted(found.collect()) == sorted(want.collect()) and {(r.draft, r.url) for r in want.collect()} == {("x", "a"), ("z", "b")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = drafts.join(index, "h")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(h") == 1  # the drafts' side
+    # Pages come again: one that has changed is replaced, one that is too short now is gone.
+    newer = spark.createDataFrame([("a", PAGES["b"] + " x"), ("b", "short now")], "url string, text string")
+    index = corpus_index.refresh(spark, "corpus_test", newer, buckets=8)
+    assert {r.url for r in index.select("url").distinct().collect()} == {"a"} and sorted(r.url for r in corpus_index.check(drafts, index).collect()) == ["a"]
+    assert not spark.catalog.tableExists("corpus_test_v0")
+    spark.sql("DROP TABLE corpus_test_v1")
+
+
+@pytest.mark.parametrize("hot", [200, 2])
+def test_bands_find_near_copies(spark, hot):
+    """Forty texts around one: nearly all pairs are found, whether or not their bands are split."""
+    words = PAGES["a"].split()
+    texts = {f"n{i:02d}": " ".join(words[: 89 - i % 9] + [f"x{i}"]) for i in range(40)} | {"b": PAGES["b"], "copy": PAGES["b"]}
+    sets = quality.shingles(spark.createDataFrame(list(texts.items()), "url string, text string"), "url", "text")
+    heads = {r.url: r["head"] for r in corpus_index.classes(sets).collect()}
+    assert heads["copy"] == "b" and len(set(heads.values())) == 41
+    found = corpus_index.band_pairs(sets.where("url <> 'copy'").select("url", "n", "h"), hot=hot).collect()
+    assert len(found) >= 0.9 * 40 * 39 / 2 and all(r.a < r.b and r.similarity >= 0.28 for r in found)
 
 
 @pytest.mark.parametrize("batches", [1, 3])
