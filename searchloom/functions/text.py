@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import html
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from searchloom.params import CTR_CURVE, DEFAULT, Params
 
@@ -151,17 +154,25 @@ def redact(text: Column, patterns=SECRETS) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p, "[REDACTED]"), patterns, text)
 
 
+@F.pandas_udf(StringType())
+def _all_entities(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def unescape(text: Column) -> Column:
-    # The common entities, ampersand last.
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")), text)
+    """text with its character references replaced: all named ones, with or without a semicolon, and numbers of both bases.
+
+    References are decoded in Arrow batches, the one thing here that the JVM has no table for.
+    """
+    return _all_entities(text)
 
 
-def page_title(html: Column) -> Column:
-    return F.trim(unescape(F.regexp_extract(html, "(?is)<title>(.*?)</title>", 1)))
+def page_title(page: Column) -> Column:
+    return F.trim(unescape(F.regexp_extract(page, "(?is)<title>(.*?)</title>", 1)))
 
 
-def page_description(html: Column) -> Column:
-    return F.trim(unescape(F.regexp_extract(html, r'(?is)<meta\s+name="description"\s+content="(.*?)"', 1)))
+def page_description(page: Column) -> Column:
+    return F.trim(unescape(F.regexp_extract(page, r'(?is)<meta\s+name="description"\s+content="(.*?)"', 1)))
 
 
 def page_text(html: Column, most: int = 6000) -> Column:

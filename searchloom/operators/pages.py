@@ -91,21 +91,42 @@ def parse_faq(block: Column) -> Column:
     return F.filter(F.transform(parts, pair), lambda p: (p["question"] != "") & (p["answer"] != ""))
 
 
+def _json_text(text: Column) -> Column:
+    """A text as a JSON string."""
+    held = F.to_json(F.array(text))
+    return F.substring(held, F.lit(2), F.length(held) - 2)
+
+
+def faq_html(pairs: Column, indent: Column) -> Column:
+    """The visible block, a heading or paragraph a line, each behind the indentation of the place where it goes."""
+    lines = F.transform(pairs, lambda p: F.concat(indent, F.lit("<h3>"), _escape(p["question"]), F.lit("</h3>\n"), indent, F.lit("<p>"), _escape(p["answer"]), F.lit("</p>")))
+    return F.concat(indent, F.lit("<h2>Frequently asked questions</h2>\n"), F.array_join(lines, "\n"), F.lit("\n\n"))
+
+
+def faq_json(pairs: Column, indent: Column) -> Column:
+    """The same questions as JSON-LD, written with two blanks a level."""
+    item = lambda p: F.concat(F.lit('    {\n      "@type": "Question",\n      "name": '), _json_text(p["question"]), F.lit(',\n      "acceptedAnswer": {\n        "@type": "Answer",\n        "text": '), _json_text(p["answer"]), F.lit("\n      }\n    }"))
+    body = F.concat(F.lit('{\n  "@context": "https://schema.org",\n  "@type": "FAQPage",\n  "mainEntity": [\n'), F.array_join(F.transform(pairs, item), ",\n"), F.lit("\n  ]\n}"))
+    return F.concat(indent, F.lit('<script type="application/ld+json">\n'), body, F.lit("\n"), indent, F.lit("</script>\n"))
+
+
+def _before(html: Column, at: Column, made) -> Column:
+    """html with made(indentation) in front of the place `at` and the blanks that indent it."""
+    indent = F.regexp_extract(F.substring(html, F.lit(1), at - 1), r"(?:\A|[^ \t])([ \t]*)\z", 1)
+    return F.concat(F.substring(html, F.lit(1), at - 1 - F.length(indent)), made(indent), F.substr(html, at - F.length(indent)))
+
+
 def append_faq(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """pages with the FAQ of blocks(url, block) before the call to action or the end of the article, and its JSON-LD at the
-    end of the head. outcome: changed, present (FAQ data is there already), empty (no pairs) or rejected (no place)."""
+    end of the head, both indented as what follows them. outcome: empty (the block has no pairs), present (FAQ data is
+    there already), rejected (no place) or changed; a page without a head gets the visible block alone."""
     rows = pages.join(blocks, "url").withColumn("pairs", parse_faq(F.col("block")))
     html = F.col("html")
     cta, end = F.instr(html, '<div class="article-cta">'), F.instr(html, "</article>")
-    at = F.when(cta > 0, cta).otherwise(end)
-    lines = F.transform("pairs", lambda p: F.concat(F.lit("<h3>"), _escape(p["question"]), F.lit("</h3>\n<p>"), _escape(p["answer"]), F.lit("</p>\n")))
-    shown = F.concat(F.lit("<h2>Frequently asked questions</h2>\n"), F.array_join(lines, ""), F.lit("\n"))
-    items = F.transform("pairs", lambda p: F.struct(F.lit("Question").alias("@type"), p["question"].alias("name"), F.struct(F.lit("Answer").alias("@type"), p["answer"].alias("text")).alias("acceptedAnswer")))
-    data = F.concat(F.lit('<script type="application/ld+json">\n'), F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("FAQPage").alias("@type"), items.alias("mainEntity"))), F.lit("\n</script>\n"))
-    with_block = F.concat(F.substring(html, F.lit(1), at - 1), shown, F.substr(html, at))
-    rows = rows.withColumn("new", with_block).withColumn("head", F.instr("new", "</head>"))
-    whole = F.when(F.col("head") > 0, F.concat(F.substring(F.col("new"), F.lit(1), F.col("head") - 1), data, F.substr(F.col("new"), F.col("head")))).otherwise(F.col("new"))
-    outcome = F.when(html.rlike(r'"@type":\s*"FAQPage"'), "present").when(F.size("pairs") == 0, "empty").when(at == 0, "rejected").otherwise("changed")
+    rows = rows.withColumn("at", F.when(cta > 0, cta).otherwise(end))
+    rows = rows.withColumn("new", _before(html, F.col("at"), lambda indent: faq_html(F.col("pairs"), indent))).withColumn("head", F.instr("new", "</head>"))
+    whole = F.when(F.col("head") > 0, _before(F.col("new"), F.col("head"), lambda indent: faq_json(F.col("pairs"), indent))).otherwise(F.col("new"))
+    outcome = F.when(F.size("pairs") == 0, "empty").when(html.rlike(r'"@type":\s*"FAQPage"'), "present").when(F.col("at") == 0, "rejected").otherwise("changed")
     return rows.select("page_id", "url", F.when(outcome == "changed", whole).otherwise(html).alias("html"), outcome.alias("outcome"))
 
 

@@ -62,7 +62,17 @@ def draft_check(turns, docs):
     return quality.check_drafts(quality.shingles(drafts, "draft", "text"), quality.shingles(corpus, "url", "text"))
 
 
-query("page_facts", "pages", "SELECT page_id, url, trim(replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS title, '' AS description, regexp_matches(html, '(?i)frequently asked') OR regexp_matches(html, '\\bFAQ\\b') OR contains(html, 'FAQPage') AS has_faq FROM pages")(lambda p: pages.facts(p).drop("text"))
+_ENTITIES = {"&lt;": "'<'", "&gt;": "'>'", "&quot;": "'\"'", "&#39;": "chr(39)", "&#x27;": "chr(39)", "&nbsp;": "chr(160)", "&amp;": "'&'"}  # those of the given pages
+
+
+def decoded(text: str) -> str:
+    for entity, plain in _ENTITIES.items():
+        text = f"replace({text}, '{entity}', {plain})"
+    return text
+
+
+_TITLE, _ABOUT = (f"trim({decoded(f"regexp_extract(html, '{p}', 1)")})" for p in ("(?is)<title>(.*?)</title>", '(?is)<meta\\s+name="description"\\s+content="(.*?)"'))
+query("page_facts", "pages", f"SELECT page_id, url, {_TITLE} AS title, {_ABOUT} AS description, regexp_matches(html, '(?i)frequently asked') OR regexp_matches(html, '\\bFAQ\\b') OR contains(html, 'FAQPage') AS has_faq FROM pages")(lambda p: pages.facts(p).drop("text"))
 query("block_coverage", "pages", "SELECT count(*) AS pages, count(*) FILTER (contains(html, '<article')) AS marked FROM pages")(lambda p: pages.coverage(p, "<article"))
 
 

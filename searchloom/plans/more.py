@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from searchloom.functions import text as X
 from searchloom.operators import checks, marks, merge, outreach, pages, planning, quality, search, tells
 from searchloom.params import DEFAULT
-from searchloom.plans.content import _AS_OF, _DAY
+from searchloom.plans.content import _AS_OF, _DAY, decoded
 from searchloom.plans.rules import _re
 from searchloom.plans.search import _PD, _SLUG, RECENT, SQL, query
 from searchloom.sources import feeds, payloads
@@ -154,11 +154,23 @@ query("engine_dates", "action_ledger", "SELECT id, CASE WHEN id % 7 <> 0 THEN de
 # Pages
 _TAGS = reduce(lambda t, n: f"regexp_replace({t}, '<{n}\\b.*?</{n}>', ' ', 'gsi')", ("script", "style", "nav", "footer", "header"), "html")
 _BARE = f"substr(trim(regexp_replace(regexp_replace({_TAGS}, '<[^>]+>', ' ', 'gs'), '\\s+', ' ', 'g')), 1, 6000)"
-query("page_texts", "pages", "SELECT page_id, sha256(replace(replace(replace(replace(replace(replace(replace(" + _BARE + ", '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS sha FROM pages")(lambda p: pages.facts(p).select("page_id", F.sha2("text", 256).alias("sha")))
+# The cut may take the semicolon of the last reference, which is decoded all the same.
+query("page_texts", "pages", f"SELECT page_id, sha256({decoded("regexp_replace(" + _BARE + ", '&(amp|lt|gt|quot|nbsp)$', '&\\1;')")}) AS sha FROM pages")(lambda p: pages.facts(p).select("page_id", F.sha2("text", 256).alias("sha")))
 query("page_retitle", "pages", "SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<title>.*?</title>') THEN 'changed' ELSE 'rejected' END AS outcome, sha256(regexp_replace(html, '(?is)(<title>)(.*?)(</title>)', '\\1A &amp; &quot;b&quot; &lt;' || page_id || '\\3')) AS sha FROM pages")(lambda p: pages.retitle(p, p.select("url", F.concat(F.lit('A & "b" <'), F.col("page_id").cast("string")).alias("title"), F.lit("d").alias("description"))).select("page_id", "outcome", F.sha2("html", 256).alias("sha")))
 query("page_changes", "pages", "SELECT url FROM pages WHERE page_id % 3 = 0")(lambda p: pages.only_changed(p.select(F.col("url").alias("path"), F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html")).alias("content")), p.select(F.col("url").alias("path"), F.col("html").alias("content"))).select(F.col("path").alias("url")))
 query("page_routes", "url_inventory", f"SELECT {_SLUG} AS slug, CASE WHEN cluster = 'blog' THEN 'markdown' WHEN cluster = 'for' THEN 'html' ELSE 'rejected' END AS route FROM url_inventory")(lambda v: (lambda s: pages.routes(s.select("slug"), s.where("cluster = 'blog'"), s.where("cluster in ('for', 'blog')")))(v.select(X.slug(F.col("url")).alias("slug"), "cluster")))
-query("faq_append", "pages")(lambda p: pages.append_faq(p, p.select("url", F.lit("## FAQ\n### Is it <b>?\nYes,\nit is.\n### Empty\n### Why?\nSo.").alias("block"))))
+_ANCHOR = "CASE WHEN contains(html, '<div class=\"article-cta\">') THEN strpos(html, '<div class=\"article-cta\">') ELSE strpos(html, '</article>') END"
+_INDENT = lambda text, at: f"regexp_extract(left({text}, ({at} - 1)::INT), '([ \\t]*)$', 1)"
+_SHOWN = "i || '<h2>Frequently asked questions</h2>' || n || i || '<h3>Is it &lt;b&gt;?</h3>' || n || i || '<p>Yes, it is.</p>' || n || i || '<h3>Why?</h3>' || n || i || '<p>So.</p>' || n || n"
+_ITEM = "'    {{' || n || '      \"@type\": \"Question\",' || n || '      \"name\": \"{q}\",' || n || '      \"acceptedAnswer\": {{' || n || '        \"@type\": \"Answer\",' || n || '        \"text\": \"{a}\"' || n || '      }}' || n || '    }}'"
+_DATA = "j || '<script type=\"application/ld+json\">' || n || '{' || n || '  \"@context\": \"https://schema.org\",' || n || '  \"@type\": \"FAQPage\",' || n || '  \"mainEntity\": [' || n || " + _ITEM.format(q="Is it <b>?", a="Yes, it is.") + " || ',' || n || " + _ITEM.format(q="Why?", a="So.") + " || n || '  ]' || n || '}' || n || j || '</script>' || n"
+query("faq_append", "pages", f"""WITH p AS (SELECT *, chr(10) AS n, {_ANCHOR} AS place, regexp_matches(html, '"@type":\\s*"FAQPage"') AS present FROM pages),
+a AS (SELECT *, {_INDENT("html", "place")} AS i FROM p), b AS (SELECT *, left(html, (place - 1 - length(i))::INT) || {_SHOWN} || substr(html, place - length(i)) AS new FROM a),
+h AS (SELECT *, strpos(new, '</head>') AS head, {_INDENT("new", "strpos(new, '</head>')")} AS j FROM b),
+w AS (SELECT page_id, url, html, CASE WHEN page_id % 7 = 0 THEN 'empty' WHEN present THEN 'present' WHEN place = 0 THEN 'rejected' ELSE 'changed' END AS outcome, CASE WHEN head > 0 THEN left(new, (head - 1 - length(j))::INT) || {_DATA} || substr(new, head - length(j)) ELSE new END AS whole FROM h)
+SELECT page_id, url, outcome, sha256(CASE WHEN outcome = 'changed' THEN whole ELSE html END) AS sha FROM w""")(
+    lambda p: pages.append_faq(p, p.select("url", F.when(F.col("page_id") % 7 == 0, "## FAQ\n### Empty").otherwise("## FAQ\n### Is it <b>?\nYes,\nit is.\n### Empty\n### Why?\nSo.").alias("block"))).select("page_id", "url", "outcome", F.sha2("html", 256).alias("sha"))
+)
 
 # Checks
 _MARKED = "coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN chr(8203) || 'a' || chr(160) || 'b' WHEN 1 THEN ' citeturn0search1 ' || chr(57344) WHEN 2 THEN ' [Your name] ' ELSE '' END"

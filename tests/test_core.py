@@ -1,7 +1,9 @@
 """Operators that SQL tells little about: cleaning, gates, page edits, merges, planning, streams."""
 
 import datetime
+import html
 import json
+from html.entities import html5 as html_entities
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,14 +102,14 @@ def test_page_edits(spark):
     rows = spark.createDataFrame([(1, "u", HEAD), (2, "v", "no head")], "page_id int, url string, html string")
     changes = spark.createDataFrame([("u", 'A "b" $1 & c', "d'e\\f"), ("v", "t", "d")], "url string, title string, description string")
     found = {r.url: r for r in pages.retitle(rows, changes).collect()}
-    html = found["u"].html
-    assert "<title>A &quot;b&quot; $1 &amp; c</title>" in html and 'description" content="d&#x27;e\\f"' in html and 'og:title" content="A &quot;b&quot; $1 &amp; c"' in html
-    data = json.loads(html.split("ld+json\">")[1].split("</script>")[0])
+    page = found["u"].html
+    assert "<title>A &quot;b&quot; $1 &amp; c</title>" in page and 'description" content="d&#x27;e\\f"' in page and 'og:title" content="A &quot;b&quot; $1 &amp; c"' in page
+    data = json.loads(page.split("ld+json\">")[1].split("</script>")[0])
     assert data == {"@type": "BlogPosting", "n": 1, "headline": 'A "b" $1 & c', "description": "d'e\\f"} and found["v"].outcome == "rejected"
     faq = pages.append_faq(rows, spark.createDataFrame([("u", "### Is <it>?\nYes,\n it is.\n### Empty"), ("v", "### A?\nb")], "url string, block string"))
     added = {r.url: r for r in faq.collect()}
     assert (added["u"].outcome, added["v"].outcome) == ("changed", "rejected")
-    assert "<h3>Is &lt;it&gt;?</h3>\n<p>Yes, it is.</p>" in added["u"].html.split("</article>")[0] and '"@type":"FAQPage"' in added["u"].html.split("</head>")[0]
+    assert "<h3>Is &lt;it&gt;?</h3>\n<p>Yes, it is.</p>" in added["u"].html.split("</article>")[0] and '"@type": "FAQPage"' in added["u"].html.split("</head>")[0]
     again = pages.append_faq(faq.select("page_id", "url", "html"), spark.createDataFrame([("u", "### A?\nb")], "url string, block string")).first()
     assert again.outcome == "present"
     block = lambda df, text: pages.insert_block(df, text, "m")
@@ -307,3 +309,29 @@ def test_listed_terms_are_whole_words(spark):
     terms = ("deep dive", "cutting-edge", "in order to", "robust", "due to the fact that", "testament to", "unpack")
     assert sorted(value(spark, X.terms_in(F.lit(low), terms))) == ["cutting-edge", "deep dive", "due to the fact that", "in order to", "robust", "robust", "testament to"]
     assert value(spark, X.terms_in(F.lit(""), terms)) == [] and value(spark, X.terms_in(F.lit("one two"), ("three",))) == []
+
+
+def test_faq_is_indented_as_what_follows_it(spark):
+    """The whole page, byte by byte; data as json.dumps() writes it."""
+    page = "<head>\n  <title>t</title>\n\t</head>\n<article>\n  <p>x</p>\n    <div class=\"article-cta\">c</div>\n</article>"
+    kind = "page_id int, url string, html string"
+    rows = spark.createDataFrame([(1, "u", page), (2, "bare", "<article>x</article>"), (3, "none", page), (4, "has", page + '"@type": "FAQPage"'), (5, "both", '"@type":"FAQPage"')], kind)
+    block = "### A \"q\" é?\nOne\n\ttwo \\ <b>.\n### Next?\nSo."
+    blocks = spark.createDataFrame([("u", block), ("bare", block), ("none", "### Empty"), ("has", block), ("both", "no pairs")], "url string, block string")
+    found = {r.url: r for r in pages.append_faq(rows, blocks).collect()}
+    assert {k: r.outcome for k, r in found.items()} == {"u": "changed", "bare": "changed", "none": "empty", "has": "present", "both": "empty"}
+    pairs = [('A "q" é?', "One two \\ <b>."), ("Next?", "So.")]
+    entity = [{"@type": "Question", "name": q, "acceptedAnswer": {"@type": "Answer", "text": a}} for q, a in pairs]
+    data = json.dumps({"@context": "https://schema.org", "@type": "FAQPage", "mainEntity": entity}, indent=2, ensure_ascii=False)
+    shown = "".join(f"    <h3>{html.escape(q)}</h3>\n    <p>{html.escape(a)}</p>\n" for q, a in pairs)
+    want = page.replace("\t</head>", f'\t<script type="application/ld+json">\n{data}\n\t</script>\n\t</head>')
+    want = want.replace("    <div", "    <h2>Frequently asked questions</h2>\n" + shown + "\n    <div")
+    assert found["u"].html == want and found["none"].html == page
+    assert found["bare"].html == "<article>x<h2>Frequently asked questions</h2>\n" + shown.replace("    ", "") + "\n</article>"
+
+
+def test_all_entities_are_decoded(spark):
+    names = [*sorted(html_entities)[::9], "#233;", "#xE9;", "#XE9", "#128;", "#0;", "#x110000;", "notanentity;", "lt", "ampamp;"]
+    rows = spark.createDataFrame([(f"<title> a&{n}b </title>",) for n in names] + [(None,)], "html string")
+    found = [r.t for r in rows.select(X.page_title(F.col("html")).alias("t")).collect()]
+    assert found[:-1] == [html.unescape(f" a&{n}b ").strip(" ") for n in names] and found[-1] is None
