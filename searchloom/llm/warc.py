@@ -196,6 +196,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def with_payload_size(records: DataFrame) -> DataFrame:
     """records without payloads, with payload_bytes: of a revisit, those of the response that it refers to."""
     light = stage(records.withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload"), "records")
-    sizes = light.where("record_type = 'response'").select(F.col("page_id").alias("__id"), F.col("payload_bytes").alias("__bytes")).dropDuplicates(["__id"])
-    joined = light.join(sizes, light["refers_to"] == sizes["__id"], "left")
-    return joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "__bytes")).drop("__id", "__bytes")
+    sizes = light.where("record_type = 'response'").select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes"))
+    # A page_id may repeat with unlike payloads: the response is the one of the revisit's own digest.
+    same = (light["refers_to"] == sizes["__id"]) & (light["payload_digest"] == sizes["__digest"])
+    joined = light.join(sizes.dropDuplicates(["__id", "__digest"]), same, "left")
+    return joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "__bytes")).drop("__id", "__digest", "__bytes")
