@@ -236,4 +236,4 @@ def test_sizes_of_repeated_ids_go_by_digest(spark, tmp_path):
     pages = spark.createDataFrame([(5, "aa"), (5, "bbbb"), (3, "aa"), (2, "bbbb"), (1, "c")], "page_id long, html string").withColumn("url", F.lit("u"))
     warc.write_archives(warc.resolve_revisits(pages), str(tmp_path / "warc"))
     found = warc.with_payload_size(warc.read_archives(spark, str(tmp_path / "warc"))).collect()
-    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in found) == [(1, 1, "response"), (2, 4, "revisit"), (3, 2, "revisit"), (5, 2, "response"), (5, 4, "response")]
+    assert sorted((int(r.page_id), r.payload_bytes, r.record_type) for r in found) == [(1, 1, "response"), (2, 4, "revisit"), (3, 2, "revisit"), (5, 2, "response"), (5, 4, "response")]
