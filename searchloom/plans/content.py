@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from searchloom.functions import text as X
 from searchloom.operators import merge, outreach, pages, quality
-from searchloom.plans.search import any_of, query
+from searchloom.plans.search import QUERIES, SQL, any_of, query
 from searchloom.params import DEFAULT
+from searchloom.sources import feeds
 from searchloom.streaming import events as stream
 
 _TS, _DAY = "aeo_probe.ts", "action_ledger.created"
@@ -111,3 +114,17 @@ def ledger_settle(ledger):
 
 query("daily_event_counts", "events", "SELECT ts::DATE AS day, event_type, count(*) AS n, sum(value) AS value FROM events GROUP BY ALL", "value")(stream.daily_counts)
 query("rolling_mention_rates", "aeo_probe", "SELECT (ts::DATE - i::INT)::DATE AS day, question_id, count(*) AS probes, sum(mentioned) / count(*) AS rate FROM (SELECT *, unnest(range(7)) AS i FROM aeo_probe) GROUP BY 1, 2", "rate")(stream.rolling_rates)
+
+
+def late_upsert(spark, sf_dir):
+    """Events as a stream into a table by day: the last event of each user and day."""
+    feeds.use_checkpoints(spark)
+    base, source = f"{spark.sparkContext.getCheckpointDir()}/upsert-{uuid.uuid4().hex}", f"{sf_dir}/events.parquet"
+    # A stream reads folders; a pattern lets it read a table that is one file too.
+    rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source[:-1]}[t]").select("ts", F.to_date("ts").alias("day"), "user_id", "event_id", "value")
+    stream.upsert_batches(rows, f"{base}/table", ["day", "user_id"], f"{base}/progress", once=True).awaitTermination()
+    return stream.current(spark, f"{base}/table").select("day", "user_id", "event_id", "value")
+
+
+QUERIES["late_upsert"] = late_upsert
+SQL["late_upsert"] = "SELECT ts::DATE AS day, user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY ts::DATE, user_id ORDER BY ts DESC, event_id DESC) = 1"
