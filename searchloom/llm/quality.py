@@ -3,25 +3,24 @@
 Each language's common words are those that most of its texts hold, counted over the whole corpus. A text's histograms
 of character classes and of common words are compared, by Jensen-Shannon distance, to those of each language over the
 whole corpus. A text stays if its mean distance to the nearest language is small enough, or if it is too short for its
-histograms to tell. Features are computed once, in one pass without a shuffle of texts.
+histograms to tell. Features are computed once, in one pass without a shuffle of texts; histograms are sparse, and
+references are a table of shares by language and item, joined to them, so that any number of languages takes part.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from searchloom.llm._shared import stage
+from searchloom.llm._shared import Scratch
 
 BLANKS = " \t\n\x0b\x0c\r"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 PROSE, SYMBOLS = ".,;:!?'\"()-", "#*$%&|<>"
 OTHER_ASCII = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in PROSE + SYMBOLS)
 MAX_DISTANCE, MIN_WORDS = 0.28, 75
-TOP_WORDS, MAX_LANGUAGES = 15, 20
+TOP_WORDS, MAX_LANGUAGES = 25, 10_000
 LONG = 200
 
 
@@ -32,15 +31,16 @@ def _words(text: Column) -> Column:
 def common_words(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP_WORDS, most: int = MAX_LANGUAGES) -> dict[str, tuple[str, ...]]:
     """The words, lowered in A-Z, that most rows of each language hold; ties by word.
 
-    All rows with a language count. The languages are the `most` largest by rows, so that at most `most` x `top` words
-    come to the driver. Words are counted in every task before they are dealt.
+    All rows with a language count, and all languages. More than `most` of them, which no language column holds, raise
+    ValueError, so that at most `most` x `top` words come to the driver. Words are counted in every task before they are dealt.
     """
-    sizes = docs.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most)
-    languages = sorted(r[0] for r in sizes.collect())
+    languages = sorted(r[0] for r in docs.where(F.col(lang).isNotNull()).select(lang).distinct().limit(most + 1).collect())
+    if len(languages) > most:
+        raise ValueError(f"{lang} holds more than {most} languages")
     if not languages:
         return {}
     low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    held = docs.where(F.col(lang).isin(languages)).select(F.col(lang).alias("lang"), F.explode(F.array_distinct(_words(low))).alias("word"))
+    held = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(F.array_distinct(_words(low))).alias("word"))
     counts = held.groupBy("lang", "word").count()
     first = counts.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("n") <= top)
     found: dict[str, list[str]] = {name: [] for name in languages}
@@ -53,8 +53,8 @@ def features(docs: DataFrame, common: dict[str, tuple[str, ...]], key: str = "do
     """(key, *keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, common) of each row.
 
     Words are runs of characters other than ASCII white space. classes counts the characters of words by class:
-    lower and upper case A-Z, digits, prose marks, symbols, other ASCII, all else. common counts each of the common
-    words, A-Z lowered, and last the words that are none. A null text has no words.
+    lower and upper case A-Z, digits, prose marks, symbols, other ASCII, all else. common holds (word, n) of each common
+    word in the text, A-Z lowered, and last the empty word with the words that are none. A null text has no words.
     """
     listed = list(dict.fromkeys(w for ws in common.values() for w in ws))
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -75,7 +75,12 @@ def features(docs: DataFrame, common: dict[str, tuple[str, ...]], key: str = "do
     step = step.withColumn("__ranked", F.when(F.size("__again") > LONG, ranked))
     near = F.filter("__ranked", lambda x, i: (x["h"] == F.when(i > 0, F.get("__ranked", i - 1))["h"]) | (x["h"] == F.get("__ranked", i + 1)["h"]))
     step = step.withColumn("__twice", F.when(F.size("__again") > LONG, F.sort_array(F.transform(near, lambda x: x["p"]))).when(F.size("__again") > 0, F.filter(spots, lambda p: p.isNotNull())))
-    step = step.withColumn("__said", F.concat(F.lit(" "), F.array_join("__common", "  "), F.lit(" ")))
+    # Equal common words lie together once sorted: each one's count is the way to the start of the next.
+    step = step.withColumn("__placed", F.sort_array("__common"))
+    marks = F.transform("__placed", lambda w, i: F.when((i == 0) | (w != F.get("__placed", F.greatest(i - 1, F.lit(0)))), F.struct(w.alias("word"), i.alias("at"))))
+    step = step.withColumn("__starts", F.filter(marks, lambda x: x.isNotNull()))
+    said = F.transform("__starts", lambda x, i: F.struct(x["word"].alias("word"), (F.coalesce(F.get("__starts", i + 1)["at"], F.size("__placed")) - x["at"]).cast("long").alias("n")))
+    rest_words = F.array(F.struct(F.lit("").alias("word"), (F.size("__words") - F.size("__common")).cast("long").alias("n")))
     covered = F.aggregate(F.transform("__twice", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("__twice", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     counts, rest = [], F.col("__solid")
     for group in (LOWER, UPPER, DIGITS, PROSE, SYMBOLS, OTHER_ASCII):
@@ -84,7 +89,6 @@ def features(docs: DataFrame, common: dict[str, tuple[str, ...]], key: str = "do
         counts.append(F.length(rest) - F.length(name))
         rest = F.col(name)
     counts.append(F.length(rest))
-    hits = [((F.length("__said") - F.length(F.replace("__said", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in listed]
     return step.select(
         key,
         *keep,
@@ -94,7 +98,7 @@ def features(docs: DataFrame, common: dict[str, tuple[str, ...]], key: str = "do
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array(*(c.cast("long") for c in counts)).alias("classes"),
-        F.array(*hits, (F.size("__words") - F.size("__common")).cast("long")).alias("common"),
+        F.concat(said, rest_words).alias("common"),
     )
 
 
@@ -102,38 +106,46 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
-def references(found: DataFrame, lang: str = "lang", languages: tuple[str, ...] = ()) -> dict[str, tuple[list[float], list[float]]]:
-    """Each of the languages' shares of character classes and common words over all its rows that pass the base rules.
+def _items(found: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, kind, item, n, total): the entries of both histograms that are not 0, by character class or common word."""
+    entry = lambda kind, item, n, total: F.struct(F.lit(kind).alias("kind"), item.alias("item"), n.alias("n"), total.alias("total"))
+    classes = F.transform("classes", lambda n, i: entry("classes", i.cast("string"), n, F.col("word_chars")))
+    words = F.transform("common", lambda x: entry("common", x["word"], x["n"], F.col("n_words")))
+    return found.select(*keep, F.inline(F.filter(F.concat(classes, words), lambda x: x["n"] > 0)))
+
+
+def references(found: DataFrame, lang: str = "lang") -> DataFrame:
+    """(kind, item, language, share): each language's shares of character classes and of common words over all its rows
+    that pass the base rules."""
+    sums = _items(found.where(F.col(lang).isNotNull() & ~base_failed()), lang).groupBy(F.col(lang).alias("language"), "kind", "item").agg(F.sum("n").alias("n"))
+    return sums.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("language", "kind"))).drop("n")
+
 
-    What comes to the driver is one row for each of them.
+def nearest(found: DataFrame, shares: DataFrame, row: str) -> DataFrame:
+    """(row, near): the mean of the Jensen-Shannon distances (base 2, 0 to 1) of both histograms to the nearest language.
+
+    With shares p and q and their mean m, half of p log2(p / m) + q log2(q / m) is added up. An entry that only one of
+    the two has adds half its share, so that 1 and what common entries change, (p log2(p / m) + q log2(q / m) - p - q) / 2,
+    is the whole sum: entries meet by a join, and languages without common ones lie at distance 1.
     """
-    shares = {}
-    n = {c: found.select(F.size(c)).head() for c in ("classes", "common")}
-    if not languages or any(v is None for v in n.values()):
-        return shares
-    sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, (size,) in n.items() for i in range(size)]
-    for row in found.where(F.col(lang).isin(*languages) & ~base_failed()).groupBy(lang).agg(*sums).collect():
-        parts = [[row[f"{c}{i}"] or 0 for i in range(size)] for c, (size,) in n.items()]
-        shares[row[lang]] = tuple([x / max(1, sum(p)) for x in p] for p in parts)
-    return shares
-
-
-def distance(counts: Column, total: Column, reference: list[float]) -> Column:
-    """The Jensen-Shannon distance (base 2, 0 to 1) between counts / total and the reference shares."""
-    shares = F.transform(counts, lambda c: c / F.nullif(total, F.lit(0)))
-    half = lambda p, q: F.when(p > 0, p * F.log2(p / ((p + q) / 2))).otherwise(0.0)
-    bits = F.zip_with(shares, F.array(*map(F.lit, reference)), lambda p, q: half(p, q) + half(q, p))
-    return F.sqrt(F.greatest(F.aggregate(bits, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
-
-
-def judge(found: DataFrame, shares: dict[str, tuple[list[float], list[float]]], max_distance: float = MAX_DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
+    p, q = F.col("n") / F.col("total"), F.col("share")
+    change = (p * F.log2(p / ((p + q) / 2)) + q * F.log2(q / ((p + q) / 2)) - p - q) / 2
+    met = _items(found, row).join(shares, ["kind", "item"]).select(row, "language", "kind", change.alias("change"))
+    part = lambda kind: F.sqrt(F.greatest(1 + F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("change"))), F.lit(0.0)), F.lit(0.0)))
+    each = met.groupBy(row, "language").agg(((part("classes") + part("common")) / 2).alias("near"))
+    return each.groupBy(row).agg(F.min("near").alias("near"))
+
+
+def judge(found: DataFrame, shares: DataFrame, row: str, max_distance: float = MAX_DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
     """found with base_failed, divergence and kept: divergence is the mean distance to the nearest language.
 
-    It is null, and the text stays if its base rules pass, for fewer than min_words words or without references.
+    It is null, and the text stays if its base rules pass, for fewer than min_words words or without references. row tells
+    the rows of found apart. The shares are one row for each item of a language; Spark broadcasts them if they are small.
     """
-    each = [(distance(F.col("classes"), F.col("word_chars"), a) + distance(F.col("common"), F.col("n_words"), b)) / 2 for _, (a, b) in sorted(shares.items())]
-    near = F.least(*each) if len(each) > 1 else each[0] if each else F.lit(None).cast("double")
-    out = found.withColumn("base_failed", base_failed()).withColumn("divergence", F.when(F.col("n_words") >= min_words, near))
+    told = F.col("n_words") >= min_words
+    near = nearest(found.where(told), shares, row)
+    none_met = F.lit(None).cast("double") if shares.isEmpty() else F.lit(1.0)
+    out = found.join(near, row, "left").withColumn("base_failed", base_failed()).withColumn("divergence", F.when(told, F.coalesce("near", none_met))).drop("near")
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("divergence") <= max_distance, F.lit(True)))
 
 
@@ -145,5 +157,7 @@ def rate(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     """
     docs = docs.select(key, text, F.col(lang).alias("__lang"))
     common = common_words(docs, text, "__lang")
-    found = stage(features(docs, common, key, text, ("__lang",)), "quality")
-    return judge(found, references(found, "__lang", tuple(common)), max_distance, min_words).drop("__lang")
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.stage(features(docs, common, key, text, ("__lang",)).withColumn("__row", F.monotonically_increasing_id()), "quality")
+    shares = scratch.stage(references(found, "__lang").coalesce(1), "quality-shares")
+    return judge(found, shares, "__row", max_distance, min_words).drop("__lang", "__row")

@@ -3,6 +3,8 @@
 import base64
 import gzip
 import hashlib
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -251,10 +253,59 @@ def test_common_words_by_hand(spark):
     rows = [(1, "The cat the", "en"), (2, "the Dog", "en"), (3, "a the", "en"), (4, "dog a", "en"), (5, "le chat", "fr"), (6, None, "fr"), (7, "x", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert quality.common_words(docs, top=3) == {"en": ("the", "a", "dog"), "fr": ("chat", "le")}
-    assert quality.common_words(docs, top=1, most=1) == {"en": ("the",)}
+    assert quality.common_words(docs, top=1, most=2) == {"en": ("the",), "fr": ("chat",)}
+    with pytest.raises(ValueError):
+        quality.common_words(docs, top=1, most=1)
     assert quality.common_words(docs.limit(0)) == {}
 
 
+def brute_distance(text, shares, listed):
+    w, out = words_of(text), []
+    groups = (quality.LOWER, quality.UPPER, quality.DIGITS, quality.PROSE, quality.SYMBOLS, quality.OTHER_ASCII)
+    low = [x.translate(str.maketrans(quality.UPPER, quality.LOWER)) for x in w]
+    counts = {
+        "classes": Counter(next((str(i) for i, g in enumerate(groups) if c in g), "6") for x in w for c in x),
+        "common": Counter(x if x in listed else "" for x in low),
+    }
+    for kinds in shares.values():
+        far = 0.0
+        for kind, q in kinds.items():
+            p = {k: n / sum(counts[kind].values()) for k, n in counts[kind].items()}
+            pairs = [(p.get(k, 0), q.get(k, 0)) for k in {*p, *q}]
+            far += max(0.0, sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in pairs) / 2) ** 0.5
+        out.append(far / 2)
+    return min(out)
+
+
+def test_quality_takes_all_languages(spark):
+    # 23 languages of unlike sizes whose texts are alike in form: each has words of its own, none is left out.
+    rows = [(100 * k + i, " ".join(f"w{chr(97 + k)}{c}" for c in random.Random(100 * k + i).choices("abcdefghijklmnopqrst", k=80)), f"l{k:02}") for k in range(23) for i in range(3 + k % 4)]
+    rows += [(9000, " ".join("\u4e2d%d" % j for j in range(90)), None), (9001, rows[0][1], None), (9001, rows[0][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    listed = {w for ws in quality.common_words(docs).values() for w in ws}
+    assert len(listed) == 23 * 20
+    found = quality.rate(docs).collect()
+    assert len(found) == len(rows) and {r.doc_id for r in found if not r.kept} == {9000}
+    shares = {}
+    for _, text, lang in rows:
+        if lang:
+            kinds = shares.setdefault(lang, {"classes": Counter(), "common": Counter()})
+            kinds["classes"].update({"0": len("".join(words_of(text)))})
+            kinds["common"].update(x if x in listed else "" for x in words_of(text))
+    shares = {k: {kind: {i: n / sum(c.values()) for i, n in c.items()} for kind, c in v.items()} for k, v in shares.items()}
+    texts = {i: t for i, t, _ in rows}
+    for r in found:
+        assert r.divergence == pytest.approx(brute_distance(texts[r.doc_id], shares, listed), abs=1e-6)
+
+
+def test_quality_without_languages(spark):
+    docs = spark.createDataFrame([(1, "a b " * 40, None), (1, "x y z " * 30, None)], "doc_id long, text string, lang string")
+    assert [r.divergence for r in quality.rate(docs).collect()] == [None, None]
+    # Texts that share neither a character class nor a word with any language lie at distance 1.
+    plus = docs.union(spark.createDataFrame([(2, " ".join(f"{a}{b}" for a in "abcdefghi" for b in "abcdefghi" if a != b), "en"), (3, " ".join("\u4e2d" * k for k in range(1, 90)), None)], docs.schema))
+    assert {r.doc_id: r.kept for r in quality.rate(plus).where("doc_id > 1").collect()} == {2: True, 3: False}
+
+
 def test_language_id(spark, both, empty):
     docs = both[1].withColumn("held_out", langid.held_out(F.col("doc_id"))).withColumn("score", F.lit("old"))
     model = langid.train(docs.where("not held_out"))
