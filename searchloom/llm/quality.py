@@ -25,7 +25,18 @@ LONG = 200
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, BLANKS[1:], " " * 5), " "), "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+
+
+def _low(text: Column) -> Column:
+    """text with A-Z lowered: by lower() where that changes nothing else, by the much slower translate() where it does."""
+    rest = F.regexp_replace(text, "[A-Z]+", "")
+    return F.when(F.lower(rest) == rest, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def _any_of(chars: str) -> str:
+    """A pattern for one of some ASCII characters; each is escaped by its code."""
+    return "[" + "".join(f"\\x{ord(c):02x}" for c in chars) + "]"
 
 
 def common_words(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP_WORDS, most: int = MAX_LANGUAGES) -> dict[str, tuple[str, ...]]:
@@ -39,7 +50,7 @@ def common_words(docs: DataFrame, text: str = "text", lang: str = "lang", top: i
         raise ValueError(f"{lang} holds more than {most} languages")
     if not languages:
         return {}
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
+    low = _low(F.coalesce(F.col(text), F.lit("")))
     held = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(F.array_distinct(_words(low))).alias("word"))
     counts = held.groupBy("lang", "word").count()
     first = counts.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("n") <= top)
@@ -58,8 +69,8 @@ def features(docs: DataFrame, common: dict[str, tuple[str, ...]], key: str = "do
     """
     listed = list(dict.fromkeys(w for ws in common.values() for w in ws))
     whole = F.coalesce(F.col(text), F.lit(""))
-    first = docs.select(key, *keep, whole.alias("__text"), F.translate(whole, BLANKS[1:], " " * 5).alias("__flat"))
-    first = first.withColumn("__words", F.array_remove(F.split("__flat", " "), "")).withColumn("__solid", F.translate("__flat", " ", ""))
+    first = docs.select(key, *keep, whole.alias("__text"))
+    first = first.withColumn("__words", _words(F.col("__text"))).withColumn("__solid", F.array_join("__words", ""))
     lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     step = first.withColumn("__lines", lines)
     hashed = F.transform("__words", lambda w, i: F.xxhash64(w, F.get("__words", i + 1), F.get("__words", i + 2)))
@@ -68,7 +79,7 @@ def features(docs: DataFrame, common: dict[str, tuple[str, ...]], key: str = "do
     some = F.size(F.array_distinct("__windows")) < F.size("__windows")
     step = step.withColumn("__sorted", F.when(some, F.sort_array("__windows")))
     step = step.withColumn("__again", F.array_distinct(F.filter("__sorted", lambda h, i: (i > 0) & (h == F.get("__sorted", F.greatest(i - 1, F.lit(0)))))))
-    step = step.withColumn("__common", F.filter(F.split(F.translate("__flat", UPPER, LOWER), " "), lambda w: w.isin(*listed) if listed else F.lit(False)))
+    step = step.withColumn("__common", F.filter(_words(_low(F.col("__text"))), lambda w: w.isin(*listed) if listed else F.lit(False)))
     # Positions of repeated windows: looked up in a short list of their hashes, or by sorting all where that is long.
     spots = F.transform("__windows", lambda h, i: F.when(F.array_contains("__again", h), i))
     ranked = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
@@ -85,7 +96,7 @@ def features(docs: DataFrame, common: dict[str, tuple[str, ...]], key: str = "do
     counts, rest = [], F.col("__solid")
     for group in (LOWER, UPPER, DIGITS, PROSE, SYMBOLS, OTHER_ASCII):
         name = f"__left{len(counts)}"
-        step = step.withColumn(name, F.translate(rest, group, ""))
+        step = step.withColumn(name, F.regexp_replace(rest, _any_of(group) + "+", ""))
         counts.append(F.length(rest) - F.length(name))
         rest = F.col(name)
     counts.append(F.length(rest))
@@ -94,7 +105,7 @@ def features(docs: DataFrame, common: dict[str, tuple[str, ...]], key: str = "do
         *keep,
         F.size("__words").cast("long").alias("n_words"),
         F.length("__solid").cast("long").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("__text") - F.length(F.regexp_replace("__text", _any_of(SYMBOLS), ""))).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array(*(c.cast("long") for c in counts)).alias("classes"),
