@@ -26,6 +26,29 @@ def daily_holds(ledger: DataFrame, as_of, cap: int = 1) -> DataFrame:
     return left.join(F.broadcast(free), "id", "left").select("id", "kind", decision.alias("decision"))
 
 
+def settled(ledger: DataFrame, attempts: DataFrame, as_of, cap: int = 1, days: int = 14) -> DataFrame:
+    """(id, kind, outcome) of each planned item of a run that tries them by id: stale, drop, hold, failed or shipped.
+
+    attempts(id, ok) says how publishing ends; items without a row succeed. Items older than `days` whole days are stale
+    and kinds that no run knows are dropped. Only posts that succeed use up the day's cap, so that a failed one frees its
+    slot: posts are tried up to the one that fills the cap, which is the last of the first few successes (a top-k), and
+    held behind it. Posts that shipped today count; without free slots all posts are held.
+    """
+    post, today = F.col("kind") == "post", (F.col("status") == "shipped") & (F.to_date("decided_at") == F.to_date(F.lit(as_of)))
+    ends = attempts.groupBy("id").agg(F.min("ok").alias("__ok"))
+    old = outreach.stale(ledger, as_of, days).select("id", F.lit(True).alias("__old"))
+    left = ledger.where("status = 'planned'").select("id", "kind").join(ends, "id", "left").join(old, "id", "left")
+    left = left.withColumns({"__ok": F.coalesce("__ok", F.lit(True)), "__old": F.coalesce("__old", F.lit(False))})
+    shipped = ledger.where(post & today).agg(F.count("*").alias("shipped"))
+    first = left.where(post & ~F.col("__old") & F.col("__ok")).orderBy("id").limit(cap).withColumn("place", F.row_number().over(W.orderBy("id")))
+    free = F.lit(cap) - F.col("shipped")
+    # (until, full): the id of the success that fills the cap; full from the start without free slots.
+    filled = shipped.join(F.broadcast(first), F.col("place") == free, "left").select(F.col("id").alias("__until"), (free <= 0).alias("__full"))
+    held = post & (F.col("__full") | F.coalesce(F.col("id") > F.col("__until"), F.lit(False)))
+    outcome = F.when(F.col("__old"), "stale").when(held, "hold").when(~F.col("kind").isin(*KINDS), "drop").when(F.col("__ok"), "shipped").otherwise("failed")
+    return left.crossJoin(F.broadcast(filled)).select("id", "kind", outcome.alias("outcome"))
+
+
 def submission_batch(paths: DataFrame, most: int = 100, params: Params = DEFAULT) -> DataFrame:
     """The first `most` own-site URLs of changed paths, sorted."""
     return paths.select(F.concat(F.lit(params.site), "path").alias("url")).where(F.col("url").startswith(params.site + "/")).distinct().orderBy("url").limit(most)
