@@ -155,7 +155,7 @@ def query_functions(query_daily):
     return query_daily.select("query").distinct().select("query", X.intent(q).alias("intent"), X.slugify(q).alias("slug"), X.topic(q).alias("topic"))
 
 
-@query("url_functions", "url_inventory", f"SELECT url, CASE WHEN split_part(url, '/', 4) IN ('blog', 'for', 'in') THEN split_part(url, '/', 4) ELSE 'core' END AS cluster, {_SLUG} AS slug, {_PREFIX} AS prefix, replace(url, 'https://shop.example.com', '') AS path, false AS pagination FROM url_inventory")
+@query("url_functions", "url_inventory", f"SELECT url, CASE WHEN split_part(url, '/', 4) IN ('blog', 'for', 'in') THEN split_part(url, '/', 4) ELSE 'core' END AS cluster, {_SLUG} AS slug, {_PREFIX} AS prefix, replace(url, 'https://shop.example.com', '') AS path, regexp_matches(url, '/page/[0-9]+/?$') AS pagination FROM url_inventory")
 def url_functions(inventory):
     u = F.col("url")
     return inventory.select("url", X.cluster(u).alias("cluster"), X.slug(u).alias("slug"), X.slug_prefix(u).alias("prefix"), F.replace(u, F.lit(DEFAULT.site), F.lit("")).alias("path"), X.is_pagination(u).alias("pagination"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 _URL = "'https://shop.example.com/' || (CASE p_partkey % 20 WHEN 17 THEN 'for/' WHEN 18 THEN 'in/' WHEN 19 THEN '' ELSE 'blog/' END) || replace(p_name, ' ', '-') || '-for-' || CAST(p_partkey AS VARCHAR)"
+# Old pages that no fact has, eight to a prefix, and pages of lists among them.
+_OLD = "'https://shop.example.com/blog/' || (CASE WHEN c_custkey % 40 = 7 THEN 'page/' ELSE 'notes-' || CAST(c_custkey - c_custkey % 8 AS VARCHAR) || '-' END) || CAST(c_custkey AS VARCHAR)"
 _FACT = "sum(clicks) AS clicks, sum(impressions) AS impressions, sum(impressions * position) / nullif(sum(impressions), 0) AS position FROM search_fact GROUP BY"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 VIEWS = {
@@ -17,7 +19,7 @@ FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey""",
     "page_daily": f"SELECT date, page, {_FACT} date, page",
     "query_daily": f"SELECT date, query, {_FACT} date, query",
     "page_query": f"SELECT date, page, query, {_FACT} date, page, query",
-    "url_inventory": f"SELECT {_URL} AS url, CASE p_partkey % 20 WHEN 17 THEN 'for' WHEN 18 THEN 'in' WHEN 19 THEN 'core' ELSE 'blog' END AS cluster, CASE WHEN p_partkey % 20 IN (17, 18) THEN 0 ELSE 1 END AS in_sitemap FROM part",
+    "url_inventory": f"SELECT {_URL} AS url, CASE p_partkey % 20 WHEN 17 THEN 'for' WHEN 18 THEN 'in' WHEN 19 THEN 'core' ELSE 'blog' END AS cluster, CASE WHEN p_partkey % 20 IN (17, 18) THEN 0 ELSE 1 END AS in_sitemap FROM part UNION ALL SELECT {_OLD} AS url, 'blog' AS cluster, 1 AS in_sitemap FROM customer",
     "url_index_status": f"SELECT {_URL} AS url, TIMESTAMP '2001-07-01 00:00:00' + INTERVAL '1' DAY * (p_size % 30) AS checked_at, CASE p_size % 6 WHEN 0 THEN 'Not found (404)' WHEN 1 THEN 'Page with redirect' WHEN 2 THEN 'Crawled - currently not indexed' ELSE 'Submitted and indexed' END AS coverage_state, CASE WHEN p_size % 6 >= 3 THEN 1 ELSE 0 END AS indexed FROM part WHERE p_size % 7 <> 0",
     "aeo_probe": """SELECT event_id AS id, ts, 'q' || CAST(user_id % 40 AS VARCHAR) AS question_id, 'question ' || CAST(user_id % 40 AS VARCHAR) AS question, CASE WHEN event_type = 'purchase' AND user_id % 40 < 25 THEN 1 ELSE 0 END AS mentioned, CASE WHEN event_type = 'signup' AND value > 300 THEN 1 ELSE 0 END AS cited,
   CASE event_type WHEN 'click' THEN '["Day One","Journey"]' WHEN 'view' THEN '["Daylio"]' WHEN 'signup' THEN '["Day One","Otter","Stoic"]' ELSE '[]' END AS competitors FROM events""",

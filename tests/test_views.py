@@ -21,3 +21,11 @@ def test_rankings_hold_pages_beyond_the_first_sixty(spark):
     assert {"brief_all", "striking_distance_all", "content_gaps_all", "dead_clusters_all"} <= set(search.QUERIES)
     assert search.QUERIES["pages_ranking_all"](spark, "/root/testdata/sf0.001").select("page").distinct().count() > 60
     assert search.QUERIES["merge_candidates_all"](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_old_pages_give_dead_prefixes_and_listing_pages(spark):
+    size = "/root/testdata/sf0.001"
+    dead = search.QUERIES["dead_clusters"](spark, size).collect()
+    assert dead and all(r.prefix.startswith("notes-") and r.pages >= 5 and r.impressions == 0 for r in dead)
+    assert {r.reason for r in search.QUERIES["sitemap_problems"](spark, size).collect()} == {"dead", "pagination"}
+    assert {r.pagination for r in search.QUERIES["url_functions"](spark, size).collect()} == {True, False}
