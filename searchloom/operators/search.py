@@ -105,6 +105,12 @@ def cannibalised(page_query, as_of, days: int = 90, least: float = 20, params: P
     return found.where((F.col("pages") >= 2) & (F.col("impressions") >= least) & (F.col("shown") >= 2)).select("query", "shown", "impressions", "best_position")
 
 
+def cannibal_pages(page_query, as_of, days: int = 90, least: float = 20, params: Params = DEFAULT) -> DataFrame:
+    """The pages behind each cannibalised query that were shown: (query, page, clicks, impressions, position), a row each."""
+    asked = cannibalised(page_query, as_of, days, least, params).select("query")
+    return pages_ranking(page_query, as_of, days).join(asked, "query", "left_semi").select("query", "page", "clicks", "impressions", "position")
+
+
 def excluded(query_daily, as_of, days: int = 90, least: float = 15, params: Params = DEFAULT) -> DataFrame:
     asked = totals(window(query_daily, as_of, days), "query").where(F.col("impressions") >= least).withColumn("intent", X.intent(F.col("query"), params))
     return asked.where("intent <> 'acquisition'").groupBy("intent").agg(F.count("*").alias("queries"), F.sum("impressions").alias("impressions"))
@@ -146,6 +152,18 @@ def dead_clusters(inventory, index_status, page_daily, as_of, days: int = 90, le
     return found.where((F.col("pages") >= least_pages) & (F.col("clicks") <= 0) & (F.col("impressions") / F.col("pages") <= most)).withColumn("prefix", F.concat("prefix", F.lit("-")))
 
 
+def dead_pages(inventory: DataFrame, dead: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """(prefix, url, path) of each page that a prune of dead(prefix) takes off: what its action has to name."""
+    pages = inventory.where((F.col("in_sitemap") == 1) & F.col("url").ilike("%/blog/%"))
+    named = pages.select(F.concat(X.slug_prefix(F.col("url")), F.lit("-")).alias("prefix"), "url", F.replace("url", F.lit(params.site), F.lit("")).alias("path"))
+    return named.join(dead.select("prefix"), "prefix", "left_semi")
+
+
+def orphans(live: DataFrame, sitemap: DataFrame) -> DataFrame:
+    """(url): pages that are live and in no sitemap, each once. A null URL is none."""
+    return live.select("url").where("url is not null").distinct().join(sitemap.select("url"), "url", "left_anti")
+
+
 def sitemap_problems(urls: DataFrame, dead_urls: DataFrame) -> DataFrame:
     marked = urls.select("url").join(dead_urls.select("url").distinct().withColumn("dead", F.lit(True)), "url", "left")
     return marked.withColumn("reason", F.when(X.is_pagination(F.col("url")), "pagination").when(F.col("dead"), "dead")).where("reason is not null").select("url", "reason")
@@ -254,6 +272,19 @@ def daily(page_daily, digits: int = 2) -> DataFrame:
     return totals(page_daily, "date").withColumn("position", F.bround("position", digits))
 
 
+def query_rows(query_daily: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Each query by day with its intent; missing measures are 0, positions rounded half to even."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return query_daily.select("date", "query", zero("clicks").alias("clicks"), zero("impressions").alias("impressions"), F.bround(zero("position"), digits).alias("position"), X.intent(F.col("query"), params).alias("intent"))
+
+
+def page_rows(page_daily: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Each page by day under its path, "/" for the site itself or a page without URL; missing measures are 0."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    path = F.replace(F.coalesce("page", F.lit("")), F.lit(params.site), F.lit(""))
+    return page_daily.select("date", F.when(path == "", "/").otherwise(path).alias("path"), zero("clicks").alias("clicks"), zero("impressions").alias("impressions"), F.bround(zero("position"), digits).alias("position"))
+
+
 def head_positions(striking: DataFrame, page_query: DataFrame) -> DataFrame:
     """striking with the all-time position of each page's top query."""
     ever = totals(page_query, "page", "query").select("page", F.col("query").alias("top_query"), F.col("position").alias("head_position"))

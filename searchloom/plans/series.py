@@ -1,12 +1,12 @@
-"""Queries of dated series, the strategy row and the settling of a run, each with its SQL."""
+"""Queries of dated series, report rows, the pages behind findings, and the settling of a run, each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from searchloom.operators import planning, series
+from searchloom.operators import planning, search, series
 from searchloom.plans.content import _AS_OF, _DAY
-from searchloom.plans.search import INTENT, SQL, query
+from searchloom.plans.search import _DEAD, _PD, _PREFIX, INTENT, RECENT, SQL, TOTAL, query
 
 # Here the calendar is filled by a search for the last inspection up to each day, not by a running sum.
 _HEALTH = """WITH u AS (SELECT cluster, checked_at::DATE AS d, indexed FROM url_inventory JOIN url_index_status USING (url) WHERE in_sitemap = 1),
@@ -30,3 +30,15 @@ query("settled_run", "action_ledger", f"""WITH n AS (SELECT count(*) AS shipped
 p AS (SELECT id, kind, id % 3 = 0 AS ok, date_diff('second', created, {_AS_OF}) // 86400 > 14 AS old FROM action_ledger WHERE status = 'planned'),
 b AS (SELECT *, coalesce(sum((kind = 'post' AND NOT old AND ok)::INT) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
 SELECT id, kind, CASE WHEN old THEN 'stale' WHEN kind = 'post' AND before + shipped >= 2 THEN 'hold' WHEN kind NOT IN {planning.KINDS} THEN 'drop' WHEN ok THEN 'shipped' ELSE 'failed' END AS outcome FROM b, n""", dated=_DAY)(lambda ledger, as_of: planning.settled(ledger, ledger.select("id", (F.col("id") % 3 == 0).alias("ok")), as_of, cap=2))
+
+# Pages behind findings, and report rows
+query("cannibal_pages", "page_query", f"""WITH r AS (SELECT query, page, {TOTAL} FROM page_query WHERE {RECENT} GROUP BY query, page),
+c AS (SELECT query FROM r WHERE {INTENT} = 'acquisition' GROUP BY query HAVING count(*) >= 2 AND sum(impressions) >= 20 AND count(*) FILTER (impressions >= 1) >= 2)
+SELECT query, page, clicks, impressions, position FROM r JOIN c USING (query) WHERE impressions >= 1""", "clicks impressions position", _PD)(search.cannibal_pages)
+query("dead_pages", "url_inventory url_index_status page_daily", f"""SELECT prefix, url, replace(url, 'https://shop.example.com', '') AS path FROM (SELECT url, ({_PREFIX}) || '-' AS prefix FROM url_inventory WHERE in_sitemap = 1 AND url ILIKE '%/blog/%')
+WHERE prefix IN (SELECT prefix FROM ({_DEAD}))""", dated=_PD)(lambda inventory, status, pages, as_of: search.dead_pages(inventory, search.dead_clusters(inventory, status, pages, as_of)))
+query("orphan_pages", "url_inventory", "SELECT DISTINCT url FROM url_inventory WHERE url NOT IN (SELECT url FROM url_inventory WHERE in_sitemap = 1)")(lambda inventory: search.orphans(inventory, inventory.where("in_sitemap = 1")))
+# Six digits here: at two, halves hang on the order in which positions were added up.
+_ROW = "clicks, impressions, round_even(position, 6) AS position"
+query("query_rows", "query_daily", f"SELECT date, query, {_ROW}, {INTENT} AS intent FROM query_daily")(lambda asked: search.query_rows(asked, 6))
+query("page_rows", "page_daily", f"SELECT date, replace(page, 'https://shop.example.com', '') AS path, {_ROW} FROM page_daily")(lambda pages: search.page_rows(pages, 6))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from searchloom.operators import planning, series
+from searchloom.operators import planning, search, series
 
 D = lambda n: dt.date(2024, 2, n)
 AS_OF = dt.datetime(2024, 3, 1, 12)
@@ -85,3 +85,19 @@ def test_a_failed_post_frees_its_slot(spark, seed, shipped, cap):
     got = {r.id: r.outcome for r in planning.settled(ledger, attempts, AS_OF, cap).collect()}
     assert got == plain_run(items, ok, shipped, cap)
     assert planning.settled(ledger.limit(0), attempts, AS_OF, cap).count() == 0
+
+
+def test_report_rows_and_pages_behind_findings(spark):
+    site = "https://shop.example.com"
+    facts = spark.createDataFrame([(D(1), site, None, 4.0, 1.125), (D(1), None, 1.0, None, None), (D(2), site + "/blog/a", 1.0, 2.0, 3.0)], "date date, page string, clicks double, impressions double, position double")
+    want = {(D(1), "/", 0.0, 4.0, 1.12), (D(1), "/", 1.0, 0.0, 0.0), (D(2), "/blog/a", 1.0, 2.0, 3.0)}
+    assert set(rows_of(search.page_rows(facts), "date")) == want
+    asked = {(r.query, r.intent) for r in search.query_rows(facts.withColumn("query", F.lit("shopvox app"))).collect()}
+    assert asked == {("shopvox app", "brand")}
+    pairs = [(D(1), p, q, 0.0, i, 5.0) for p, q, i in (("a", "calm notes", 10.0), ("b", "calm notes", 10.0), ("c", "calm notes", 0.0), ("a", "other notes", 40.0), ("a", "shopvox", 20.0), ("b", "shopvox", 20.0))]
+    pairs = spark.createDataFrame(pairs, "date date, page string, query string, clicks double, impressions double, position double")
+    assert [(r.query, r.page) for r in search.cannibal_pages(pairs, D(2)).orderBy("page").collect()] == [("calm notes", "a"), ("calm notes", "b")]
+    pages = spark.createDataFrame([(f"{site}/blog/old-notes-{i}", int(i < 6)) for i in range(7)] + [(f"{site}/blog/new-notes-1", 1), (None, 1)], "url string, in_sitemap int")
+    dead = spark.createDataFrame([("old-notes-",)], "prefix string")
+    assert {(r.prefix, r.path) for r in search.dead_pages(pages, dead).collect()} == {("old-notes-", f"/blog/old-notes-{i}") for i in range(6)}
+    assert [r.url for r in search.orphans(pages.union(pages), pages.where("in_sitemap = 1")).collect()] == [f"{site}/blog/old-notes-6"]
