@@ -272,13 +272,13 @@ def daily(page_daily, digits: int = 2) -> DataFrame:
     return totals(page_daily, "date").withColumn("position", F.bround("position", digits))
 
 
-def query_rows(query_daily: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def query_rows(query_daily: DataFrame, digits: int = 2, params: Params = DEFAULT) -> DataFrame:
     """Each query by day with its intent; missing measures are 0, positions rounded half to even."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return query_daily.select("date", "query", zero("clicks").alias("clicks"), zero("impressions").alias("impressions"), F.bround(zero("position"), digits).alias("position"), X.intent(F.col("query"), params).alias("intent"))
 
 
-def page_rows(page_daily: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def page_rows(page_daily: DataFrame, digits: int = 2, params: Params = DEFAULT) -> DataFrame:
     """Each page by day under its path, "/" for the site itself or a page without URL; missing measures are 0."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     path = F.replace(F.coalesce("page", F.lit("")), F.lit(params.site), F.lit(""))
