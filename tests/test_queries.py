@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from searchloom.functions import text as X
 from searchloom.operators import merge
-from searchloom.plans import content, more, rules, search
+from searchloom.plans import content, more, rules, search, series
 from searchloom.plans.views import TABLES
 from searchloom.sources import feeds
 from searchloom.streaming import events
 
 SF = "/root/testdata/sf0.001"
-assert content and rules and more
+assert content and rules and more and series
 
 
 def plain(rows):
