@@ -116,11 +116,12 @@ def _before(html: Column, at: Column, made) -> Column:
     return F.concat(F.substring(html, F.lit(1), at - 1 - F.length(indent)), made(indent), F.substr(html, at - F.length(indent)))
 
 
-def append_faq(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """pages with the FAQ of blocks(url, block) before the call to action or the end of the article, and its JSON-LD at the
+def append_faq(pages: DataFrame, blocks: DataFrame, key: str = "url") -> DataFrame:
+    """pages with the FAQ of blocks(key, block) before the call to action or the end of the article, and its JSON-LD at the
     end of the head, both indented as what follows them. outcome: empty (the block has no pairs), present (FAQ data is
-    there already), rejected (no place) or changed; a page without a head gets the visible block alone."""
-    rows = pages.join(blocks, "url").withColumn("pairs", parse_faq(F.col("block")))
+    there already), rejected (no place) or changed; a page without a head gets the visible block alone.
+    Where pages share a URL, blocks name them by page_id."""
+    rows = pages.join(blocks, key).withColumn("pairs", parse_faq(F.col("block")))
     html = F.col("html")
     cta, end = F.instr(html, '<div class="article-cta">'), F.instr(html, "</article>")
     rows = rows.withColumn("at", F.when(cta > 0, cta).otherwise(end))
