@@ -151,9 +151,9 @@ def version_drift(profile: Column, changelog: Column) -> Column:
 
 
 def only_changed(files: DataFrame, current: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """The files that are new or unlike what is there."""
-    now = current.select(F.col(path), F.col(content).alias("__now"))
-    return files.join(now, path, "left").where(~F.col(content).eqNullSafe(F.col("__now"))).drop("__now")
+    """The files that are new or unlike what is there, each once, however many a path has."""
+    now = current.select(F.col(path).alias("__path"), F.col(content).alias("__now"))
+    return files.join(now, (F.col(path) == F.col("__path")) & F.col(content).eqNullSafe(F.col("__now")), "left_anti")
 
 
 def routes(changes: DataFrame, articles: DataFrame, pages: DataFrame) -> DataFrame:
