@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from searchloom.functions import text as X
 
 
-def facts(pages: DataFrame) -> DataFrame:
+def facts(pages: DataFrame, ended: bool = False) -> DataFrame:
+    """Title, description, text and FAQ of pages; `ended`: only character references with a semicolon are decoded."""
     h = F.col("html")
-    return pages.select("page_id", "url", X.page_title(h).alias("title"), X.page_description(h).alias("description"), X.page_text(h).alias("text"), X.has_faq(h).alias("has_faq"))
+    return pages.select("page_id", "url", X.page_title(h, ended).alias("title"), X.page_description(h, ended).alias("description"), X.page_text(h, ended=ended).alias("text"), X.has_faq(h).alias("has_faq"))
 
 
 def coverage(pages: DataFrame, marker: str) -> DataFrame:
