@@ -52,10 +52,11 @@ def insert_block(pages: DataFrame, block: str, marker: str, anchor: str = "</foo
 HEAD_TAGS = (("t", r"(?i)^((?s:.*?)<title>)(?s:.*?)(</title>)"), *((v, rf'(?i)^((?s:.*?)<meta\s+{n}"\s+content=").*?(")') for v, n in (("d", 'name="description'), ("t", 'property="og:title'), ("d", 'property="og:description'), ("t", 'name="twitter:title'), ("d", 'name="twitter:description'))))
 
 
-def retitle(pages: DataFrame, changes: DataFrame) -> DataFrame:
-    """Sets the title and description of pages named by changes(url, title, description), escaped, in the first of each
-    head tag that is there and in the article's JSON-LD; pages in which nothing changes are rejected."""
-    rows = pages.join(changes, "url")
+def retitle(pages: DataFrame, changes: DataFrame, key: str = "url") -> DataFrame:
+    """Sets the title and description of pages named by changes(key, title, description), escaped, in the first of each
+    head tag that is there and in the article's JSON-LD; pages in which nothing changes are rejected. Where pages share a
+    URL, changes name them by page_id."""
+    rows = pages.join(changes, key)
     new = F.col("html")
     for value, pattern in HEAD_TAGS:
         text = _escape(F.col("title" if value == "t" else "description"))
