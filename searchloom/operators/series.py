@@ -74,7 +74,7 @@ def strategy(ledger: DataFrame, health: DataFrame, queries: DataFrame, as_of, pa
     ends = indexation(health).agg(F.min_by(day, "date").alias("a"), F.max_by(day, "date").alias("b"))
     zero = lambda c, to: F.coalesce(c, F.lit(0).cast(to))
     held = ends.select(F.col("a.date").alias("from_date"), F.col("b.date").alias("to_date"), zero(F.col("a.pct"), "double").alias("first_pct"), zero(F.col("b.pct"), "double").alias("last_pct"), zero(F.col("b.indexed"), "long").alias("indexed"), zero(F.col("b.checked"), "long").alias("checked"), F.coalesce(F.col("b.pct") >= F.col("a.pct"), F.lit(True)).alias("holding"))
-    won = queries.where(X.intent(F.col("query"), params) == "acquisition").agg(zero(F.sum("clicks"), "double").alias("clicks"), zero(search.wavg(), "double").alias("position"))
+    won = search.won(queries, params).select(*(zero(F.col(c), "double").alias(c) for c in ("clicks", "position")))
     caps = (F.lit(n).alias(name) for name, n in CAPS.items())
     return used.crossJoin(F.broadcast(cooling)).crossJoin(F.broadcast(held)).crossJoin(F.broadcast(won)).select(*caps, "*")
 

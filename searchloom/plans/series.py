@@ -20,7 +20,7 @@ query("named_coverage", "page_query page_daily", """SELECT *, coalesce(named_cli
 FROM (SELECT sum(clicks) AS total_clicks FROM page_daily), (SELECT sum(clicks) AS named_clicks FROM page_query WHERE query NOT LIKE '%best%')""", "total_clicks named_clicks coverage")(lambda page_query, page_daily: series.named_coverage(page_query.where("query not like '%best%'"), page_daily))
 _WEEK = f"status = 'shipped' AND created::DATE >= {_AS_OF}::DATE - 7"
 _CAPS = ", ".join(f"{n} AS {name}" for name, n in series.CAPS.items())
-query("strategy", "action_ledger url_inventory url_index_status query_daily", f"""SELECT {_CAPS}, l.*, c.*, h.*, q.* FROM
+query("strategy", "action_ledger url_inventory url_index_status search_fact", f"""SELECT {_CAPS}, l.*, c.*, h.*, q.* FROM
 (SELECT count(*) FILTER (kind = 'post' AND {_WEEK}) AS posts, count(*) FILTER (kind IN ('meta', 'faq') AND {_WEEK}) AS edits, count(*) FILTER (kind IN ('prune', 'sitemap', 'merge') AND {_WEEK}) AS removed, count(*) FILTER (status = 'planned') AS pending FROM action_ledger) l,
 (SELECT count(DISTINCT json_extract_string(meta, '$.slug')) AS cooling FROM action_ledger WHERE kind IN ('meta', 'faq', 'post') AND created >= {_AS_OF} - INTERVAL 30 DAY) c,
 (SELECT min(date) AS from_date, max(date) AS to_date, arg_min(pct, date) AS first_pct, arg_max(pct, date) AS last_pct, arg_max(indexed, date) AS indexed, arg_max(checked, date) AS checked, arg_max(pct, date) >= arg_min(pct, date) AS holding FROM ({_PCT} ({SQL['health_by_day']}) GROUP BY date)) h,
@@ -35,7 +35,7 @@ SELECT id, kind, CASE WHEN old THEN 'stale' WHEN kind = 'post' AND before + ship
 query("cannibal_pages", "page_query", f"""WITH r AS (SELECT query, page, {TOTAL} FROM page_query WHERE {RECENT} GROUP BY query, page),
 c AS (SELECT query FROM r WHERE {INTENT} = 'acquisition' GROUP BY query HAVING count(*) >= 2 AND sum(impressions) >= 20 AND count(*) FILTER (impressions >= 1) >= 2)
 SELECT query, page, clicks, impressions, position FROM r JOIN c USING (query) WHERE impressions >= 1""", "clicks impressions position", _PD)(search.cannibal_pages)
-query("dead_pages", "url_inventory url_index_status page_daily", f"""SELECT prefix, url, replace(url, 'https://shop.example.com', '') AS path FROM (SELECT url, ({_PREFIX}) || '-' AS prefix FROM url_inventory WHERE in_sitemap = 1 AND url ILIKE '%/blog/%')
+query("dead_pages", "url_inventory url_index_status search_fact", f"""SELECT prefix, url, replace(url, 'https://shop.example.com', '') AS path FROM (SELECT url, ({_PREFIX}) || '-' AS prefix FROM url_inventory WHERE in_sitemap = 1 AND url ILIKE '%/blog/%')
 WHERE prefix IN (SELECT prefix FROM ({_DEAD}))""", dated=_PD)(lambda inventory, status, pages, as_of: search.dead_pages(inventory, search.dead_clusters(inventory, status, pages, as_of)))
 query("orphan_pages", "url_inventory", "SELECT DISTINCT url FROM url_inventory WHERE url NOT IN (SELECT url FROM url_inventory WHERE in_sitemap = 1)")(lambda inventory: search.orphans(inventory, inventory.where("in_sitemap = 1")))
 # Six digits here: at two, halves hang on the order in which positions were added up.
