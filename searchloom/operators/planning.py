@@ -74,8 +74,7 @@ def scorecard(ledger: DataFrame, inventory: DataFrame, status: DataFrame, query_
     cooling = outreach.cooling_down(ledger, as_of).agg(F.count("*").alias("cooling"))
     listed = inventory.where("in_sitemap = 1").select("url").join(status, "url", "left")
     held = listed.agg((F.sum(F.coalesce("indexed", F.lit(0))) * 100.0 / F.greatest(F.count("*"), F.lit(1))).alias("indexed_pct"))
-    won = query_daily.where(X.intent(F.col("query")) == "acquisition").agg(F.sum("clicks").alias("clicks"), search.wavg().alias("position"))
-    return shipped.crossJoin(cooling).crossJoin(held).crossJoin(won)
+    return shipped.crossJoin(cooling).crossJoin(held).crossJoin(search.won(query_daily))
 
 
 def disallowed(paths: DataFrame, path: str, prefixes, names=()) -> DataFrame:
