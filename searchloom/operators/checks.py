@@ -72,6 +72,6 @@ def narration_problems(scripts: DataFrame, key: str = "id", text: str = "text")
     """(key, script, words, problems): length, and what the gate says of the text as a social post, without duplication."""
     spoken = scripts.select(key, narration(F.col(text)).alias("script"))
     words = F.when(F.col("script") == "", 0).otherwise(F.size(F.split("script", " ")))
-    judged = quality.evaluate(spoken, None, "social", key, "script")
-    rows = spoken.withColumn("words", words.cast("long")).join(judged.select(key, "reasons"), key)
+    rides = spoken.select(F.struct(F.col(key).alias("key"), "script", words.cast("long").alias("words")).alias("row"), "script")
+    rows = quality.evaluate(rides, None, "social", "row", "script").select(F.col("row.key").alias(key), "row.script", "row.words", "reasons")
     return rows.select(key, "script", "words", F.concat(_problems(F.when(~F.col("words").between(*NARRATION_WORDS), "length")), "reasons").alias("problems"))
