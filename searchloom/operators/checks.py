@@ -62,7 +62,7 @@ def faq_problems(blocks: DataFrame, corpus: DataFrame, key: str = "id", text: st
 
 def narration(raw: Column) -> Column:
     """The spoken text of a script: without code fences, labels, bullets and marks of markdown, in one line."""
-    bare = F.regexp_replace(F.trim(raw), r"\A```\w*\s*|\s*```\z", "")
+    bare = F.when(F.contains(raw, F.lit("```")), F.regexp_replace(F.trim(raw), r"\A```\w*\s*|\s*```\z", "")).otherwise(F.trim(raw))
     bare = F.regexp_replace(bare, r"(?i)\A(?:narration|script|voiceover)\s*:\s*", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"(?m)^\s*[-*]\s+", ""), "[*_#]", "")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
