@@ -9,7 +9,9 @@ pieces that fill a sequence, most of those of long texts, need none and are numb
 
 from __future__ import annotations
 
+import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,31 +31,52 @@ _encoders: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Encodes texts by a tokenizers file that treats white-space separated words one by one, each distinct word once.
 
-    The cache holds at most UNITS words and starts anew beyond that; results do not depend on it.
+    Words are found by their hash in an open table, all words of a slice at a time. It holds at most UNITS words, or those
+    of one slice, and starts anew beyond that; results do not depend on it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores; further threads of each would wait for them
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
 
-    def clear(self):
-        self.units: dict[int, int] = {}
+    def clear(self, most: int = UNITS):
+        size = 1 << int(2 * most).bit_length()
+        self.keys, self.units = np.zeros(size, np.uint64), np.full(size, -1, np.int32)  # by place; no unit: free
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.begin, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-
-    def _learn(self, keys: list[int], strings: list[str]):
-        for at in range(0, len(strings), 20_000):
-            for key, got in zip(keys[at : at + 20_000], self.tokenizer.encode_batch_fast(strings[at : at + 20_000], add_special_tokens=False), strict=True):
-                ids, n = got.ids, len(self.units)
-                if n == len(self.begin):
-                    self.begin, self.count = np.concatenate([self.begin, np.zeros(n, np.int64)]), np.concatenate([self.count, np.zeros(n, np.int64)])
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.begin[n], self.count[n], self.units[key] = self.used, len(ids), n
-                self.used += len(ids)
+        self.begin, self.count, self.n = np.zeros(most, np.int64), np.zeros(most, np.int64), 0
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """The unit of each key, -1 where it is not known."""
+        at = (keys & np.uint64(len(self.keys) - 1)).astype(np.int64)
+        unit = self.units[at]
+        live = np.flatnonzero((unit >= 0) & (self.keys[at] != keys))
+        while len(live):  # the place has another key: on to the next
+            at[live] = (at[live] + 1) & (len(self.keys) - 1)
+            unit[live] = self.units[at[live]]
+            live = live[(unit[live] >= 0) & (self.keys[at[live]] != keys[live])]
+        return unit
+
+    def _learn(self, keys: np.ndarray, strings: list[str]):
+        """Takes in distinct keys that are not known."""
+        for a in range(0, len(strings), 20_000):
+            ids = [got.ids for got in self.tokenizer.encode_batch_fast(strings[a : a + 20_000], add_special_tokens=False)]
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            total = int(count.sum())
+            while self.used + total > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+            self.begin[self.n : self.n + len(ids)] = self.used + np.cumsum(count) - count
+            self.count[self.n : self.n + len(ids)] = count
+            own, at, unit = keys[a : a + 20_000], (keys[a : a + 20_000] & np.uint64(len(self.keys) - 1)).astype(np.int64), np.arange(self.n, self.n + len(ids), dtype=np.int32)
+            while len(own):
+                free = np.flatnonzero(self.units[at] < 0)
+                self.keys[at[free]], self.units[at[free]] = own[free], unit[free]  # of several that want a place, the last has it
+                out = self.units[at] != unit
+                own, at, unit = own[out], (at[out] + 1) & (len(self.keys) - 1), unit[out]
+            self.used, self.n = self.used + total, self.n + len(ids)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows and each row's bounds in them."""
@@ -75,17 +98,18 @@ class WordEncoder:
         s, e = np.repeat(starts, parts), np.repeat(ends, parts)
         e[at[split]] -= 1
         s[at[split] + 1] = e[at[split]]
-        keys, inverse = np.unique(spans(low, s, e), return_inverse=True)
-        first = np.zeros(len(keys), np.int64)
-        first[inverse] = np.arange(len(inverse))
-        if len(self.units) + len(keys) > UNITS:
-            self.clear()
-        known = keys.tolist()
-        new = [i for i, k in enumerate(known) if k not in self.units]
-        if new:
-            raw = low.tobytes()
-            self._learn([known[i] for i in new], [raw[s[first[i]] : e[first[i]]].decode() for i in new])
-        unit = np.fromiter((self.units[k] for k in known), np.int64, len(known))[inverse]
+        keys = spans(low, s, e)
+        unit = self._found(keys)
+        miss = np.flatnonzero(unit < 0)
+        if len(miss):
+            new, first = np.unique(keys[miss], return_index=True)
+            if self.n + len(new) > len(self.begin):
+                new, first = np.unique(keys, return_index=True)
+                self.clear(max(UNITS, len(new)))
+                miss = np.arange(len(keys))
+            raw, a, b = low.tobytes(), s[miss[first]].tolist(), e[miss[first]].tolist()
+            self._learn(new, [raw[i:j].decode() for i, j in zip(a, b, strict=True)])
+            unit[miss] = self._found(keys[miss])
         count = self.count[unit]
         total = np.concatenate([[0], np.cumsum(count)])
         ids = self.flat[np.arange(total[-1]) + np.repeat(self.begin[unit] - total[:-1], count)]
