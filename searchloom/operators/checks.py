@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchloom.functions.text import terms_in
+from searchloom.functions.text import ascii_bounds, terms_in
 from searchloom.operators import marks, quality, tells
 
 TITLE_MOST, DESCRIPTION_LEAST, DESCRIPTION_MOST = 62, 60, 158
@@ -22,7 +22,7 @@ def banned(text: Column) -> Column:
     low = F.lower(text)
     listed = (*tells.TIER1, *tells.TIER2)
     words = F.array_intersect(F.array(*map(F.lit, listed)), terms_in(low, listed))
-    return F.concat(words, _problems(*(F.when(text.rlike(p), n) for n, p in (*tells.HARD_NOS, *tells.FINGERPRINTS))))
+    return F.concat(words, _problems(*(F.when(text.rlike(ascii_bounds(p)), n) for n, p in (*tells.HARD_NOS, *tells.FINGERPRINTS))))
 
 
 def meta_problems(title: Column, description: Column, query: Column, old_title: Column, old_description: Column) -> Column:
